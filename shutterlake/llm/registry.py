@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .chat_format import op5_chat_format
+from .language_id import op6_language_id
 from .line_dedup import op8_line_dedup
 from .mixing import op10_mixing
+from .quality_rules import op9_quality_rules
 
 QUERIES = {
     "op5_chat_format": op5_chat_format,
+    "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
