@@ -7,10 +7,12 @@ from .language_id import op6_language_id
 from .line_dedup import op8_line_dedup
 from .mixing import op10_mixing
 from .quality_rules import op9_quality_rules
+from .spot_signatures import op7_fingerprints
 
 QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character that is neither a letter nor a digit.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text taken at once; a longer text is a slice of its own.
@@ -57,19 +59,19 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts.
+    """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts; between: the bytes that part words, if others than white space.
 
     start, end: byte positions of each word; first: for each text the number of its
     first word, and one more entry at the end, so that text i has the words first[i] to first[i + 1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         if len(data) == 0:
             self.start = self.end = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        space = SPACE[data]
+        space = between[data]
         before = np.empty(len(data), bool)
         before[0], before[1:] = True, space[:-1]
         before[offsets[:-1][offsets[:-1] < len(data)]] = True
