@@ -7,10 +7,12 @@ PERCENT / 100; the result is each document's component under these links. Steps:
    it orders them, rare ones first. Any order is right, the counts only make lists short.
 2. A document is listed under the rarest shingles of its set, so many that two linked
    documents have one of these in common (the lists of the inverted index that are short).
-3. Each list has a head, its smallest document. All other documents of the list are
-   candidates of the head. A T-occurrence search over the candidates' sets finds its links.
+3. Each list has a head, its smallest document. The list's other documents are candidates
+   of the head if they have enough short lists in common with it. A T-occurrence search over
+   the candidates' whole sets finds the head's links.
 4. Lists whose documents are all in one component by then have nothing more to give. The
-   others are searched whole, in blocks of bounded size, skipping pairs of one component.
+   others are searched in blocks of bounded size, by T-occurrence over the short lists
+   and then over whole sets, leaving out pairs of one component.
 
 So large groups of near copies cost one comparison a document rather than one a pair,
 and no link between different components is missed.
@@ -26,16 +28,16 @@ from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import components, dropped, table, written
+from .common import components, table, written
 from .text_arrays import Words, mixed, shingle_sets, slices
 
 WORDS, PERCENT = 4, 85
 #: Buckets of the sketch (2^SKETCH_BITS counters of 4 bytes): a bound, whatever the input.
 SKETCH_BITS = 18
-#: Documents of one list that one task searches at once.
-BLOCK = 512
+#: Documents of one list, and elements of one head's candidates, that one task searches at once.
+BLOCK, BLOCK_ELEMENTS = 512, 200_000
 #: Weight of a binary probe against a step of the heap merge, in DivideSkip's choice of long lists.
 PROBE_COST = 0.03
 
@@ -63,68 +65,73 @@ def needed_equal(n: int, percent: int) -> int:
     return -(-2 * percent * n // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, lists: dict[int, list[int]], sizes: list[int], percent: int, skip: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
-    """(document, overlap) of all documents of an inverted index that have enough elements of query.
+def needed_pair(n, m, percent: int):
+    """The overlap of two sets of these sizes that makes a link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def divide_skip(query: list[int], lists: dict[int, list[int]], least: int, enough: Callable[[int], int], skip: Callable[[int], bool]) -> Iterator[int]:
+    """The documents of an inverted index that have at least enough(document) elements of query; least: the smallest of these numbers.
 
     lists: element to sorted document numbers. Documents for which skip() holds may be left
     out. The longest lists are set aside; a heap merges the others and gives documents that
-    occur in them T - (long lists) times; these are looked up in the long lists by binary probes.
+    occur in them least - (long lists) times; these are looked up in the long lists by binary probes.
     """
-    found = [own for own in map(lists.get, query.tolist()) if own]
-    least = needed(len(query), percent)
+    found = [own for own in map(lists.get, query) if own]
     if len(found) < least:
         return
     found.sort(key=len, reverse=True)
-    aside = min(least - 1, int(least / (PROBE_COST * log2(len(found[0]) + 1) + 1)))
+    aside = max(0, min(least - 1, int(least / (PROBE_COST * log2(len(found[0]) + 1) + 1))))
     long, short = found[:aside], found[aside:]
-    runs = heapq.merge(*short) if len(short) > 1 else iter(short[0])
     document, count = -1, 0
-    for now in [*runs, -2]:
+    for now in [*(heapq.merge(*short) if len(short) > 1 else short[0]), -2]:
         if now == document:
             count += 1
             continue
         if count >= least - aside and document >= 0 and not skip(document):
-            enough = -(-percent * (len(query) + sizes[document]) // (100 + percent))
-            total, left = count, len(long)
+            total, left, most = count, len(long), enough(document)
             for own in reversed(long):
-                if total + left < enough:
+                if total + left < most:
                     break
                 at = bisect_left(own, document)
                 total += at < len(own) and own[at] == document
                 left -= 1
-            if total >= enough:
-                yield document, total
+            if total >= most:
+                yield document
         document, count = now, 1
 
 
-def inverted(sets: list[np.ndarray]) -> dict[int, list[int]]:
-    """Element to the sorted numbers of the sets that hold it."""
+def inverted(sets: list[np.ndarray], wanted: np.ndarray) -> dict[int, list[int]]:
+    """Element to the sorted numbers of the sets that hold it, for the sorted elements wanted."""
     lists: dict[int, list[int]] = {}
     for i, own in enumerate(sets):
-        for x in own.tolist():
+        at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        for x in own[wanted[at] == own].tolist():
             lists.setdefault(x, []).append(i)
     return lists
 
 
-def profiled(docs: DataFrame, set_of: SetOf, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n, p, q) with two 64-bit fingerprints of each set, and, with doc_id null, each task's part of the sketch."""
+def marks(own: np.ndarray) -> tuple[int, int, int]:
+    """(size, two 64-bit fingerprints) of a set; equal for equal sets only."""
+    return len(own), int(own.sum(dtype=np.uint64).view(np.int64)), int(mixed(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64))
+
+
+def profiled(texts: DataFrame, set_of: SetOf, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n, p, q) with the marks of each set, and one row with each task's part of the sketch."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = ["doc_id", "n", "p", "q", "sketch"], np.zeros(1 << bits, np.int64)
         for batch in batches:
             rows = []
             for own in set_of(batch.column("text")):
-                at = (own >> np.uint64(64 - bits)).astype(np.int64)
-                counts += np.bincount(at, minlength=1 << bits) if len(at) > 20_000 else 0
-                if len(at) <= 20_000:
-                    np.add.at(counts, at, 1)
-                rows.append((len(own), int(own.sum(dtype=np.uint64).view(np.int64)), int(mixed(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64))))
+                np.add.at(counts, (own >> np.uint64(64 - bits)).astype(np.int64), 1)
+                rows.append(marks(own))
             n, p, q = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, p, q, pa.nulls(len(rows), pa.binary())], names)
         if counts.any():
             part = compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), 1)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([part], pa.binary())], names)
 
-    return docs.mapInArrow(told, "doc_id long, n long, p long, q long, sketch binary")
+    return texts.mapInArrow(told, "doc_id long, n long, p long, q long, sketch binary")
 
 
 def sketch_of(profiles: DataFrame, parts: int = 16) -> np.ndarray:
@@ -142,71 +149,87 @@ def sketch_of(profiles: DataFrame, parts: int = 16) -> np.ndarray:
     return sum((np.frombuffer(decompress(r["sketch"]), "<i4").astype(np.int64) for r in rows), np.zeros(1, np.int64))
 
 
-def listed(docs: DataFrame, set_of: SetOf, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, tokens, head_tokens): the rarest elements of each set, enough of them that no link is missed; the first head_tokens of them serve a partner that is at least as large."""
-    shared, bits = docs.sparkSession.sparkContext.broadcast(sketch), max(0, len(sketch).bit_length() - 1)
+def listed(texts: DataFrame, set_of: SetOf, sketch: np.ndarray, percent: int) -> DataFrame:
+    """(doc_id, n, p, q, tokens, heads) of texts with a set: its rarest elements, enough of them that no link is missed; the first `heads` of them serve a partner that is at least as large."""
+    shared, bits = texts.sparkSession.sparkContext.broadcast(sketch), max(0, len(sketch).bit_length() - 1)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rank: the counter on a logarithmic scale, then the hash; an element's rank is its token
         scale = (np.log2(shared.value + 1.0) * 128).astype(np.uint64) << np.uint64(51)
         for batch in batches:
-            n, tokens, heads = [], [], []
+            seen, tokens, heads = [], [], []
             for own in set_of(batch.column("text")):
                 size = len(own)
-                n.append(size)
-                count = size - needed(size, percent) + 1 if size else 0
-                heads.append(size - needed_equal(size, percent) + 1 if size else 0)
-                rank = np.sort((scale[(own >> np.uint64(64 - bits)).astype(np.int64)] if bits else np.uint64(0)) | (own & np.uint64((1 << 51) - 1)))
-                tokens.append(rank[:count].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(heads, pa.int64())], ["doc_id", "n", "tokens", "head_tokens"])
+                seen.append(marks(own))
+                heads.append(size - needed_equal(size, percent) + 1)
+                rank = (scale[(own >> np.uint64(64 - bits)).astype(np.int64)] if bits else np.uint64(0)) | (own & np.uint64((1 << 51) - 1))
+                tokens.append(np.sort(rank)[: size - needed(size, percent) + 1 if size else 0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([m[i] for m in seen], pa.int64()) for i in range(3)], pa.array(tokens, pa.list_(pa.int64())), pa.array(heads, pa.int64())], ["doc_id", "n", "p", "q", "tokens", "heads"])
 
-    return docs.mapInArrow(told, "doc_id long, n long, tokens array<long>, head_tokens long")
+    return texts.mapInArrow(told, "doc_id long, n long, p long, q long, tokens array<long>, heads long").filter("n > 0")
 
 
-def searched(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found by one T-occurrence search for each (task, block).
-
-    tasks: task, block, doc_id, indexed, asks, component. In each block the documents
-    with indexed set form an inverted index, and those with asks set are queries against it. Pairs of one
-    component are skipped, as are those that the block's own links have joined already.
-    """
-    rows = tasks.join(sets, "doc_id").select("task", "block", "doc_id", "indexed", "asks", "component", "elements")
-    rows = rows.repartition("task", "block").sortWithinPartitions("task", "block")
-
-    def links(block: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows_in = [r for r in block if r[1]]
-        sets_in = [np.frombuffer(r[4], "<u8") for r in rows_in]
-        lists, sizes = inverted(sets_in), [len(s) for s in sets_in]
-        root: dict[int, int] = {}
+def sets_of(texts: DataFrame, names: DataFrame, classes: DataFrame, set_of: SetOf) -> DataFrame:
+    """(number, elements): the whole sets of the classes whose numbers are in names."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(set_of(batch.column("text")))
+            seen = [marks(own) for own in sets]
+            yield pa.RecordBatch.from_arrays([*[pa.array([m[i] for m in seen], pa.int64()) for i in range(3)], pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], ["n", "p", "q", "elements"])
 
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
+    wanted = classes.join(names, "number", "left_semi")
+    found = texts.join(wanted.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").mapInArrow(told, "n long, p long, q long, elements binary")
+    return found.join(wanted, ["n", "p", "q"]).select("number", "elements").dropDuplicates(["number"])
 
-        for doc_id, _, asks, component, elements in block:
-            if asks:
-                mine = component
-                for at, _ in divide_skip(np.frombuffer(elements, "<u8"), lists, sizes, percent, lambda i: find(rows_in[i][3]) == find(mine)):
-                    root[find(rows_in[at][3])] = find(mine)
-                    yield doc_id, rows_in[at][0]
 
+def by_block(rows: DataFrame, search: Callable[[list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what search() makes of the rows of each (task, block), one block in memory at a time."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, out = None, [], []
+
+        def some() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
             for task, number, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if (task, number) != key:
-                    out += links(block)
+                    out += search(block)
                     key, block = (task, number), []
+                    if len(out) > 10_000:
+                        yield some()
+                        out = []
                 block.append(tuple(row))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-                out = []
-        out += links(block)
+        out += search(block)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            yield some()
+
+    return rows.repartition("task", "block").sortWithinPartitions("task", "block").mapInArrow(told, "a long, b long")
 
-    return rows.mapInArrow(told, "a long, b long")
+
+def verified(candidates: DataFrame, sets: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among candidates (head, number): each head asks an inverted index of its candidates' whole sets, which is split where it would be large."""
+    many = candidates.join(ranked.select("number", "n"), "number")
+    total = many.groupBy("head").agg(F.sum("n").alias("total"))
+    block = F.pmod(F.xxhash64("number"), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
+    members = many.join(total, "head").select(F.col("head").alias("task"), block.alias("block"), "number", F.lit(False).alias("asks"))
+    heads = members.select("task", "block").distinct().select("task", "block", F.col("task").alias("number"), F.lit(True))
+    rows = members.union(heads).join(sets, "number").select("task", "block", "number", "asks", "elements")
+
+    def search(block: list[tuple]) -> Iterator[tuple[int, int]]:
+        asking = [r for r in block if r[1]]
+        members = [r for r in block if not r[1]]
+        for head, _, elements in asking:
+            query, sets_in = np.frombuffer(elements, "<u8"), [np.frombuffer(r[2], "<u8") for r in members]
+            lists = inverted(sets_in, query)
+            for at in divide_skip(query.tolist(), lists, needed(len(query), percent), lambda i: needed_pair(len(query), len(sets_in[i]), percent), lambda i: False):
+                yield head, members[at][0]
+
+    return by_block(rows, search)
+
+
+def required(n: Column, kept: Column, m: Column, also: Column, percent: int) -> Column:
+    """How many of their rarest elements two linked sets have in common at least: of sizes n and m, with so many elements kept of each."""
+    return F.ceil((n + m) * percent / (100 + percent)) - F.greatest(n - kept, m - also)
 
 
 def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -223,54 +246,69 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     profiles = written(profiled(texts, set_of), "profiles")
     rows = profiles.filter("sketch is null").select("doc_id", "n", "p", "q")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "p", "q").agg(F.min("doc_id").alias("class"))
-    of_class = written(classes, "classes")
-
-    ranked = listed(texts, set_of, sketch_of(profiles), percent).filter("n > 0")
-    ranked = ranked.join(of_class.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    postings = written(ranked.select("doc_id", "n", "head_tokens", F.posexplode("tokens").alias("at", "token")).select("token", "doc_id", "n", (F.col("at") < F.col("head_tokens")).alias("head")), "postings")
-
-    # lists with a document that can be the smaller of a pair, and any other
-    lists = postings.groupBy("token").agg(F.count("*").alias("length"), F.min(F.when(F.col("head"), F.struct("n", "doc_id"))).alias("least")).filter("length > 1 and least is not null")
-    shared = written(postings.join(lists, "token").select("token", "doc_id", "n", "head", "length", "least"), "lists")
-    dropped(postings)
-    larger = (F.col("n") > F.col("least.n")) | ((F.col("n") == F.col("least.n")) & (F.col("doc_id") > F.col("least.doc_id")))
-    pairs = written(shared.filter(larger & (100 * F.col("least.n") >= percent * F.col("n"))).select(F.col("least.doc_id").alias("head"), "doc_id").distinct(), "pairs")
-    names = pairs.select("doc_id").union(pairs.select("head")).union(shared.filter("length > 2").select("doc_id")).distinct()
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [own.astype("<u8").tobytes() for own in set_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "elements"])
-
-    sets = written(texts.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(elements, "doc_id long, elements binary"), "sets")
-
-    # heads against their candidates: the head asks, its candidates form the index, block by block
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("many") / block)).cast("int")
-    sizes = pairs.groupBy("head").agg(F.count("*").alias("many"))
-    members = pairs.join(sizes, "head").select(F.col("head").alias("task"), part.alias("block"), "doc_id", F.lit(True).alias("indexed"), F.lit(False).alias("asks"), F.col("doc_id").alias("component"))
-    heads = members.select("task", "block").distinct().select("task", "block", F.col("task").alias("doc_id"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"), F.col("task").alias("component"))
-    links = written(searched(members.union(heads), sets, percent), "head-links")
-    parts = written(components(links), "components")
+    # numbers ascend with size: of two classes, the one with the smaller number is no larger
+    classes = written(classes.repartitionByRange("n", "class").sortWithinPartitions("n", "class").withColumn("number", F.monotonically_increasing_id()), "classes")
+    ranked = listed(texts, set_of, sketch_of(profiles), percent).join(classes, ["n", "p", "q"]).filter("doc_id = class")
+    ranked = written(ranked.select("number", "n", "tokens", "heads").dropDuplicates(["number"]), "ranked")
+
+    # a list has a class once, and a class is in many lists, so no list holds more than a small share of the rows
+    own_list = W.partitionBy("token")
+    postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", (F.col("at") < F.col("heads")).alias("head"))
+    lists = postings.withColumn("length", F.count("*").over(own_list)).withColumn("least", F.min(F.when(F.col("head"), F.col("number"))).over(own_list))
+    lists = written(lists.filter("length > 1 and least is not null"), "lists")
+
+    pairs = lists.filter("number > least").select("least", "number").distinct()
+    small = ranked.select(F.col("number").alias("least"), F.col("n").alias("m"), F.col("tokens").alias("also"))
+    pairs = pairs.join(small, "least").join(ranked.select("number", "n", "tokens"), "number").filter(100 * F.col("m") >= percent * F.col("n"))
+    common = F.size(F.array_intersect("tokens", "also"))
+    first = written(pairs.filter(common >= required(F.col("n"), F.size("tokens"), F.col("m"), F.size("also"), percent)).select(F.col("least").alias("head"), "number"), "candidates")
+    sets = sets_of(texts, first.select("number").union(first.select("head")).distinct(), classes, set_of)
+    links = written(verified(first, sets, ranked, percent), "links")
+    parts = written(components(links).withColumnRenamed("id", "number"), "components")
 
     # lists that still hold several components, each set of documents once
-    in_part = shared.filter("length > 2").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "head", "least", F.coalesce("component", "doc_id").alias("component"))
-    mark = F.xxhash64("doc_id", "head")
+    in_part = lists.filter("length > 2").join(parts, "number", "left").withColumn("component", F.coalesce("component", "number"))
+    mark = F.xxhash64("number", "head")
     several = in_part.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     several = several.groupBy("many", "x", "s").agg(F.min("token").alias("token"))
-    rest = written(in_part.join(several.select("token", "many"), "token"), "rest")
+    rest = written(in_part.join(several.select("token", "many"), "token").select("token", "many", "number", "head", "component"), "rest")
     blocks = F.ceil(F.col("many") / block).cast("int")
-    own_block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    own_block = F.pmod(F.xxhash64("number"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     # block i of the index meets block j of the queries in task block i * blocks + j
-    index = rest.filter("head").select("token", "doc_id", "component", F.explode(F.transform(every, lambda j: own_block * blocks + j)).alias("block"), F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
-    asking = rest.select("token", "doc_id", "component", F.explode(F.transform(every, lambda i: i * blocks + own_block)).alias("block"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
-    both = index.union(asking).groupBy(F.col("token").alias("task"), "block", "doc_id", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
-    more = written(searched(both, sets, percent), "list-links")
-    found = components(links.union(more))
+    index = rest.filter("head").select("token", "number", "component", F.explode(F.transform(every, lambda j: own_block * blocks + j)).alias("block"), F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
+    asking = rest.select("token", "number", "component", F.explode(F.transform(every, lambda i: i * blocks + own_block)).alias("block"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
+    both = index.union(asking).groupBy(F.col("token").alias("task"), "block", "number", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
+    both = both.join(ranked.select("number", "n", "tokens"), "number").select("task", "block", "number", "component", "indexed", "asks", "n", "tokens")
+
+    def search(block: list[tuple]) -> Iterator[tuple[int, int]]:
+        index = [r for r in block if r[2]]
+        if not index:
+            return
+        lists: dict[int, list[int]] = {}
+        for i, r in enumerate(index):
+            for x in r[5]:
+                lists.setdefault(x, []).append(i)
+        for number, component, _, asks, n, tokens in block:
+            def enough(i: int) -> int:
+                m, also = index[i][4], len(index[i][5])
+                return max(1, needed_pair(n, m, percent) - max(n - len(tokens), m - also))
 
-    names = of_class.join(found.withColumnRenamed("id", "class"), "class", "left").select(F.col("n").alias("_n"), F.col("p").alias("_p"), F.col("q").alias("_q"), F.coalesce("component", "class").alias("component_id"))
+            if asks:
+                skip = lambda i: index[i][1] == component or index[i][0] >= number or 100 * index[i][4] < percent * n
+                for at in divide_skip(tokens, lists, 1, enough, skip):
+                    yield index[at][0], number
+
+    second = by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct().join(first, ["head", "number"], "left_anti")
+    second = written(second, "candidates")
+    sets = sets_of(texts, second.select("number").union(second.select("head")).distinct(), classes, set_of)
+    found = components(links.union(verified(second, sets, ranked, percent))).withColumnRenamed("id", "number")
+
+    found = classes.join(found, "number", "left").withColumn("component", F.coalesce("component", "number"))
+    least = found.groupBy("component").agg(F.min("class").alias("component_id"))
+    names = found.join(least, "component").select(F.col("n").alias("_n"), F.col("p").alias("_p"), F.col("q").alias("_q"), "component_id")
     out = rows.join(names, (F.col("n") == F.col("_n")) & (F.col("p") == F.col("_p")) & (F.col("q") == F.col("_q")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
