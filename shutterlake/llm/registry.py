@@ -8,12 +8,16 @@ from .line_dedup import op8_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op1_ngram_join
 from .packing import op2_packing
+from .quality_resampling import op4_quality_resampling
 from .quality_rules import op9_quality_rules
 from .spot_signatures import op7_fingerprints
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_resampling": op4_quality_resampling,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,

@@ -82,13 +82,15 @@ class Words:
         self.end = np.flatnonzero(~space & after) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self, lower: bool) -> np.ndarray:
-        """A 64-bit hash of each word; lower: A-Z count as a-z."""
+    def hashes(self, lower: bool, head: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; lower: A-Z count as a-z; head: of the first so many bytes of longer words, which no whole word's hash equals."""
         values = _VALUES[LOWER] if lower else _VALUES
         up, down = _powers(max(21, int(len(self.data)).bit_length()))
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(values[self.data] * up[: len(self.data)], out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        end = np.minimum(self.end, self.start + head) if head else self.end
+        size = (end - self.start).astype(np.uint64) + np.where(end < self.end, np.uint64(1 << 40), np.uint64(0))
+        return mixed((total[end] - total[self.start]) * down[self.start] + size)
 
 
 def chains(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -1,9 +1,9 @@
 """Operator 3: toxicity severity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w . x - threshold_k): one weight for each word, shared by all
-ordered thresholds. x holds log(1 + count) of the words that the fit has selected, by
-their full 64-bit hash, so that a long text of rare words cannot run into a toxic word's bucket. The
-severity is the expected grade.
+ordered thresholds. x holds log(1 + count) of the words and word beginnings that the fit
+has selected, by their full 64-bit hash, so that a long text of rare words cannot run into
+a toxic word's bucket. Beginnings stand for a stem's inflections and compounds. The severity is the expected grade.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .text_arrays import NOT_WORD, Words, slices
 
 #: Bounds of the fit: labelled documents of either kind, words kept as features, documents a word must be in.
 PER_LABEL, FEATURES, MIN_DOCS = 2000, 512, 6
+#: Lengths of word beginnings, in bytes.
+HEADS = (4, 5, 6, 7)
 GRADES = 3
 
 
@@ -39,19 +41,22 @@ class Model:
 
 
 def word_counts(texts: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each whole text its distinct words, letters and digits in lower case, and how often they occur: hashes, or numbers in `only`, to which the words are then confined."""
+    """For each whole text its distinct words and word beginnings, letters and digits in lower case, and how often they occur: hashes, or numbers in `only`, to which they are then confined."""
     for _, _, data, offsets in slices(texts):
         words = Words(data, offsets, NOT_WORD)
-        h, first = words.hashes(True), words.first
-        if only is not None:
-            at = np.minimum(np.searchsorted(only, h), max(0, len(only) - 1))
-            hit = np.flatnonzero(only[at] == h) if len(only) else np.zeros(0, np.int64)
-            h, first = at[hit], np.searchsorted(hit, first)
-        for a, b in zip(first[:-1], first[1:]):
-            yield np.unique(h[a:b], return_counts=True)
-
-
-def cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], n_features: int, grades: np.ndarray, top: int, ridge: float = 2.0, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+        kinds = []
+        for head in (0, *HEADS):
+            h, first = words.hashes(True, head), words.first
+            if only is not None:
+                at = np.minimum(np.searchsorted(only, h), max(0, len(only) - 1))
+                hit = np.flatnonzero(only[at] == h) if len(only) else np.zeros(0, np.int64)
+                h, first = at[hit], np.searchsorted(hit, first)
+            kinds.append((h, first))
+        for i in range(len(offsets) - 1):
+            yield np.unique(np.concatenate([h[first[i] : first[i + 1]] for h, first in kinds]), return_counts=True)
+
+
+def cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], n_features: int, grades: np.ndarray, top: int, ridge: float = 0.2, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by gradient steps on the penalised likelihood of the cumulative-link model. x: (feature numbers, counts) of each document."""
     row = np.repeat(np.arange(len(x)), [len(at) for at, _ in x])
     column = np.concatenate([at for at, _ in x] or [np.zeros(0, int)]).astype(int)
@@ -81,8 +86,11 @@ def cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], n_features: int, gra
     return w, np.concatenate([low, low + np.cumsum(np.exp(gaps))])
 
 
-def selected_words(counts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, most: int, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, log odds): the words in min_docs documents that tell positive documents apart best, by the likelihood ratio."""
+def selected_words(counts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, most: int, min_docs: int, least_odds: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """(words, log odds): the words in min_docs documents that mark positive documents best, by the likelihood ratio, with at least least_odds times the odds there.
+
+    Words that mark the others are left out: a long clean text has many, and they would outweigh an insult.
+    """
     every, n_in = np.unique(np.concatenate([h for h, _ in counts] or [np.zeros(0, np.uint64)]), return_counts=True)
     every = every[n_in >= min_docs]
     of = {True: np.zeros(len(every)), False: np.zeros(len(every))}
@@ -94,8 +102,9 @@ def selected_words(counts: list[tuple[np.ndarray, np.ndarray]], positive: np.nda
     a, b = of[True] / max(1, positive.sum()), of[False] / max(1, (~positive).sum())
     mean = (a + b) / 2
     gain = sum(np.where(p > 0, p * np.log(np.maximum(p, 1e-12) / np.maximum(mean, 1e-12)), 0) for p in (a, b))
-    best = np.sort(np.argsort(-gain, kind="stable")[:most])
     odds = np.log((of[True] + 0.5) / max(1, positive.sum())) - np.log((of[False] + 0.5) / max(1, (~positive).sum()))
+    order = np.argsort(-gain, kind="stable")
+    best = np.sort(order[odds[order] > np.log(least_odds)][:most])
     return every[best], odds[best]
 
 
