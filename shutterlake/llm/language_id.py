@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import table
 from .text_arrays import slices
@@ -148,31 +148,33 @@ def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int
     return Model(np.array(weights), np.array(bias), pairs, by_family) if by_family else None
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row of docs (doc_id, text), from its whole text alone.
+def tagged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with lang_pred and score of each row, from its whole text alone; columns of these names are replaced, all others pass through.
 
     und with score 0 where the text is null or has no letter, or where no model could be
     fitted. Repeated rows stay; an empty table gives none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text", "_letters")]
+    rows = docs.select(*kept, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             langs, scores = [], []
-            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in slices(batch.column("text")):
+            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, data, offsets in slices(batch.column("_text")):
                 found, score = own.predict(*trigrams(data, offsets)) if own else ([UNKNOWN] * (b - a), np.zeros(b - a))
                 langs += [lang if ok else UNKNOWN for lang, ok in zip(found, letters[a:b])]
                 scores.append(np.where(letters[a:b], score, 0.0))
             if langs:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(told, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(told, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = identified(docs, fit(docs))
+    out = tagged(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
