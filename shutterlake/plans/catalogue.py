@@ -1,4 +1,5 @@
-"""Registered queries and their DuckDB SQL."""
+"""All registered queries of the photo catalog, and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from shutterlake.plans import catalog_queries, journal_queries, media_queries  # noqa: F401  they register themselves
+
+QUERIES, ORACLES = catalog_queries.QUERIES, catalog_queries.ORACLES
