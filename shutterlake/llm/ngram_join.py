@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log2
 from zlib import compress, decompress
@@ -182,8 +183,8 @@ def sets_of(texts: DataFrame, names: DataFrame, classes: DataFrame, set_of: SetO
     return found.join(wanted, ["n", "p", "q"]).select("number", "elements").dropDuplicates(["number"])
 
 
-def by_block(rows: DataFrame, search: Callable[[list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
-    """(a, b): what search() makes of the rows of each (task, block), one block in memory at a time."""
+def by_block(rows: DataFrame, search: Callable[[int, list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what search(task, rows) makes of the rows of each (task, block), one block in memory at a time."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, out = None, [], []
 
@@ -193,13 +194,13 @@ def by_block(rows: DataFrame, search: Callable[[list[tuple]], Iterator[tuple[int
         for batch in batches:
             for task, number, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if (task, number) != key:
-                    out += search(block)
+                    out += search(key[0], block) if block else []
                     key, block = (task, number), []
                     if len(out) > 10_000:
                         yield some()
                         out = []
                 block.append(tuple(row))
-        out += search(block)
+        out += search(key[0], block) if block else []
         if out:
             yield some()
 
@@ -215,7 +216,7 @@ def verified(candidates: DataFrame, sets: DataFrame, ranked: DataFrame, percent:
     heads = members.select("task", "block").distinct().select("task", "block", F.col("task").alias("number"), F.lit(True))
     rows = members.union(heads).join(sets, "number").select("task", "block", "number", "asks", "elements")
 
-    def search(block: list[tuple]) -> Iterator[tuple[int, int]]:
+    def search(_: int, block: list[tuple]) -> Iterator[tuple[int, int]]:
         asking = [r for r in block if r[1]]
         members = [r for r in block if not r[1]]
         for head, _, elements in asking:
@@ -281,14 +282,23 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     both = index.union(asking).groupBy(F.col("token").alias("task"), "block", "number", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
     both = both.join(ranked.select("number", "n", "tokens"), "number").select("task", "block", "number", "component", "indexed", "asks", "n", "tokens")
 
-    def search(block: list[tuple]) -> Iterator[tuple[int, int]]:
+    def search(token: int, block: list[tuple]) -> Iterator[tuple[int, int]]:
         index = [r for r in block if r[2]]
-        if not index:
-            return
-        lists: dict[int, list[int]] = {}
-        for i, r in enumerate(index):
-            for x in r[5]:
-                lists.setdefault(x, []).append(i)
+        # a pair is found in the list of its first common token, so that smaller tokens do not matter here
+        kept = [r[5][bisect_left(r[5], token) :] for r in index]
+        sizes = Counter(r[1] for r in index)
+        main = max(sizes, key=sizes.get) if sizes else None
+
+        def inverted_without(component: int | None) -> dict[int, list[int]]:
+            lists: dict[int, list[int]] = {}
+            for i, r in enumerate(index):
+                if r[1] != component:
+                    for x in kept[i]:
+                        lists.setdefault(x, []).append(i)
+            return lists
+
+        # most documents of a list are of one component; these only have to ask the others
+        every, others = inverted_without(None) if len(sizes) > 1 or any(r[1] != main for r in block) else {}, inverted_without(main)
         for number, component, _, asks, n, tokens in block:
             def enough(i: int) -> int:
                 m, also = index[i][4], len(index[i][5])
@@ -296,7 +306,7 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
 
             if asks:
                 skip = lambda i: index[i][1] == component or index[i][0] >= number or 100 * index[i][4] < percent * n
-                for at in divide_skip(tokens, lists, 1, enough, skip):
+                for at in divide_skip(tokens[bisect_left(tokens, token) :], others if component == main else every, 1, enough, skip):
                     yield index[at][0], number
 
     second = by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct().join(first, ["head", "number"], "left_anti")
