@@ -50,15 +50,17 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket, np.searchsorted(keep, offsets + 2 * np.arange(n + 1))
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 3) -> np.ndarray:
-    """Weights of a linear machine with hinge loss, by dual coordinate descent; x has a column of ones. y: -1 or 1; both classes weigh the same."""
-    w, alpha, square = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 3) -> np.ndarray:
+    """Weights and bias of a linear machine with hinge loss on some rows of x, by dual coordinate descent. y: -1 or 1 for each of them; both classes weigh the same."""
+    w, alpha, square = np.zeros(x.shape[1] + 1), np.zeros(len(rows)), np.array([1 + float(x[r] @ x[r]) for r in rows])
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / square[i], 0.0), most[i])
-            w += (new - alpha[i]) * y[i] * x[i]
+        for i in order.permutation(len(rows)):
+            own = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * (w[:-1] @ own + w[-1]) - 1) / square[i], 0.0), most[i])
+            w[:-1] += (new - alpha[i]) * y[i] * own
+            w[-1] += (new - alpha[i]) * y[i]
             alpha[i] = new
     return w
 
@@ -123,16 +125,20 @@ def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int
             rows = []
             for _, _, data, offsets in slices(batch.column("text")):
                 bucket, first = trigrams(data, offsets)
-                rows += [np.bincount(bucket[a:b], minlength=1 << BITS).astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
+                for a, b in zip(first[:-1], first[1:]):
+                    at, n = np.unique(bucket[a:b], return_counts=True)
+                    rows.append(at.astype("<u4").tobytes() + n.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "counts"])
 
     sample = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(counted, "doc_id long, lang string, counts binary").collect()
     sample.sort(key=lambda r: (r["lang"], r["doc_id"]))
     labels = np.array([r["lang"] for r in sample], object)
-    x = np.array([np.frombuffer(r["counts"], "<f4") for r in sample], np.float64).reshape(len(sample), -1)
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
-    scale = 1 / max(1e-9, float(np.sqrt((x * x).sum(1)).mean() if len(x) else 1))
-    x = np.hstack([x * scale, np.ones((len(x), 1))])
+    x = np.zeros((len(sample), 1 << BITS), np.float32)
+    for i, r in enumerate(sample):
+        at, n = np.frombuffer(r["counts"], "<u4").reshape(2, -1)
+        x[i, at] = n / max(1, n.sum())
+    scale = 1 / max(1e-9, float(np.mean([np.linalg.norm(own) for own in x]) if len(x) else 1))
+    x *= np.float32(scale)
     by_family: dict[str, list[str]] = {}
     for lang in sorted(set(labels)):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
@@ -141,7 +147,7 @@ def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int
     for node, names, truth in [("", sorted(by_family), family_of), *[(f, langs, labels) for f, langs in by_family.items()]]:
         for a, b in combinations(names, 2):
             rows = np.flatnonzero((truth == a) | (truth == b))
-            w = svm(x[rows], np.where(truth[rows] == b, 1.0, -1.0))
+            w = svm(x, rows, np.where(truth[rows] == b, 1.0, -1.0))
             pairs.append((node, a, b))
             weights.append((w[:-1] * scale).astype(np.float32))
             bias.append(w[-1])
