@@ -7,6 +7,7 @@ from .language_id import op6_language_id
 from .line_dedup import op8_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op1_ngram_join
+from .oracles import OP1, OP5, OP8
 from .packing import op2_packing
 from .quality_resampling import op4_quality_resampling
 from .quality_rules import op9_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op5_chat_format": OP5, "op8_line_dedup": OP8}
