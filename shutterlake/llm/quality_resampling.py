@@ -132,7 +132,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = texts.join(good, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
+    # labels grow with the documents, so both sides are shuffled at every size
+    marked = texts.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
     raw, target = counted(marked)
     ratios = log_ratios(raw, target) if target.sum() else np.zeros(len(raw))
     rows = weighed(texts, ratios)
