@@ -54,7 +54,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, text) to the counts of each document. One pass over the bytes."""
     kinds, (common, order) = _byte_classes(), _common_hashes()
     symbol = np.zeros(256, bool)
-    symbol[[c for c in b"#*$%&|<>[]"]] = True
+    symbol[[c for c in b"#*$%&|<>"]] = True
     for batch in batches:
         if not batch.num_rows:
             continue
