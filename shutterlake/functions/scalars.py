@@ -106,7 +106,8 @@ def megabytes(text: Column) -> Column:
 def capture_ms(taken: Column, subseconds: Column, mtime_s: Column) -> Column:
     """Epoch milliseconds of YYYY:MM:DD HH:MM:SS with sub-second digits, read as if in UTC; else the file's seconds."""
     parts = [F.regexp_extract(taken, r"^(\d{4}):(\d\d):(\d\d) (\d\d):(\d\d):(\d\d)", i).try_cast("int") for i in range(1, 7)]
-    days = F.unix_date(F.to_date(F.concat_ws("-", *[F.lpad(p.cast("string"), 4 if i == 0 else 2, "0") for i, p in enumerate(parts[:3])])))
+    day = F.concat_ws("-", *[F.regexp_extract(taken, r"^(\d{4}):(\d\d):(\d\d) ", i) for i in (1, 2, 3)])
+    days = F.unix_date(day.try_cast("date"))
     ms = F.rpad(F.substring(F.regexp_replace(F.coalesce(subseconds, F.lit("")), r"\D", ""), 1, 3), 3, "0").cast("long")
     return F.coalesce(((days * 24 + parts[3]) * 3600 + parts[4] * 60 + parts[5]).cast("long") * 1000 + ms, mtime_s * 1000)
 
