@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import table
+from .ngram_join import joined
 from .quality_rules import COMMON
 from .text_arrays import NOT_WORD, Words, mixed, slices
 
@@ -91,6 +92,23 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(told, "doc_id long, fingerprint string, n_signatures long")
 
 
+class SpotSets:
+    """Signature sets for the join of near copies: 64 bits, sorted."""
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for own in signature_sets(texts):
+            yield np.sort(mixed(own.astype(np.uint64) + np.uint64(1)))
+
+
+def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles: signatures, component_id) of docs whose signature sets have a Jaccard similarity of at least percent.
+
+    The join numbers sets by length and compares a set only with those of lengths that can reach
+    the threshold, rarest signatures first; what is left is compared whole. Odd rows as in ngram_join.joined.
+    """
+    return joined(docs, SpotSets(), percent)
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) so dealt that in each bucket the rows stand in descending order, each followed by its next document.
 

@@ -241,6 +241,16 @@ def test_fingerprints(spark, sf, odd, none):
     assert spot_signatures.fingerprinted(odd).count() == odd.count()
 
 
+def test_near_copies(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [set(s.tolist()) for s in spot_signatures.signature_sets(pa.array([r["text"] for r in rows]))]
+    links = [(rows[i]["doc_id"], rows[j]["doc_id"]) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = groups(links)
+    got = {r["doc_id"]: r["component_id"] for r in spot_signatures.near_copies(docs).collect()}
+    assert got == {r["doc_id"]: want.get(r["doc_id"], r["doc_id"]) for r in rows}
+
+
 def test_quality_rules(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text").union(odd.select("doc_id", "lang", "text"))
     want = Counter()
