@@ -197,11 +197,11 @@ def clipped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""@p AS (SELECT photo_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 2.0 * x + val / 100.0 AS u, 2.0 * y - val / 50.0 AS v FROM pixels_v),
 s AS (SELECT photo_id, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, u) AS xu, covar_pop(x, v) AS xv, covar_pop(y, u) AS yu, covar_pop(y, v) AS yv, var_pop(x) + var_pop(y) AS var FROM p GROUP BY photo_id), t AS (SELECT *, (xu + yv) / var AS p, (xv - yu) / var AS q FROM s)
-SELECT photo_id, round(p, 5) AS a, round(q, 5) AS c, round(mu - (p * mx - q * my), 5) AS tx, round(mv - (q * mx + p * my), 5) AS ty FROM t""", "pixels_v")
+SELECT photo_id, round(p, 8) AS a, round(q, 8) AS c, round(mu - (p * mx - q * my), 8) AS tx, round(mv - (q * mx + p * my), 8) AS ty FROM t""", "pixels_v")
 def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     points = view(spark, sf_dir, "pixels_v").select("photo_id", d("x").alias("x"), d("y").alias("y"), (2 * d("x") + d("val") / 100).alias("u"), (2 * d("y") - d("val") / 50).alias("v"))
-    return I.similarity_fit(points, "photo_id").select("photo_id", *[F.round(c, 5).alias(c) for c in ("a", "c", "tx", "ty")])
+    return I.similarity_fit(points, "photo_id").select("photo_id", *[F.round(c, 8).alias(c) for c in ("a", "c", "tx", "ty")])
 
 
 @query("SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM perf_v) WHERE n <= 20", "perf_v")
