@@ -204,4 +204,4 @@ def opened(files: DataFrame, catalog: DataFrame, sort: str = "capture", mode: st
     found = pairs.select("folder_id", "dir", "stem", "id")
     merged = reconcile(found, catalog, ["folder_id", "dir", "stem", "id"]).withColumn("capture_ts", F.lit(None).cast("timestamp_ntz"))
     listed = ranked(merged.filter(~F.col("trashed") & ~F.col("missing")).filter(star_filter(mode)), sort)
-    return listed.join(folder_stats(merged), "folder_id")
+    return listed.drop("trashed", "missing").join(folder_stats(merged), "folder_id")
