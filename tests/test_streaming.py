@@ -1,4 +1,7 @@
 """Streams against their batch twins on the same rows."""
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from shutterlake.operators.journal import folded, outbox
@@ -8,7 +11,9 @@ from shutterlake.streaming import streams as L
 
 def stream_of(spark, df, path, files=3):
     df.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(path)
-    # one file a batch, in order of seq
+    # one file a batch, in order of seq: the source reads by modification time
+    for i, f in enumerate(sorted(Path(path).glob("part-*.parquet"))):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
