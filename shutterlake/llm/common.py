@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,15 +40,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a table that written() made; nothing may read it afterwards."""
-    spark = df.sparkSession
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files behind tables that written() made, which nothing may read afterwards, and lets Spark clean the shuffle files of finished plans, which it does as the driver collects garbage."""
+    spark = tables[0].sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+    for folder in {name.rsplit("/", 1)[0] for table in tables for name in table.inputFiles()}:
         if f"/{spark.sparkContext.applicationId}/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

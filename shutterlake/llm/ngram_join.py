@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import components, table, written
+from .common import components, dropped, table, written
 from .text_arrays import Words, mixed, shingle_sets, slices
 
 WORDS, PERCENT = 4, 85
@@ -312,7 +312,9 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     second = by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct().join(first, ["head", "number"], "left_anti")
     second = written(second, "candidates")
     sets = sets_of(texts, second.select("number").union(second.select("head")).distinct(), classes, set_of)
-    found = components(links.union(verified(second, sets, ranked, percent))).withColumnRenamed("id", "number")
+    more = written(verified(second, sets, ranked, percent), "links")
+    dropped(lists, ranked, first, second, rest, parts)
+    found = components(links.union(more)).withColumnRenamed("id", "number")
 
     found = classes.join(found, "number", "left").withColumn("component", F.coalesce("component", "number"))
     least = found.groupBy("component").agg(F.min("class").alias("component_id"))

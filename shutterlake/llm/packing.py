@@ -57,8 +57,16 @@ def encoder(path: str):
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-    whole = Tokenizer.from_file(path)
-    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast(text)
+    whole: list[Tokenizer] = []  # loaded if a text needs it
+
+    def encode(text: str) -> list[int]:
+        if not any(s in text for s in special):
+            return fast(text)
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -71,7 +79,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             rows = []
             for doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
                 ids = np.array([*encode(text or ""), SEPARATOR], "<u4")

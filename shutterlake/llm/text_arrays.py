@@ -20,7 +20,7 @@ NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text taken at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -85,7 +85,7 @@ class Words:
     def hashes(self, lower: bool, head: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; lower: A-Z count as a-z; head: of the first so many bytes of longer words, which no whole word's hash equals."""
         values = _VALUES[LOWER] if lower else _VALUES
-        up, down = _powers(max(21, int(len(self.data)).bit_length()))
+        up, down = _powers(max(20, int(len(self.data)).bit_length()))
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(values[self.data] * up[: len(self.data)], out=total[1:])
         end = np.minimum(self.end, self.start + head) if head else self.end
