@@ -14,6 +14,8 @@ from shutterlake.llm.common import table, written
 
 #: A language that is less certain is rejected.
 MIN_SCORE = 0.5
+#: Near copies: shingles of so many words, a Jaccard similarity of at least so many percent. op1_ngram_join keeps its own contract's 4 and 85.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the document with the smallest doc_id stays, once."""
-    groups = ngram_join.joined(docs.select("doc_id", "text"))
+    """Of near copies by five-word shingles at 80 %, the document with the smallest doc_id stays, once."""
+    groups = ngram_join.joined(docs.select("doc_id", "text"), ngram_join.ShingleSets(NEAR_WORDS), NEAR_PERCENT)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 

@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline as P
 from shutterlake.llm.common import table, written
 
-from .conftest import SPACES, words_of
+from .conftest import SCHEMA, SPACES, doc, words_of
 from .test_operators import UPPER, groups, shingles
 
 
@@ -37,3 +37,14 @@ def test_stages(spark, sf):
 
     pieces = Counter(r["doc_id"] for r in out["packing"] if r["piece"] == 0)
     assert pieces == copies
+
+
+def test_near_copies_between_thresholds(spark):
+    """One word of 50 differs: 43 of 51 four-word shingles (84 %), 41 of 51 five-word shingles (80 %). Two words that lie apart: not a near copy by either."""
+    base = [f"w{i}" for i in range(50)]
+    one, two = base[:25] + ["x"] + base[26:], base[:15] + ["y"] + base[16:35] + ["z"] + base[36:]
+    texts = {1: " ".join(base), 2: " ".join(one), 3: " ".join(two)}
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    assert 100 * len(sets[1] & sets[2]) >= 80 * len(sets[1] | sets[2]) and 100 * len(shingles(texts[1]) & shingles(texts[2])) < 85 * len(shingles(texts[1]) | shingles(texts[2]))
+    out = P.one_of_each_group(spark, spark.createDataFrame([doc(i, t) for i, t in texts.items()], SCHEMA), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
