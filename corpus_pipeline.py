@@ -7,7 +7,7 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shutterlake.llm import language_id, line_dedup, mixing, ngram_join, packing
 from shutterlake.llm.common import table, written
@@ -30,18 +30,35 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return told.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A row's own key, whatever its doc_id: a 64-bit hash of all columns and of which are null. Rows that are equal in all columns share it."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies by five-word shingles at 80 %, the document with the smallest doc_id stays, once."""
-    groups = ngram_join.joined(docs.select("doc_id", "text"), ngram_join.ShingleSets(NEAR_WORDS), NEAR_PERCENT)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of near copies by five-word shingles at 80 %, the row with the smallest doc_id stays, once.
+
+    Every row is a document by row_key: rows that share a doc_id, and rows without one, go only as near copies of another
+    row, or if they equal it in all columns. Null doc_ids come last in a group; rows of one doc_id stand in order of
+    their keys, so that reruns agree. Rows without words are copies of nothing but equal rows.
+    """
+    rows = docs.withColumn("_key", row_key(docs))
+    groups = ngram_join.joined(rows.select(F.col("_key").alias("doc_id"), "text"), ngram_join.ShingleSets(NEAR_WORDS), NEAR_PERCENT)
+    members = rows.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("_place")).join(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
+    stay = members.groupBy("component_id").agg(F.min_by("_key", "_place").alias("_key")).select("_key")
+    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole number."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("size > 0")
-    copies = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    """Every row as often as the mix takes it, to the nearest whole number.
+
+    The mix deals rows by row_key, so that rows without a doc_id, or that share one, are taken each by its own words; equal
+    rows are taken as often as all of them together.
+    """
+    rows = docs.withColumn("_key", row_key(docs))
+    taken = mixing.mix(rows.select(F.col("_key").alias("doc_id"), "text", "source")).filter("size > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).filter("_copies > 0")
+    rows = rows.dropDuplicates(["_key"]).join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     return rows.select(*docs.columns)
 
 

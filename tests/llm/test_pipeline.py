@@ -48,3 +48,40 @@ def test_near_copies_between_thresholds(spark):
     assert 100 * len(sets[1] & sets[2]) >= 80 * len(sets[1] | sets[2]) and 100 * len(shingles(texts[1]) & shingles(texts[2])) < 85 * len(shingles(texts[1]) | shingles(texts[2]))
     out = P.one_of_each_group(spark, spark.createDataFrame([doc(i, t) for i, t in texts.items()], SCHEMA), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_null_and_repeated_ids(spark):
+    text = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    a, b, c, d, e = (text(w, 64) for w in "abcde")
+    rows = [doc(None, a), doc(None, b), doc(None, b), doc(None, c + " x"), doc(7, c), doc(7, d), doc(7, d), doc(7, ""), doc(8, None), doc(None, ""), doc(9, d + " x"), doc(7, e, None), doc(7, e, "de"), (None, e, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = P.one_of_each_group(spark, docs, "").collect()
+    want = [(None, a), (None, b), (7, c), (7, d), (7, ""), (8, None), (None, ""), (7, e)]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
+
+    # one source: the mix takes each of its words once, in whole blocks of 64
+    rows = [doc(None, a), doc(None, b), doc(None, b), doc(7, c), doc(7, text("f", 128)), doc(7, ""), doc(8, None), doc(8, d)]
+    got = P.mixed(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert Counter(map(tuple, got)) == Counter(r for r in rows if r[1])
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, "").collect()
+        ids = {r["doc_id"] for r in got}
+        if name == "language":
+            assert not ids & {1, 2, 3}
+        elif name == "line_dedup":
+            assert len(got) == odd.count()
+        elif name == "ngram_join":
+            # 5 equals 4 but for case, 8 has one shingle more than 6, and 7 equals 6
+            assert Counter(r["doc_id"] for r in got) == Counter({r["doc_id"] for r in odd.collect()} - {5, 7, 8})
+        elif name == "mixing":
+            assert Counter(r["text"] for r in got if r["doc_id"] is None).keys() <= {"no id here at all"} and not ids & {1, 2, 3}
+        else:
+            assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
+        assert stage(spark, none, "").count() == 0, name
+    docs, empty = odd, none
+    for name, stage in P.STAGES:
+        docs, empty = written(stage(spark, docs, ""), name), written(stage(spark, empty, ""), name)
+    assert empty.count() == 0
