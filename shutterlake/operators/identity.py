@@ -6,11 +6,13 @@ face_index, embedding, det_score, person_id, assigned_by, ignored, ...); rejecti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import floor
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shutterlake.functions import scalars as S
 from shutterlake.operators import vectors as V
-from shutterlake.operators.metrics import rounded_rank
 
 THRESHOLD, MARGIN, CLUSTER = 0.45, 0.08, 0.50
 
@@ -255,26 +257,68 @@ def stray_filtered(filtered: DataFrame, faces: DataFrame, person: int) -> DataFr
     return filtered.join(faces.filter((F.col("person_id") == person) & ~F.col("ignored")).select("photo_id"), "photo_id", "left_anti")
 
 
+def _left_out(rows: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """(id, key, cos): each confirmed face against the exemplars of its person's other faces.
+
+    Leaving a face out changes a person's exemplars only if it is one of them, so exemplars
+    are made anew for at most k faces a person: each such face gives a group of its own, without it.
+    """
+    out = whole.select(F.col("id").alias("left_out"), "key").join(rows, "key").filter("id <> left_out")
+    anew = V.exemplars(out.select(F.col("left_out").alias("key"), "id", "vector", "score"), k).select(F.col("key").alias("left_out"), F.col("vector").alias("pv"))
+    cos = F.max(S.cosine(F.col("vector"), F.col("pv"))).alias("cos")
+    stay = rows.join(whole.select("id"), "id", "left_anti").join(whole.select("key", F.col("vector").alias("pv")), "key").groupBy("id", "key").agg(cos)
+    moved = rows.withColumnRenamed("id", "left_out").join(anew, "left_out").groupBy(F.col("left_out").alias("id"), "key").agg(cos)
+    return stay.union(moved)
+
+
+def _value_at(binned: Callable[[float, float], DataFrame], p: float, n: int, lo: float, hi: float) -> float | None:
+    """The value at index round(p (n - 1)) of n sorted values from lo to hi; binned(lo, hi) gives (bin, n, low, high) of those in between. Each pass counts the values of one bin of the last."""
+    if not n:
+        return None
+    rank = floor(p * (n - 1) + 0.5)
+    while lo < hi:
+        for r in binned(lo, hi).groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect():  # V.BINS rows at most
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        lo, hi = r["low"], r["high"]
+    return lo
+
+
 def calibration(faces: DataFrame, k: int = V.EXEMPLARS) -> DataFrame:
     """One row: how many positives and negatives there are, and percentiles of both.
 
     A positive is a confirmed face against the exemplars of its person's other faces, a negative one against
-    another person's exemplars. Leaving a face out changes a person's exemplars only if it is one of them, so exemplars
-    are made anew for at most k faces a person: each such face gives a group of its own, without it.
+    another person's exemplars. Negatives are counted in blocks, never listed.
     """
     rows = V.written(confirmed(faces), "confirmed")
     whole = V.written(V.exemplars(rows, k), "exemplars")
-    out = whole.select(F.col("id").alias("left_out"), "key").join(rows, "key").filter("id <> left_out")
-    anew = V.exemplars(out.select(F.col("left_out").alias("key"), "id", "vector", "score"), k).select(F.col("key").alias("left_out"), F.col("vector").alias("pv"))
-    cos = F.max(S.cosine(F.col("vector"), F.col("pv"))).alias("cos")
-    stay = rows.join(whole.select("id"), "id", "left_anti").join(whole.select("key", F.col("vector").alias("pv")), "key").groupBy("id").agg(cos)
-    moved = rows.withColumnRenamed("id", "left_out").join(anew, "left_out").groupBy("left_out").agg(cos)
-    positives = stay.select("cos").union(moved.select("cos"))
-    others = rows.select("id", F.col("key").alias("own"), "vector").join(whole.select("key", F.col("vector").alias("pv")), F.col("own") != F.col("key"))
-    negatives = others.groupBy("id", "key").agg(cos)
-    both = positives.select("cos", F.lit("p").alias("side")).union(negatives.select("cos", F.lit("n")))
-    lists = both.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("cos")))).alias(s) for s in "pn"])
-    return lists.select(
-        F.size("p").cast("long").alias("positives"), *[rounded_rank(F.col("p"), q).alias(n) for n, q in (("pos_min", 0.0), ("pos_p5", 0.05), ("pos_median", 0.5))],
-        F.size("n").cast("long").alias("negatives"), *[rounded_rank(F.col("n"), q).alias(n) for n, q in (("neg_p95", 0.95), ("neg_max", 1.0))],
-    )
+    positives = V.written(_left_out(rows, whole, k).filter("cos is not null"), "positives")
+    p = positives.agg(F.count("*"), F.min("cos"), F.max("cos")).first()
+    n = V.others_counted(rows, whole).agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("low"), F.max("high")).first()
+
+    def counted(lo: float, hi: float) -> DataFrame:
+        at = F.least(F.floor((F.col("cos") - lo) / (hi - lo) * V.BINS), F.lit(V.BINS - 1)).alias("bin")
+        return positives.filter(F.col("cos").between(lo, hi)).groupBy(at).agg(F.count("*").alias("n"), F.min("cos").alias("low"), F.max("cos").alias("high"))
+
+    pos = [_value_at(counted, q, *p) for q in (0.05, 0.5)]
+    p95 = _value_at(lambda lo, hi: V.others_counted(rows, whole, (lo, hi)), 0.95, *n)
+    names = "positives long, pos_min double, pos_p5 double, pos_median double, negatives long, neg_p95 double, neg_max double"
+    return faces.sparkSession.createDataFrame([(p[0], p[1], *pos, n[0], p95, n[2])], names)
+
+
+def calibration_persons(faces: DataFrame, k: int = V.EXEMPLARS) -> DataFrame:
+    """(person_id, confirmed, positives, pos_min, pos_max, negatives, neg_max) of every person with a confirmed face."""
+    rows = V.written(confirmed(faces), "confirmed")
+    whole = V.written(V.exemplars(rows, k), "exemplars")
+    own = _left_out(rows, whole, k).groupBy("key").agg(F.count("cos").alias("positives"), F.min("cos").alias("pos_min"), F.max("cos").alias("pos_max"))
+    others = V.others_counted(rows, whole).groupBy(F.col("bin").alias("key")).agg(F.sum("n").alias("negatives"), F.max("high").alias("neg_max"))
+    out = rows.groupBy("key").agg(F.count("*").alias("confirmed")).join(own, "key", "left").join(others, "key", "left")
+    return out.select(F.col("key").alias("person_id"), "confirmed", F.coalesce("positives", F.lit(0)).alias("positives"), "pos_min", "pos_max", F.coalesce("negatives", F.lit(0)).alias("negatives"), "neg_max")
+
+
+def calibration_unassigned(faces: DataFrame, k: int = V.EXEMPLARS) -> DataFrame:
+    """(face_id, best_person, best, margin) of every unnamed face that is not ignored: what assignment would see. The margin is the lead over the next person, or best where there is none."""
+    open_ = faces.filter("person_id is null and not ignored and embedding is not null").select(F.col("face_id").alias("id"), F.col("embedding").alias("vector"), F.lit(None).cast("array<long>").alias("barred"))
+    best = V.best_keys(open_, prototypes(faces, k).select("key", "vector"))
+    return best.select(F.col("id").alias("face_id"), F.col("first").alias("best_person"), "best", (F.col("best") - F.coalesce("second", F.lit(0.0))).alias("margin"))

@@ -16,6 +16,8 @@ from shutterlake.functions.scalars import dot
 from shutterlake.sources.shared import written
 
 BLOCK = 2048
+#: Bins of one counting pass over cosines.
+BINS = 4096
 EXEMPLARS, OUTLIER_FLOOR, OUTLIER_GROUP = 5, 0.35, 4
 CARRY_IOU, CARRY_COSINE, CARRY_MARGIN = 0.5, 0.5, 0.10
 
@@ -197,6 +199,48 @@ def best_keys(queries: DataFrame, prototypes: DataFrame, block: int = BLOCK) ->
     return ranked.select("id", F.col("person").alias("first"), F.col("cos").alias("best"), "second")
 
 
+def others_counted(queries: DataFrame, prototypes: DataFrame, between: tuple[float, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """(bin, n, low, high): how many best cosines of queries (id, key, vector) with each other key's prototypes (key, vector) there are, the least and the largest; by the query's key, or, of those in between, by BINS bins.
+
+    One block of queries meets one block of keys at a time, and a block gives counts only. Rows without a vector are left out.
+    """
+    size = max(1, block // EXEMPLARS)
+    protos, asked = prototypes.filter("vector is not null"), queries.filter("vector is not null")
+    n = protos.agg(F.greatest(F.ceil(F.count_distinct("key") / size), F.lit(1)).cast("int").alias("blocks"))
+    m = asked.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("qblocks"))
+    both = F.broadcast(n.join(m))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    ours = asked.join(both).withColumn("own", F.pmod(F.xxhash64("id"), F.col("qblocks")).cast("int"))
+    ours = ours.select(F.lit(0).cast("long").alias("key"), F.explode(F.transform(every("blocks"), lambda p: p * F.col("qblocks") + F.col("own"))).alias("task"), F.lit(False).alias("proto"), F.col("key").alias("of"), "id", "vector")
+    theirs = protos.join(both).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    theirs = theirs.select(F.lit(0).cast("long").alias("key"), F.explode(F.transform(every("qblocks"), lambda q: F.col("own") * F.col("qblocks") + q)).alias("task"), F.lit(True).alias("proto"), F.col("key").alias("of"), "id", "vector")
+
+    def run(block: list[tuple]) -> Iterator[tuple]:
+        block = sorted(block, key=lambda r: r[2:5])  # in one order, so that every pass has the same cosines
+        left, right = [r for r in block if not r[2]], [r for r in block if r[2]]
+        if not left or not right:
+            return
+        keys, first = np.unique([r[3] for r in right], return_index=True)
+        m = unit([r[5] for r in block])
+        cos = np.maximum.reduceat(m[: len(left)] @ m[len(left) :].T, first, axis=1)
+        of = np.array([r[3] for r in left])
+        other = of[:, None] != keys[None, :]
+        if between:
+            lo, hi = between
+            other &= (cos >= lo) & (cos <= hi)
+            value = cos[other]
+            group = np.minimum(np.floor((value - lo) / (hi - lo) * BINS), BINS - 1).astype(np.int64)
+        else:
+            value, group = cos[other], np.broadcast_to(of[:, None], cos.shape)[other]
+        order = np.lexsort((value, group))
+        value, group = value[order], group[order]
+        found, start, count = np.unique(group, return_index=True, return_counts=True)
+        for g, a, c in zip(found.tolist(), start.tolist(), count.tolist()):
+            yield g, c, float(value[a]), float(value[a + c - 1])
+
+    return _tasks(ours.unionByName(theirs), "bin long, n long, low double, high double", run)
+
+
 def accepted(best: DataFrame, threshold: float, margin: float) -> DataFrame:
     """Matches that are good enough and lead the next key by the margin."""
     return best.filter((F.col("best") >= threshold) & (F.col("best") - F.coalesce("second", F.lit(float("-inf"))) >= margin))

@@ -149,3 +149,13 @@ def reject_face(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.calibration(faces(spark, sf_dir))
+
+
+@query()
+def calibration_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.calibration_persons(faces(spark, sf_dir))
+
+
+@query()
+def calibration_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.calibration_unassigned(faces(spark, sf_dir))
