@@ -12,9 +12,10 @@ consecutive sequences at one offset. Spark ranks the pieces and looks their runs
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,12 @@ GROUPS = 256
 PART_ROWS = 20_000
 TOKENIZER = "byte_bpe_50k.json"
 SEPARATOR = 0
+#: Characters of a text that the fast way gets at once, and the most without a safe cut before the tokenizers library takes them.
+PART, MOST = 50_000, 100_000
+#: A place between two tokens whatever stands around it: a space between two characters that surely are no white space.
+SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u06ff])(?= [!-~\u00c0-\u06ff])")
+# fixed value: how byte-level BPE parts a text before merging
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,32 +46,59 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART characters, cut where tokens part; a part is longer where there is no safe cut."""
+    at = 0
+    while len(text) - at > MOST:
+        found = SAFE_CUT.search(text, at + PART)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def as_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizers file as merge ranks, if it is a plain byte-level BPE whose merges have the order of their ids; None for any other."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    words = sorted((i, token) for token, i in model["vocab"].items() if token not in special)
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if [token for _, token in words[256:]] != merged or any(len(token) > 1 for _, token in words[:256]):
+        return None
+    return {bytes(byte_of[c] for c in token): i for i, token in words}
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str):
-    """A function from text to ids of the byte-level BPE in a tokenizers file, without added special tokens.
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from text to the ids that the tokenizers library gives without added special tokens.
 
-    The file's vocabulary runs in tiktoken, four times as fast and with the same ids;
-    texts that hold the string of a special token go through the tokenizers library.
+    Where as_ranks() has found that the file fits, tiktoken runs the same merges four times as fast.
+    It gets short parts only: its regular expressions recurse, and fail on a long run of white
+    space. Parts that cannot be cut, and parts with the string of a special token, go through tokenizers.
     """
-    import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    special = [t["content"] for t in spec["added_tokens"]]
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-    whole: list[Tokenizer] = []  # loaded if a text needs it
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # loaded if a text needs it
+    slow = lambda text: whole().encode(text, add_special_tokens=False).ids
+    ranks, special = as_ranks(spec), [t["content"] for t in spec["added_tokens"]]
+    if ranks is None:
+        return slow
+    import tiktoken
+
+    fast = tiktoken.Encoding("byte-bpe", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if not any(s in text for s in special):
-            return fast(text)
-        if not whole:
-            whole.append(Tokenizer.from_file(path))
-        return whole[0].encode(text, add_special_tokens=False).ids
+        if len(text) > MOST:
+            return [i for part in parts_of(text) for i in (encode(part) if len(part) <= MOST else slow(part))]
+        return slow(text) if any(s in text for s in special) else fast(text)
 
     return encode
 
@@ -73,7 +107,8 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
     """(doc_id, piece, start, length, ids_crc32): the pieces of each row of docs (doc_id, text), whose ids end with SEPARATOR.
 
     Only longer documents than capacity are cut; their first piece is the shorter one. A
-    null text is empty and so one piece of one id.
+    null text is empty and so one piece of one id. A null doc_id stays null. Repeated rows are
+    cut each for itself; other columns are left out, whatever their names; an empty table gives none.
     """
     path = path or tokenizer_path()
 
@@ -209,18 +244,19 @@ def planned(counts: dict[int, int], capacity: int = CAPACITY, large: float = LAR
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs (doc_id, text).
 
-    Pieces of a sequence follow each other from 0 without gaps. Repeated rows are packed
-    as often as they occur. An empty table gives none.
+    Pieces of a sequence follow each other from 0 without gaps. Repeated rows are packed as often as they
+    occur, rows without a doc_id too; null, empty and very long texts and other columns as in cut(). An empty table gives none.
     """
     spark = docs.sparkSession
-    pieces = written(cut(docs, path, capacity), "pieces")
+    # each row has a number of its own, so that rows which share a doc_id spread over the parts
+    pieces = written(cut(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs, _ = planned(counts, capacity)
     parts = 1 + sum(counts.values()) // PART_ROWS
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(W.partitionBy("length", "part").orderBy("row")) - 1
     rows = rows.withColumn("rank", rank).join(starts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     places = spark.createDataFrame(runs, "of_length long, from_rank long, to_rank long, first long, offset long")
     # its size hangs on the capacity alone: some thousand runs
