@@ -93,11 +93,30 @@ def test_ngram_join_odd(odd, none):
     assert ngram_join.joined(none).count() == 0
 
 
+def test_ngram_join_keeps_null_ids_apart(spark):
+    rows = [(5, "one two three four five"), (None, "one two three four five"), (None, ""), (6, "one two three four five")]
+    got = ngram_join.joined(spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, number int, token int"))
+    assert Counter(map(tuple, got.collect())) == Counter([(5, 2, 5), (None, 2, None), (None, 0, None), (6, 2, 5)])
+
+
+def test_ngram_join_of_shared_passages(spark):
+    """Documents of shared sentences: long lists of many components and sizes, cut and searched in small blocks."""
+    rng = random.Random(12)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(12)) for k in range(24)]
+    texts = [" ".join(rng.sample(sentences, rng.randrange(2, 14))) for _ in range(250)]
+    texts += [t + " more" for t in texts[::10]]
+    sets = [shingles(t) for t in texts]
+    want = groups((i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    for block in (8, 512):
+        got = ngram_join.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {i: want.get(i, i) for i in range(len(texts))}
+
+
 def test_packing(spark, sf, odd, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    docs = table(spark, sf, "documents").select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).union(spark.createDataFrame([(77, "a <|endoftext|> b"), (78, "word " * 9000)], "doc_id long, text string"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text")).union(spark.createDataFrame([(77, "a <|endoftext|> b"), (78, "word " * 9000)], "doc_id long, text string"))
     want = Counter()
     for r in docs.collect():
         ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
@@ -120,6 +139,35 @@ def test_packing(spark, sf, odd, none):
     assert packing.packed(none).count() == 0
 
 
+def test_ids_of_long_runs(spark):
+    """Runs on which a recursive regular expression fails, through Spark, against the tokenizers library on the whole text."""
+    from tokenizers import Tokenizer
+
+    tokenizer, most = Tokenizer.from_file(packing.tokenizer_path()), 10**6
+    rng = random.Random(3)
+    bits = ["word", "x  y", "\n\n", "it's", "é ü", "12 345", "\t\t z", "日本 語", "a\u00a0b", "<|end", "<|endoftext|>", " \x1c x", "!!!"]
+    texts = [" " * most, "\t" * most, "\n" * most, "a" * most, "x" + " " * most + "y", " ".join(rng.choice(bits) for _ in range(100_000)), "ten million. " * 800_000]
+    want = []
+    for t in texts:
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        ends = [*range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want.append([zlib.crc32(ids[a:b].tobytes()) for a, b in zip([0, *ends], ends)])
+    got = packing.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, crcs in enumerate(want):
+        assert [r["ids_crc32"] for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])] == crcs
+
+
+def test_other_vocabularies_take_the_plain_way():
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.as_ranks(spec)
+    assert packing.as_ranks(spec | {"normalizer": {"type": "Lowercase"}}) is None
+    merges = spec["model"]["merges"]
+    assert packing.as_ranks(spec | {"model": spec["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}) is None
+
+
 def test_plan_is_near_the_bound():
     lengths = np.minimum(2048, np.exp(np.random.default_rng(5).normal(6.5, 0.9, 20000)).astype(int) + 1)
     counts = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
@@ -151,21 +199,44 @@ def test_chat_parts(spark):
     assert [tuple(a) for a in row["attachments"]] == [("image", "s3://a", 4), ("audio", "b", 63), ("document", "c", 1536), ("image", "d", 1)]
 
 
-def test_line_dedup(odd, none):
-    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+def lines_want(rows, min_docs=10):
+    """(doc_id, kept, n_lines, n_dropped) of (doc_id, text) by plain Python; rows equal in both are one document."""
     key = lambda line: line.strip(SPACES).translate(UPPER)
-    docs_with = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    docs_with = Counter(k for _, t in {(i, t or "") for i, t in rows} for k in {key(x) for x in t.split("\n")} if k)
     want = Counter()
     for i, t in rows:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if docs_with[key(x)] < 10]
+        stay = [x for x in lines if docs_with[key(x)] < min_docs]
         want[i, "\n".join(stay), len(lines), len(lines) - len(stay)] += 1
-    got = line_dedup.common_lines_dropped(odd)
-    assert Counter((r["doc_id"], r["kept"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == want
-    assert set(odd.columns) < set(got.columns)
+    return want
+
+
+def test_line_dedup(spark, sf, odd, none):
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    got = line_dedup.common_lines_dropped(docs)
+    assert Counter((r["doc_id"], r["kept"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == lines_want([tuple(r) for r in docs.collect()])
     assert line_dedup.common_lines_dropped(none).count() == 0
 
 
+def test_line_dedup_clashing_columns(odd):
+    """Names that the operator uses itself pass through, but for those of its results."""
+    names = ["row", "r1", "r2", "at", "lost", "lines", "h1", "h2", "batch", "_id", "_lost"]
+    wide = odd.select("*", *[F.lit(n).alias(n) for n in names], F.lit("old").alias("kept"), F.lit("old").alias("n_lines"))
+    got = line_dedup.common_lines_dropped(wide)
+    assert got.columns == [*odd.columns, *names, "kept", "n_lines", "n_dropped"]
+    rows = got.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    assert Counter((r["doc_id"], r["kept"], r["n_lines"], r["n_dropped"]) for r in rows) == lines_want([(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_line_dedup_of_a_long_document(spark):
+    """Linear in the lines of one document."""
+    lines = [f"own line {i}" if i % 2 else "Shared " for i in range(300_000)]
+    docs = spark.createDataFrame([(0, "\n".join(lines))] + [(i, "shared") for i in range(1, 12)], "doc_id long, text string")
+    row = line_dedup.common_lines_dropped(docs).filter("doc_id = 0").first()
+    assert row["kept"] == "\n".join(lines[1::2]) and (row["n_lines"], row["n_dropped"]) == (300_000, 150_000)
+
+
 def test_line_runs(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     seen, rng = set(), random.Random(3)
@@ -175,6 +246,13 @@ def test_line_runs(spark):
         assert out == {i: "\n".join(x for x in t.split("\n") if x not in seen) for i, t in docs}
         seen |= {x for _, t in docs for x in t.split("\n")}
     assert sum(map(len, runs.levels)) <= 3 and runs.known().count() == len(seen)
+    kept = [run for level in runs.levels for run in level]
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("run_")} == set(kept)
+    # two runs of one bucketing meet without a shuffle
+    plan = runs._merged(kept[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.deleted()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
 def test_mixing(spark, sf, odd, none):
