@@ -12,7 +12,8 @@ PERCENT / 100; the result is each document's component under these links. Steps:
    the candidates' whole sets finds the head's links.
 4. Lists whose documents are all in one component by then have nothing more to give. The
    others are searched in blocks of bounded size, by T-occurrence over the short lists
-   and then over whole sets, leaving out pairs of one component.
+   and then over whole sets, leaving out pairs of one component and pairs whose sizes
+   alone rule a link out.
 
 So large groups of near copies cost one comparison a document rather than one a pair,
 and no link between different components is missed.
@@ -24,7 +25,7 @@ import heapq
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from math import log2
+from math import log, log2
 from zlib import compress, decompress
 
 import numpy as np
@@ -183,8 +184,19 @@ def sets_of(texts: DataFrame, names: DataFrame, classes: DataFrame, set_of: SetO
     return found.join(wanted, ["n", "p", "q"]).select("number", "elements").dropDuplicates(["number"])
 
 
+def row_arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of a column of long lists or of binary sets, each as a view of the batch's memory."""
+    if pa.types.is_list(column.type):
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    else:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        values = np.frombuffer(column.buffers()[2], "<u8", offsets[-1]) if len(column) and offsets[-1] else np.zeros(0, "<u8")
+    for i in range(len(column)):
+        yield values[offsets[i] : offsets[i + 1]]
+
+
 def by_block(rows: DataFrame, search: Callable[[int, list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
-    """(a, b): what search(task, rows) makes of the rows of each (task, block), one block in memory at a time."""
+    """(a, b): what search(task, rows) makes of the rows of each (task, block), one block in memory at a time. The last column holds arrays."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, out = None, [], []
 
@@ -192,7 +204,8 @@ def by_block(rows: DataFrame, search: Callable[[int, list[tuple]], Iterator[tupl
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for task, number, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            *plain, last = batch.columns
+            for task, number, *row in zip(*[c.to_pylist() for c in plain], row_arrays(last)):
                 if (task, number) != key:
                     out += search(key[0], block) if block else []
                     key, block = (task, number), []
@@ -211,7 +224,7 @@ def verified(candidates: DataFrame, sets: DataFrame, ranked: DataFrame, percent:
     """The links (a, b) among candidates (head, number): each head asks an inverted index of its candidates' whole sets, which is split where it would be large."""
     many = candidates.join(ranked.select("number", "n"), "number")
     total = many.groupBy("head").agg(F.sum("n").alias("total"))
-    block = F.pmod(F.xxhash64("number"), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
+    block = F.pmod(F.xxhash64("number"), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("long")
     members = many.join(total, "head").select(F.col("head").alias("task"), block.alias("block"), "number", F.lit(False).alias("asks"))
     heads = members.select("task", "block").distinct().select("task", "block", F.col("task").alias("number"), F.lit(True))
     rows = members.union(heads).join(sets, "number").select("task", "block", "number", "asks", "elements")
@@ -220,9 +233,8 @@ def verified(candidates: DataFrame, sets: DataFrame, ranked: DataFrame, percent:
         asking = [r for r in block if r[1]]
         members = [r for r in block if not r[1]]
         for head, _, elements in asking:
-            query, sets_in = np.frombuffer(elements, "<u8"), [np.frombuffer(r[2], "<u8") for r in members]
-            lists = inverted(sets_in, query)
-            for at in divide_skip(query.tolist(), lists, needed(len(query), percent), lambda i: needed_pair(len(query), len(sets_in[i]), percent), lambda i: False):
+            lists = inverted([r[2] for r in members], elements)
+            for at in divide_skip(elements.tolist(), lists, needed(len(elements), percent), lambda i: needed_pair(len(elements), len(members[i][2]), percent), lambda i: False):
                 yield head, members[at][0]
 
     return by_block(rows, search)
@@ -233,59 +245,55 @@ def required(n: Column, kept: Column, m: Column, also: Column, percent: int) ->
     return F.ceil((n + m) * percent / (100 + percent)) - F.greatest(n - kept, m - also)
 
 
-def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
-
-    component_id is the smallest doc_id reachable by links, the row's own included. Null
-    and empty texts and texts without words have an empty set and link with nothing, not
-    even with each other. Rows that repeat a doc_id are that document more than once. Rows
-    with a null doc_id come back with a null component. Other columns are left out; an
-    empty table gives none.
-    """
-    set_of = set_of or ShingleSets()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = written(profiled(texts, set_of), "profiles")
-    rows = profiles.filter("sketch is null").select("doc_id", "n", "p", "q")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "p", "q").agg(F.min("doc_id").alias("class"))
-    # numbers ascend with size: of two classes, the one with the smaller number is no larger
-    classes = written(classes.repartitionByRange("n", "class").sortWithinPartitions("n", "class").withColumn("number", F.monotonically_increasing_id()), "classes")
-    ranked = listed(texts, set_of, sketch_of(profiles), percent).join(classes, ["n", "p", "q"]).filter("doc_id = class")
-    ranked = written(ranked.select("number", "n", "tokens", "heads").dropDuplicates(["number"]), "ranked")
-
-    # a list has a class once, and a class is in many lists, so no list holds more than a small share of the rows
-    own_list = W.partitionBy("token")
-    postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", (F.col("at") < F.col("heads")).alias("head"))
-    lists = postings.withColumn("length", F.count("*").over(own_list)).withColumn("least", F.min(F.when(F.col("head"), F.col("number"))).over(own_list))
-    lists = written(lists.filter("length > 1 and least is not null"), "lists")
-
-    pairs = lists.filter("number > least").select("least", "number").distinct()
-    small = ranked.select(F.col("number").alias("least"), F.col("n").alias("m"), F.col("tokens").alias("also"))
-    pairs = pairs.join(small, "least").join(ranked.select("number", "n", "tokens"), "number").filter(100 * F.col("m") >= percent * F.col("n"))
+def against_heads(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (head, number), those that sizes and short lists in common leave as candidates."""
+    own = ranked.select(F.col("number").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("also"))
+    both = pairs.join(own, "head").join(ranked.select("number", "n", "tokens"), "number")
+    both = both.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     common = F.size(F.array_intersect("tokens", "also"))
-    first = written(pairs.filter(common >= required(F.col("n"), F.size("tokens"), F.col("m"), F.size("also"), percent)).select(F.col("least").alias("head"), "number"), "candidates")
-    sets = sets_of(texts, first.select("number").union(first.select("head")).distinct(), classes, set_of)
-    links = written(verified(first, sets, ranked, percent), "links")
-    parts = written(components(links).withColumnRenamed("id", "number"), "components")
+    return both.filter(common >= required(F.col("n"), F.size("tokens"), F.col("m"), F.size("also"), percent)).select("head", "number")
 
-    # lists that still hold several components, each set of documents once
-    in_part = lists.filter("length > 2").join(parts, "number", "left").withColumn("component", F.coalesce("component", "number"))
+
+def several_parts(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, many, number, head, component) of the lists that hold several components; of lists with the same documents, one."""
+    placed = lists.filter("length > 2").join(parts, "number", "left").withColumn("component", F.coalesce("component", "number"))
     mark = F.xxhash64("number", "head")
-    several = in_part.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    several = placed.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     several = several.groupBy("many", "x", "s").agg(F.min("token").alias("token"))
-    rest = written(in_part.join(several.select("token", "many"), "token").select("token", "many", "number", "head", "component"), "rest")
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    own_block = F.pmod(F.xxhash64("number"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    # block i of the index meets block j of the queries in task block i * blocks + j
-    index = rest.filter("head").select("token", "number", "component", F.explode(F.transform(every, lambda j: own_block * blocks + j)).alias("block"), F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
-    asking = rest.select("token", "number", "component", F.explode(F.transform(every, lambda i: i * blocks + own_block)).alias("block"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
-    both = index.union(asking).groupBy(F.col("token").alias("task"), "block", "number", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
+    return placed.join(several.select("token", "many"), "token").select("token", "many", "number", "head", "component")
+
+
+def in_blocks(rest: DataFrame, ranked: DataFrame, percent: int, block: int) -> DataFrame:
+    """Distinct candidates (head, number) among all pairs of different components of the lists in rest.
+
+    A list longer than a block is cut by set size, so that a link never spans more than two neighbouring cuts, and
+    each cut into blocks of about `block` documents. A task holds one block of an index and one block of queries. Each
+    pair comes from the list of its first common token alone.
+    """
+    width = log(100 / percent) * 1.0001
+    sized = rest.join(ranked.select("number", "n"), "number").withColumn("cut", F.when(F.col("many") > block, F.floor(F.log("n") / width)).otherwise(0).cast("int"))
+    counts = sized.groupBy("token", "cut").agg(F.count(F.when(F.col("head"), 1)).alias("indexed"), F.count("*").alias("asking"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    counts = counts.select("token", "cut", blocks("indexed").alias("index_blocks"), blocks("asking").alias("ask_blocks"))
+    # what each cut's blocks meet: an index its own cut's and the next one's queries, a query its own cut's and the last one's index
+    near = counts.select("token", F.explode(F.array(F.struct("cut", F.lit(0).alias("kind")), F.struct((F.col("cut") - 1).alias("cut"), F.lit(1).alias("kind")), F.struct((F.col("cut") + 1).alias("cut"), F.lit(2).alias("kind")))).alias("to"), "index_blocks", "ask_blocks")
+    pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("to.kind") == kind, F.col(c))), F.lit(0))
+    near = near.groupBy("token", F.col("to.cut").alias("cut")).agg(pick(0, "index_blocks").alias("i0"), pick(0, "ask_blocks").alias("a0"), pick(1, "ask_blocks").alias("a1"), pick(2, "index_blocks").alias("i2"))
+    placed = sized.join(near, ["token", "cut"])
+    own = lambda n: F.pmod(F.xxhash64("number"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n, made: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), made)).otherwise(F.array().cast("array<bigint>"))
+    task = lambda cut, i, step, j: F.xxhash64(cut, i, F.lit(step), j)
+    index = placed.filter("head").withColumn("block", F.explode(F.concat(upto("a0", lambda j: task(F.col("cut"), own("i0"), 0, j)), upto("a1", lambda j: task(F.col("cut"), own("i0"), 1, j)))))
+    asking = placed.withColumn("block", F.explode(F.concat(upto("i0", lambda i: task(F.col("cut"), i, 0, own("a0"))), upto("i2", lambda i: task(F.col("cut") - 1, i, 1, own("a0"))))))
+    names = ["token", "block", "number", "component"]
+    both = index.select(*names, F.lit(True).alias("indexed"), F.lit(False).alias("asks")).union(asking.select(*names, F.lit(False), F.lit(True)))
+    both = both.groupBy(F.col("token").alias("task"), "block", "number", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
     both = both.join(ranked.select("number", "n", "tokens"), "number").select("task", "block", "number", "component", "indexed", "asks", "n", "tokens")
 
     def search(token: int, block: list[tuple]) -> Iterator[tuple[int, int]]:
         index = [r for r in block if r[2]]
-        # a pair is found in the list of its first common token, so that smaller tokens do not matter here
-        kept = [r[5][bisect_left(r[5], token) :] for r in index]
+        # smaller tokens than the list's own do not matter: a pair that has one is found there
+        kept = [r[5][np.searchsorted(r[5], token) :].tolist() for r in index]
         sizes = Counter(r[1] for r in index)
         main = max(sizes, key=sizes.get) if sizes else None
 
@@ -305,14 +313,51 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
                 return max(1, needed_pair(n, m, percent) - max(n - len(tokens), m - also))
 
             if asks:
+                start = int(np.searchsorted(tokens, token))
+                smaller = set(tokens[:start].tolist())
                 skip = lambda i: index[i][1] == component or index[i][0] >= number or 100 * index[i][4] < percent * n
-                for at in divide_skip(tokens[bisect_left(tokens, token) :], others if component == main else every, 1, enough, skip):
-                    yield index[at][0], number
+                for at in divide_skip(tokens[start:].tolist(), others if component == main else every, 1, enough, skip):
+                    if smaller.isdisjoint(index[at][5][: len(index[at][5]) - len(kept[at])].tolist()):
+                        yield index[at][0], number
+
+    return by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct()
+
+
+def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
+
+    component_id is the smallest doc_id reachable by links, the row's own included. Null
+    and empty texts and texts without words have an empty set and link with nothing, not
+    even with each other. Rows that repeat a doc_id are that document more than once. Rows
+    with a null doc_id link with nothing and come back with a null component. Other columns
+    are left out, whatever their names; an empty table gives none.
+    """
+    set_of = set_of or ShingleSets()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profiles = written(profiled(texts, set_of), "profiles")
+    rows = profiles.filter("sketch is null").select("doc_id", "n", "p", "q")
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "p", "q").agg(F.min("doc_id").alias("class"))
+    # numbers ascend with size: of two classes, the one with the smaller number is no larger
+    classes = written(classes.repartitionByRange("n", "class").sortWithinPartitions("n", "class").withColumn("number", F.monotonically_increasing_id()), "classes")
+    # on the document that stands for a class, so that copies of one text do not meet in one task
+    ranked = listed(texts, set_of, sketch_of(profiles), percent).join(classes.withColumnRenamed("class", "doc_id"), ["doc_id", "n", "p", "q"])
+    ranked = written(ranked.select("number", "n", "tokens", "heads").dropDuplicates(["number"]), "ranked")
+
+    # counted first, with partial sums: a token that many documents share is one row a task, and the join back is one that Spark can split
+    postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", (F.col("at") < F.col("heads")).alias("head"))
+    lengths = postings.groupBy("token").agg(F.count("*").alias("length"), F.min(F.when(F.col("head"), F.col("number"))).alias("least")).filter("length > 1 and least is not null")
+    lists = written(postings.join(lengths, "token"), "lists")
+
+    def searched(candidates: DataFrame) -> DataFrame:
+        sets = sets_of(texts, candidates.select("number").union(candidates.select("head")).distinct(), classes, set_of)
+        return written(verified(candidates, sets, ranked, percent), "links")
 
-    second = by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct().join(first, ["head", "number"], "left_anti")
-    second = written(second, "candidates")
-    sets = sets_of(texts, second.select("number").union(second.select("head")).distinct(), classes, set_of)
-    more = written(verified(second, sets, ranked, percent), "links")
+    first = written(against_heads(lists.filter("number > least").select(F.col("least").alias("head"), "number").distinct(), ranked, percent), "candidates")
+    links = searched(first)
+    parts = written(components(links).withColumnRenamed("id", "number"), "components")
+    rest = written(several_parts(lists, parts), "rest")
+    second = written(in_blocks(rest, ranked, percent, block).join(first, ["head", "number"], "left_anti"), "candidates")
+    more = searched(second)
     dropped(lists, ranked, first, second, rest, parts)
     found = components(links.union(more)).withColumnRenamed("id", "number")
 
@@ -320,7 +365,7 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     least = found.groupBy("component").agg(F.min("class").alias("component_id"))
     names = found.join(least, "component").select(F.col("n").alias("_n"), F.col("p").alias("_p"), F.col("q").alias("_q"), "component_id")
     out = rows.join(names, (F.col("n") == F.col("_n")) & (F.col("p") == F.col("_p")) & (F.col("q") == F.col("_q")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
