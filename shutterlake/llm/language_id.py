@@ -1,9 +1,10 @@
 """Operator 6: language identification by hierarchical discrimination.
 
-A linear support vector machine tells language families apart; within the family, one
-machine for each pair of its languages decides. Features are hashed byte trigrams of the
-whole text, as relative frequencies, so that a document's margin is the mean weight of its
-trigrams and needs one table look-up for each byte.
+Linear support vector machines tell language families apart, one against the rest; within the
+family, one machine for each pair of its languages decides. Languages that no list
+places are put into families by their mean trigram profiles, about as many families as each
+has languages, so that n of them need about n^1.5 machines. Features are hashed byte
+trigrams of the whole text, as relative frequencies.
 """
 
 from __future__ import annotations
@@ -20,14 +21,21 @@ from .common import table
 from .text_arrays import slices
 
 BITS = 13
-#: Bounds of the sample that the machines are fitted on: documents of each language, and languages.
-PER_LANGUAGE, LANGUAGES = 400, 200
-# fixed values: families of languages; a language that is not listed is a family of its own
+#: Bounds of the sample that the machines are fitted on: documents of a language, documents of all, and the least of a language whatever the second bound.
+PER_LANGUAGE, SAMPLE, LEAST = 400, 20_000, 20
+#: So many languages without a listed family are families of their own; more are clustered.
+ALONE = 8
+#: Rows whose trigrams are counted at once.
+ROWS = 256
+# fixed values: families of languages
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "sk": "slavic", "bg": "slavic"}
 UNKNOWN = "und"
 #: Where only one language is known, nothing is left to tell apart.
 CERTAIN = 20.0
 
+#: A sample as sparse rows: (buckets, frequencies) of each document.
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
 
 def _folded() -> np.ndarray:
     """Bytes with A-Z as a-z and every other ASCII character as a space."""
@@ -50,136 +58,195 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket, np.searchsorted(keep, offsets + 2 * np.arange(n + 1))
 
 
-def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 3) -> np.ndarray:
-    """Weights and bias of a linear machine with hinge loss on some rows of x, by dual coordinate descent. y: -1 or 1 for each of them; both classes weigh the same."""
-    w, alpha, square = np.zeros(x.shape[1] + 1), np.zeros(len(rows)), np.array([1 + float(x[r] @ x[r]) for r in rows])
+def svm(x: Rows, rows: np.ndarray, y: np.ndarray, size: int = 1 << BITS, cost: float = 1.0, rounds: int = 20, seed: int = 3) -> np.ndarray:
+    """Weights and, last, bias of a linear machine with hinge loss on some of the sparse rows x, by dual coordinate descent. y: -1 or 1 for each of them; both classes weigh the same."""
+    w, alpha, square = np.zeros(size + 1), np.zeros(len(rows)), np.array([1 + float(x[r][1] @ x[r][1]) for r in rows])
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
-            own = x[rows[i]]
-            new = min(max(alpha[i] - (y[i] * (w[:-1] @ own + w[-1]) - 1) / square[i], 0.0), most[i])
-            w[:-1] += (new - alpha[i]) * y[i] * own
-            w[-1] += (new - alpha[i]) * y[i]
-            alpha[i] = new
+            at, own = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * (w[at] @ own + w[-1]) - 1) / square[i], 0.0), most[i])
+            if new != alpha[i]:
+                w[at] += (new - alpha[i]) * y[i] * own
+                w[-1] += (new - alpha[i]) * y[i]
+                alpha[i] = new
     return w
 
 
+def clustered(profiles: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """The number of each profile's cluster: spherical k-means from farthest-first centres."""
+    unit = profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
+    centres = [0]
+    near = unit @ unit[0]
+    while len(centres) < k:
+        centres.append(int(np.argmin(near)))
+        near = np.maximum(near, unit @ unit[centres[-1]])
+    middle = unit[centres]
+    for _ in range(rounds):
+        of = np.argmax(unit @ middle.T, 1)
+        middle = np.array([unit[of == i].sum(0) if (of == i).any() else middle[i] for i in range(k)])
+        middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-12)
+    return np.argmax(unit @ middle.T, 1)
+
+
 @dataclass
 class Model:
-    """Machines as columns of weights (one row a bucket) with a bias each; nodes says which pair of labels a column tells apart."""
+    """Families of languages and their machines, each a column of weights with its bias as last row: root has one for each family, pairs one for each pair of a family's languages, in the order of combinations()."""
 
-    weights: np.ndarray
-    bias: np.ndarray
-    pairs: list[tuple[str, str, str]]  # node, label below 0, label above 0
-    families: dict[str, list[str]]
+    families: list[list[str]]
+    root: np.ndarray
+    pairs: list[np.ndarray]
 
-    def decided(self, margins: np.ndarray, node: str, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the number of the winning label of a node, by votes and then by its smallest margin, and that margin."""
-        n = len(margins)
-        if len(labels) == 1:
+    def inner(self, x: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the number of the winning language of a family, by votes and then by its smallest margin, and that margin."""
+        n, names = len(x), self.families[family]
+        if len(names) == 1:
             return np.zeros(n, int), np.full(n, CERTAIN)
-        votes, least = np.zeros((n, len(labels))), np.full((n, len(labels)), np.inf)
-        for k, (at, a, b) in enumerate(self.pairs):
-            if at == node:
-                i, j = labels.index(a), labels.index(b)
-                votes[:, i] += margins[:, k] < 0
-                votes[:, j] += margins[:, k] >= 0
-                least[:, i] = np.minimum(least[:, i], -margins[:, k])
-                least[:, j] = np.minimum(least[:, j], margins[:, k])
+        margins = x @ self.pairs[family][:-1] + self.pairs[family][-1]
+        votes, least = np.zeros((n, len(names))), np.full((n, len(names)), np.inf)
+        for k, (i, j) in enumerate(combinations(range(len(names)), 2)):
+            votes[:, i] += margins[:, k] < 0
+            votes[:, j] += margins[:, k] >= 0
+            least[:, i] = np.minimum(least[:, i], -margins[:, k])
+            least[:, j] = np.minimum(least[:, j], margins[:, k])
         best = np.argmax(votes + 1e-6 * np.tanh(least), 1)
         return best, np.take_along_axis(least, best[:, None], 1)[:, 0]
 
     def predict(self, bucket: np.ndarray, first: np.ndarray) -> tuple[list[str], np.ndarray]:
-        count = np.maximum(np.diff(first), 1)
-        margins = np.zeros((len(first) - 1, len(self.pairs)))
-        for k in range(len(self.pairs)):
-            total = np.concatenate([[0.0], np.cumsum(self.weights[k][bucket], dtype=np.float64)])
-            margins[:, k] = (total[first[1:]] - total[first[:-1]]) / count + self.bias[k]
-        names = sorted(self.families)
-        family, margin = self.decided(margins, "", names)
-        out, score = np.full(len(family), "", object), 1 / (1 + np.exp(-2 * margin))
-        for i, name in enumerate(names):
-            rows = np.flatnonzero(family == i)
-            best, inner = self.decided(margins[rows], name, self.families[name])
-            out[rows] = np.array(self.families[name], object)[best]
-            score[rows] *= 1 / (1 + np.exp(-2 * inner))
-        return list(out), np.clip(score, 0.0, 1.0)
+        """(language, score) of each text, given as trigrams() gives them."""
+        out, scores = [], [np.zeros(0)]
+        for a in range(0, len(first) - 1, ROWS):
+            own = first[a : a + ROWS + 1]
+            n = len(own) - 1
+            row = np.repeat(np.arange(n, dtype=np.int64), np.diff(own))
+            x = np.bincount(row << BITS | bucket[own[0] : own[-1]], minlength=n << BITS).reshape(n, -1).astype(np.float32)
+            x /= np.maximum(np.diff(own), 1)[:, None]
+            if len(self.families) > 1:
+                margins = x @ self.root[:-1] + self.root[-1]
+                two = np.sort(margins, 1)[:, -2:]
+                family, margin = np.argmax(margins, 1), (two[:, 1] - two[:, 0]) / 2
+            else:
+                family, margin = np.zeros(n, int), np.full(n, CERTAIN)
+            names, score = np.full(n, "", object), 1 / (1 + np.exp(-2 * margin))
+            for k in np.unique(family):
+                rows = np.flatnonzero(family == k)
+                best, least = self.inner(x[rows], k)
+                names[rows] = np.array(self.families[k], object)[best]
+                score[rows] *= 1 / (1 + np.exp(-2 * least))
+            out += names.tolist()
+            scores.append(np.clip(score, 0.0, 1.0))
+        return out, np.concatenate(scores)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    """Fits the machines on about per_language documents of each of the most frequent languages, chosen by a hash of doc_id, none of them held out; None without labelled documents."""
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()}
+def families_of(langs: list[str], profiles: np.ndarray, families: dict[str, str]) -> list[list[str]]:
+    """The languages in families: as listed, and the others alone if they are few, else by their profiles."""
+    own: dict[str, list[str]] = {}
+    rest = [i for i, lang in enumerate(langs) if lang not in families]
+    of = clustered(profiles[rest], int(np.ceil(np.sqrt(len(rest))))) if len(rest) > ALONE else np.arange(len(rest))
+    for i, k in zip(rest, of):
+        own.setdefault(f"cluster {k}", []).append(langs[i])
+    for lang in langs:
+        if lang in families:
+            own.setdefault(families[lang], []).append(lang)
+    return [own[name] for name in sorted(own)]
+
+
+def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Fits the machines on a sample of docs (doc_id, text, lang) by a hash of doc_id, none of them held out; None without labelled documents.
+
+    Of each language, about per_language documents, or as many as let all languages share `sample` documents, LEAST
+    at any rate. Every language that a labelled text with a letter has is learned, however rare. The
+    sample's trigram counts reach the driver as sparse rows, some 10 KB a document. The languages' names and counts do so too.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.coalesce(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])[F.col("lang")], F.lit(0.0))
-    chosen = labelled.filter((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    each = max(LEAST, min(per_language, sample // len(counts)))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "of_lang string, share double")
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # one row a language
+    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("of_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            found = []
             for _, _, data, offsets in slices(batch.column("text")):
                 bucket, first = trigrams(data, offsets)
                 for a, b in zip(first[:-1], first[1:]):
                     at, n = np.unique(bucket[a:b], return_counts=True)
-                    rows.append(at.astype("<u4").tobytes() + n.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "counts"])
-
-    sample = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(counted, "doc_id long, lang string, counts binary").collect()
-    sample.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    labels = np.array([r["lang"] for r in sample], object)
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
-    for i, r in enumerate(sample):
-        at, n = np.frombuffer(r["counts"], "<u4").reshape(2, -1)
-        x[i, at] = n / max(1, n.sum())
-    scale = 1 / max(1e-9, float(np.mean([np.linalg.norm(own) for own in x]) if len(x) else 1))
-    x *= np.float32(scale)
-    by_family: dict[str, list[str]] = {}
-    for lang in sorted(set(labels)):
-        by_family.setdefault(families.get(lang, lang), []).append(lang)
-    family_of = np.array([families.get(lang, lang) for lang in labels], object)
-    pairs, weights, bias = [], [], []
-    for node, names, truth in [("", sorted(by_family), family_of), *[(f, langs, labels) for f, langs in by_family.items()]]:
+                    found.append(at.astype("<u4").tobytes() + n.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "counts"])
+
+    found = chosen.select("doc_id", "lang", "text").mapInArrow(counted, "doc_id long, lang string, counts binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0))
+    return fitted([r["lang"] for r in found], [np.frombuffer(r["counts"], "<u4").reshape(2, -1) for r in found], families)
+
+
+def fitted(labels: list[str], counts: list[np.ndarray], families: dict[str, str] = FAMILIES) -> Model | None:
+    """The machines for documents of these labels, given as (buckets, counts)."""
+    if not labels:
+        return None
+    x = [(at.astype(np.int64), n / max(1, n.sum())) for at, n in counts]
+    scale = 1 / max(1e-9, float(np.mean([np.linalg.norm(v) for _, v in x])))
+    x = [(at, v * scale) for at, v in x]
+    langs, truth = sorted(set(labels)), np.array(labels, object)
+    profiles = np.zeros((len(langs), 1 << BITS), np.float32)
+    number = {lang: i for i, lang in enumerate(langs)}
+    for lang, (at, v) in zip(labels, x):
+        profiles[number[lang], at] += v
+    groups = families_of(langs, profiles, families)
+    family_of = {lang: k for k, names in enumerate(groups) for lang in names}
+    of = np.array([family_of[lang] for lang in labels])
+    scaled = lambda w: np.append(w[:-1] * scale, w[-1]).astype(np.float32)
+    every = np.arange(len(x))
+    root = [scaled(svm(x, every, np.where(of == k, 1.0, -1.0))) for k in range(len(groups))] if len(groups) > 1 else []
+    pairs = []
+    for names in groups:
+        own = []
         for a, b in combinations(names, 2):
             rows = np.flatnonzero((truth == a) | (truth == b))
-            w = svm(x, rows, np.where(truth[rows] == b, 1.0, -1.0))
-            pairs.append((node, a, b))
-            weights.append((w[:-1] * scale).astype(np.float32))
-            bias.append(w[-1])
-    return Model(np.array(weights), np.array(bias), pairs, by_family) if by_family else None
+            own.append(scaled(svm(x, rows, np.where(truth[rows] == b, 1.0, -1.0))))
+        pairs.append(np.array(own, np.float32).T)
+    return Model(groups, np.array(root, np.float32).T, pairs)
 
 
-def tagged(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score of each row, from its whole text alone; columns of these names are replaced, all others pass through.
-
-    und with score 0 where the text is null or has no letter, or where no model could be
-    fitted. Repeated rows stay; an empty table gives none.
-    """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text", "_letters")]
-    rows = docs.select(*kept, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+def told_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, lang_pred, score): each row of docs as a struct, with its language from its whole text alone."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             langs, scores = [], []
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in slices(batch.column("_text")):
+            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, data, offsets in slices(batch.column("text")):
                 found, score = own.predict(*trigrams(data, offsets)) if own else ([UNKNOWN] * (b - a), np.zeros(b - a))
                 langs += [lang if ok else UNKNOWN for lang, ok in zip(found, letters[a:b])]
                 scores.append(np.where(letters[a:b], score, 0.0))
             if langs:
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["row", "lang_pred", "score"])
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(told, schema)
 
 
+def tagged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with lang_pred and score of each row; columns of these names are replaced, all others pass through, whatever their names.
+
+    und with score 0 where the text is null or has no letter, or where no model could be
+    fitted. Repeated rows stay; an empty table gives none.
+    """
+    return told_rows(docs, model).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = tagged(docs.select("doc_id", "text"), fit(docs))
