@@ -1,9 +1,13 @@
 """Operator 9: quality rules by distribution divergence.
 
-A document's histogram of character classes and its histogram of common words are
-compared with those of its language by Jensen-Shannon distance. The references are
-sums over all documents of that language; documents too short for a histogram to mean
-anything are not judged by it.
+A document's histogram of character classes and its histogram of its language's common
+words are compared with those of the language by Jensen-Shannon distance. Common words and
+references come from all documents of a language; documents too short for a histogram to
+mean anything are not judged by it.
+
+Hashed word counts by language over all texts name each language's common words. One pass
+over the texts then counts everything else. What it counts is written, so that references
+and distances read numbers only.
 """
 
 from __future__ import annotations
@@ -12,22 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import table
+from .common import table, written
 from .text_arrays import SPACE, Words, chains, slices
 
 CLASSES = ["lower", "upper", "digit", "space", "point", "symbol", "other"]
-# fixed values: frequent function words of four languages
-COMMON = {
-    "en": "the of and to in a is that for it with as was on be by are this have from".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
-}
 MIN_CHARS, MIN_WORDS = 200, 200
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.26
-_WORDS = sorted({w for words in COMMON.values() for w in words})
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.26
+#: Common words of a language, and buckets (2^WORD_BITS) in which words are counted to find them.
+N_COMMON, WORD_BITS = 20, 12
+#: Languages, the most frequent ones, that have references; documents of still rarer ones are judged by the base rules alone.
+LANGUAGES = 4096
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _byte_classes() -> np.ndarray:
@@ -42,62 +43,92 @@ def _byte_classes() -> np.ndarray:
     return kind
 
 
-def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
-    column = pa.array(_WORDS)
-    (_, _, data, offsets), = slices(column)
-    hashes = Words(data, offsets).hashes(True)
-    order = np.argsort(hashes)
-    return hashes[order], order
-
-
-def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, lang, text) to the counts of each document. One pass over the bytes."""
-    kinds, (common, order) = _byte_classes(), _common_hashes()
-    symbol = np.zeros(256, bool)
-    symbol[[c for c in b"#*$%&|<>"]] = True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words")}
-        texts = batch.column("text")
-        for a, b, data, offsets in slices(texts):
-            words = Words(data, offsets)
-            n = len(offsets) - 1
-            n_words = np.diff(words.first)
-            row = np.repeat(np.arange(n), np.diff(offsets))
-            classes = np.bincount(row * 8 + kinds[data], minlength=8 * n).reshape(n, 8)[:, :7]
-            exact = words.hashes(False)
-            triples = chains(exact, 3)
-            repeats = np.zeros(n, np.int64)
-            for i in range(n):
-                lo, hi = words.first[i], words.first[i + 1]
-                if hi - lo < 4:
-                    continue
-                _, back, count = np.unique(triples[lo : hi - 2], return_inverse=True, return_counts=True)
-                twice = count[back] > 1
-                if twice.any():
-                    covered = np.zeros(hi - lo, bool)
-                    for k in range(3):
-                        covered[k : k + len(twice)] |= twice
-                    repeats[i] = covered.sum()
-            low = words.hashes(True)
-            at = np.minimum(np.searchsorted(common, low), len(common) - 1)
-            known = common[at] == low
-            word_row = np.repeat(np.arange(n), n_words)
-            bins = np.bincount(word_row * (len(common) + 1) + np.where(known, order[at], len(common)), minlength=n * (len(common) + 1)).reshape(n, -1)
-            columns["n_words"].append(n_words)
-            columns["word_chars"].append(classes.sum(1) - classes[:, 3])
-            columns["n_symbols"].append(np.bincount(row, weights=symbol[data], minlength=n).astype(np.int64))
-            columns["n_dup_lines"].append(_duplicate_lines(data, offsets, words))
-            columns["n_repeat_words"].append(repeats)
-            columns["chars"] += list(classes.astype(np.int64))
-            columns["words"] += list(bins.astype(np.int64))
-        longs = [pa.array(np.concatenate(columns[k]).astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        lists = [pa.array(columns[k], pa.list_(pa.int64())) for k in ("chars", "words")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *longs, *lists], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"])
-
-
-def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
+def word_buckets(words: Words, bits: int) -> np.ndarray:
+    return (words.hashes(True) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def common_words(docs: DataFrame, n: int = N_COMMON, bits: int = WORD_BITS, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
+    """For each language its n most frequent words, as buckets, over all texts of docs (lang, text). A task sends one row for each language and bucket at most."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            number = langs.indices.to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets)
+                of = np.repeat(number[a:b], np.diff(words.first)).astype(np.int64)
+                counts = np.bincount(of << bits | word_buckets(words, bits), minlength=len(langs.dictionary) << bits).reshape(-1, 1 << bits)
+                for k in np.unique(number[a:b]):
+                    lang = langs.dictionary[int(k)].as_py()
+                    total[lang] = total.get(lang, 0) + counts[k]
+        for lang, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "n"])
+
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null")
+    counts = rows.mapInArrow(told, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # 2^bits rows a language at most
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "bucket"))).withColumn("words", F.sum("n").over(W.partitionBy("lang"))).filter(F.col("rank") <= n)
+    best = ranked.groupBy("lang").agg(F.max("words").alias("words"), F.array_sort(F.collect_list("bucket")).alias("buckets")).orderBy(F.col("words").desc(), "lang").limit(languages)
+    return {r["lang"]: np.array(r["buckets"]) for r in best.collect()}
+
+
+def measured(docs: DataFrame, common: dict[str, np.ndarray], n: int = N_COMMON, bits: int = WORD_BITS) -> DataFrame:
+    """(doc_id, lang, the columns of BASE, chars, words): the counts of each row of docs (doc_id, lang, text). One pass over the bytes."""
+    names = sorted(common)
+    places = np.full((len(names) + 1, 1 << bits), n, np.int8)  # a bucket's place among its language's common words; the last row: none
+    for i, lang in enumerate(names):
+        places[i, common[lang]] = np.arange(len(common[lang]))
+    shared = docs.sparkSession.sparkContext.broadcast(({lang: i for i, lang in enumerate(names)}, places))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (number, place), kinds = shared.value, _byte_classes()
+        symbol = np.zeros(256, bool)
+        symbol[[*b"#*$%&|<>"]] = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns: dict[str, list] = {k: [] for k in (*BASE, "chars", "words")}
+            langs = np.array([number.get(x, len(number)) for x in batch.column("lang").to_pylist()])
+            for a, b, data, offsets in slices(batch.column("text")):
+                words, rows = Words(data, offsets), b - a
+                n_words = np.diff(words.first)
+                row = np.repeat(np.arange(rows), np.diff(offsets))
+                classes = np.bincount(row * 8 + kinds[data], minlength=8 * rows).reshape(rows, 8)[:, :7]
+                triples, repeats = chains(words.hashes(False), 3), np.zeros(rows, np.int64)
+                for i in range(rows):
+                    lo, hi = words.first[i], words.first[i + 1]
+                    if hi - lo < 4:
+                        continue
+                    _, back, count = np.unique(triples[lo : hi - 2], return_inverse=True, return_counts=True)
+                    twice = count[back] > 1
+                    if twice.any():
+                        covered = np.zeros(hi - lo, bool)
+                        for k in range(3):
+                            covered[k : k + len(twice)] |= twice
+                        repeats[i] = covered.sum()
+                word_row = np.repeat(np.arange(rows), n_words)
+                at = place[langs[a:b][word_row], word_buckets(words, bits)].astype(np.int64)
+                columns["n_words"].append(n_words)
+                columns["word_chars"].append(classes.sum(1) - classes[:, 3])
+                columns["n_symbols"].append(np.bincount(row, weights=symbol[data], minlength=rows))
+                columns["n_dup_lines"].append(_duplicate_lines(data, offsets))
+                columns["n_repeat_words"].append(repeats)
+                columns["chars"].append(classes)
+                columns["words"].append(np.bincount(word_row * (n + 1) + at, minlength=rows * (n + 1)).reshape(rows, n + 1))
+            longs = [pa.array(np.concatenate(columns[k]).astype(np.int64)) for k in BASE]
+            lists = [_lists(np.concatenate(columns[k]).astype(np.int64)) for k in ("chars", "words")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *longs, *lists], ["doc_id", "lang", *BASE, "chars", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(told, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.reshape(-1)))
+
+
+def _duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text its lines with a word that equal an earlier line of it."""
     out = np.zeros(len(offsets) - 1, np.int64)
     ends = np.flatnonzero(data == 10)
@@ -111,35 +142,41 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.
     return out
 
 
-def divergence(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms, given as arrays of counts; 0 if one of them is empty."""
-    zero = F.lit(0.0)
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-    n, m = total(counts), total(reference)
-    term = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(zero)
-    pairs = F.zip_with(counts, reference, lambda c, r: (term(c / n, r / m) + term(r / m, c / n)) / 2)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(F.aggregate(pairs, zero, lambda s, v: s + v), zero))).otherwise(zero)
+def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts to the same row of reference; 0 if one of them is empty."""
+    n, m = counts.sum(1, keepdims=True), reference.sum(1, keepdims=True)
+    p, q = counts / np.maximum(n, 1), reference / np.maximum(m, 1)
+    term = lambda x, y: np.where(x > 0, x * np.log2(np.where(x > 0, 2 * x / np.maximum(x + y, 1e-300), 1)), 0).sum(1)
+    return np.where((n[:, 0] > 0) & (m[:, 0] > 0), np.sqrt(np.maximum((term(p, q) + term(q, p)) / 2, 0)), 0.0)
 
 
 def judged(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """One row a document of docs (doc_id, lang, text): base counts, both distances, base_failed and kept.
+    """One row a row of docs (doc_id, lang, text): base counts, both distances, base_failed and kept.
 
-    A null text has no words and fails the base rules; a null lang is a language of its
-    own. The word histogram is held against the language's reference only where that
-    language has a list of common words. References are sums over all documents that
-    pass the base rules: one row a language, joined on lang, with the sums made on the map side first.
+    References are sums over all documents of a language that pass the base rules. A null text has no words
+    and fails the base rules. Documents without a language, of mixed origin, are held against each other by
+    characters only. Null doc_ids and repeated rows come back as they are; other columns are left
+    out, whatever their names; an empty table gives none. Very long texts are measured whole.
     """
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(measured, schema)
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    n, m = len(CLASSES), len(_WORDS) + 1
-    sums = rows.filter("not base_failed").groupBy("lang").agg(*[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(m)])
-    references = sums.select(F.col("lang").alias("_lang"), F.array(*[f"c{i}" for i in range(n)]).alias("_chars"), F.array(*[f"w{i}" for i in range(m)]).alias("_words"))
-    out = rows.join(references, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    out = out.withColumn("char_distance", divergence(F.col("chars"), F.coalesce("_chars", "chars"))).withColumn("word_distance", divergence(F.col("words"), F.coalesce("_words", "words")))
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda s, v: s + v)
-    unlike = ((n_chars >= min_chars) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_words) & F.coalesce(F.col("lang").isin(*COMMON), F.lit(False)) & (F.col("word_distance") > max_word_distance))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~unlike).alias("kept"), "char_distance", "word_distance")
+    spark = docs.sparkSession
+    rows = written(measured(docs, common_words(docs)), "measured").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    n, m = len(CLASSES), N_COMMON + 1
+    sums = rows.filter("not base_failed").groupBy("lang").agg(F.sum("n_words").alias("size"), F.array(*[F.sum(F.col("chars")[i]) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.col("words")[i]) for i in range(m)]).alias("words"))
+    # LANGUAGES rows of some thirty numbers at most, whatever the input
+    found = sums.orderBy(F.col("lang").isNotNull(), F.col("size").desc(), "lang").limit(LANGUAGES + 1).collect()
+    shared = spark.sparkContext.broadcast(({r["lang"]: i for i, r in enumerate(found)}, np.array([r["chars"] for r in found] + [[0] * n], float), np.array([r["words"] if r["lang"] is not None else [0] * m for r in found] + [[0] * m], float)))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chars, words = shared.value
+        for batch in batches:
+            of = np.array([number.get(x, len(number)) for x in batch.column("lang").to_pylist()], np.int64)
+            own, theirs = (np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(len(of), -1) if len(of) else np.zeros((0, k)) for c, k in (("chars", n), ("words", m)))
+            by_char, by_word = divergence(own, chars[of]), divergence(theirs, words[of])
+            unlike = ((own.sum(1) >= min_chars) & (by_char > max_char_distance)) | ((theirs.sum(1) >= min_words) & (by_word > max_word_distance))
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *BASE, "base_failed")], pa.array(~failed & ~unlike), pa.array(by_char), pa.array(by_word)], ["doc_id", *BASE, "base_failed", "kept", "char_distance", "word_distance"])
+
+    return rows.select("doc_id", "lang", *BASE, "base_failed", "chars", "words").mapInArrow(told, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
