@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, table
+from .common import WORD, table, written
 
 BLOCK = 64
-SHARD_ROWS = 4096
+#: Documents of a shard, and the most shards of a source, as one task deals a source's blocks to its shards; shards of larger sources have more documents.
+SHARD_ROWS, SHARDS = 4096, 10_000
 REPEATS = 3
 
 
@@ -71,17 +72,18 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7, shard_rows: int = SH
     """(doc_id, size, source_size, target, taken) of every row of docs (doc_id, text, source).
 
     Null or empty texts have size 0 and give nothing; sources without words get
-    target 0. Repeated doc_ids are rows of their own. Reruns agree, as the order within
-    a shard hangs on seed, doc_id and size alone. An empty table gives none.
+    target 0. Repeated and null doc_ids are rows of their own, null is a source. Reruns agree, as the order within
+    a shard hangs on seed, doc_id and size alone. Other columns are left out, whatever their names. An
+    empty table gives none. Texts are read once; the rest works on the written sizes.
     """
-    base = sized(docs).select("doc_id", "source", "size")
+    base = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size"), "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     goal = targets(by_source, repeats).withColumn("_all", F.lit(0))
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy("_all")) / block).cast("long"))
     quota = apportioned(goal, ["_all"], "target", "blocks", ["source"], "quota").drop("_all", "blocks", "weight")
 
     dealt = base.join(quota.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.ceil(F.col("source_rows") / shard_rows)).cast("long"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.least(F.ceil(F.col("source_rows") / shard_rows), F.lit(SHARDS))).cast("long"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = apportioned(shards, ["source"], "shard_size", "quota", ["shard"], "blocks").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "blocks")
     rows = dealt.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
