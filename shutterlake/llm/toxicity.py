@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import table, written
 from .language_id import held_out
 from .text_arrays import NOT_WORD, Words, slices
 
@@ -86,33 +86,27 @@ def cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], n_features: int, gra
     return w, np.concatenate([low, low + np.cumsum(np.exp(gaps))])
 
 
-def selected_words(counts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, most: int, min_docs: int, least_odds: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """(words, log odds): the words in min_docs documents that mark positive documents best, by the likelihood ratio, with at least least_odds times the odds there.
+def selected_words(sample: DataFrame, n_positive: int, n_other: int, most: int, min_docs: int, least_odds: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """(words, log odds) from sample (toxic, h): the words in min_docs documents that mark toxic documents best, by the likelihood ratio, with at least least_odds times the odds there. At most `most` rows reach the driver.
 
     Words that mark the others are left out: a long clean text has many, and they would outweigh an insult.
     """
-    every, n_in = np.unique(np.concatenate([h for h, _ in counts] or [np.zeros(0, np.uint64)]), return_counts=True)
-    every = every[n_in >= min_docs]
-    of = {True: np.zeros(len(every)), False: np.zeros(len(every))}
-    for (h, _), p in zip(counts, positive):
-        if len(every):
-            at = np.searchsorted(every, h)
-            ok = np.minimum(at, len(every) - 1)
-            of[bool(p)][ok[every[ok] == h]] += 1
-    a, b = of[True] / max(1, positive.sum()), of[False] / max(1, (~positive).sum())
-    mean = (a + b) / 2
-    gain = sum(np.where(p > 0, p * np.log(np.maximum(p, 1e-12) / np.maximum(mean, 1e-12)), 0) for p in (a, b))
-    odds = np.log((of[True] + 0.5) / max(1, positive.sum())) - np.log((of[False] + 0.5) / max(1, (~positive).sum()))
-    order = np.argsort(-gain, kind="stable")
-    best = np.sort(order[odds[order] > np.log(least_odds)][:most])
-    return every[best], odds[best]
-
-
-def graded(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, words: np.ndarray, odds: np.ndarray, top: int) -> np.ndarray:
-    """Severity grades from a yes-or-no label: 0 for documents that are not toxic; the toxic ones get 1 to top in equal parts by how dense words with at least ten-fold odds are in them."""
-    strong = words[odds > np.log(10)]
-    density = np.array([n[np.isin(h, strong)].sum() / max(1, n.sum()) for h, n in counts])
-    grades = np.zeros(len(counts), int)
+    seen = sample.select("toxic", F.explode("h").alias("word")).groupBy("word").agg(F.count(F.when(F.col("toxic"), 1)).alias("a"), F.count(F.when(~F.col("toxic"), 1)).alias("b"))
+    p, q = F.col("a") / max(1, n_positive), F.col("b") / max(1, n_other)
+    part = lambda x: F.when(x > 0, x * F.log(2 * x / (p + q))).otherwise(0.0)
+    odds = F.log((F.col("a") + 0.5) / max(1, n_positive)) - F.log((F.col("b") + 0.5) / max(1, n_other))
+    best = seen.filter(F.col("a") + F.col("b") >= min_docs).select("word", odds.alias("odds"), (part(p) + part(q)).alias("gain")).filter(F.col("odds") > float(np.log(least_odds)))
+    found = best.orderBy(F.col("gain").desc(), "word").limit(most).collect()
+    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r["odds"] for r in found])[order] if found else np.zeros(0)
+
+
+def graded(inside: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, toxic: np.ndarray, odds: np.ndarray, top: int) -> np.ndarray:
+    """Severity grades from a yes-or-no label: 0 for documents that are not toxic; the toxic ones get 1 to top in equal parts by how dense words with at least ten-fold odds are in them. inside: (feature numbers, counts) of each document; totals: of all its words."""
+    strong = odds > np.log(10)
+    density = np.array([n[strong[at]].sum() / max(1, t) for (at, n), t in zip(inside, totals)])
+    grades = np.zeros(len(inside), int)
     rows = np.flatnonzero(toxic)
     order = rows[np.argsort(density[rows], kind="stable")]
     grades[order] = 1 + (np.arange(len(order)) * top) // max(1, len(order))
@@ -120,45 +114,59 @@ def graded(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, words
 
 
 def fit(docs: DataFrame, labels: DataFrame, top: int = GRADES, per_label: int = PER_LABEL) -> Model | None:
-    """Fits the model on at most per_label toxic and per_label other labelled documents, chosen by a hash of doc_id, none of them held out; equal texts count once. None without both kinds.
+    """Fits the model on about per_label toxic and per_label other labelled documents, chosen by a hash of doc_id, none of them held out; equal texts count once. None without both kinds.
 
-    labels: (doc_id, toxic), and grade where severities are known; without it they
-    are made by graded(). The chosen ids, 2 * per_label at most, are broadcast, so that texts stay where they are.
+    labels: (doc_id, toxic), and grade where severities are known; without it they are made by graded(). The chosen
+    ids, some 2 * per_label, are broadcast, so that texts stay where they are. The driver gets the
+    selected words and how often each chosen document has them, whatever the length of its text.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id"))
+    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic") > 0)
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = lambda kind: min(1.0, per_label / max(1, sizes.get(kind, 0)))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     grade = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
-    chosen = known.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).alias("toxic"), grade.alias("grade"), rank.alias("rank")).filter(F.col("rank") <= per_label).drop("rank")
+    chosen = known.filter(place < F.when(F.col("toxic"), share(True)).otherwise(share(False)) * (1 << 30)).select(F.col("doc_id").cast("long").alias("_id"), "toxic", grade.alias("grade"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = list(word_counts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "grade")], pa.array([h.astype("<u8").tobytes() for h, _ in counts], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in counts], pa.binary())], ["doc_id", "toxic", "grade", "h", "n"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "grade")], *[pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for h, _ in counts], [n for _, n in counts])]], ["doc_id", "toxic", "grade", "h", "n"])
 
-    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "grade").mapInArrow(counted, "doc_id long, toxic boolean, grade int, h binary, n binary").collect()
-    once = {(r["h"], r["n"], r["toxic"]): r for r in sorted(sample, key=lambda r: -r["doc_id"])}
-    rows = sorted(once.values(), key=lambda r: r["doc_id"])
-    toxic = np.array([r["toxic"] for r in rows], bool)
-    if not toxic.any() or toxic.all():
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "grade").mapInArrow(counted, "doc_id long, toxic boolean, grade int, h array<long>, n array<long>")
+    once = rows.groupBy(F.xxhash64("h", "n").alias("same"), "toxic").agg(F.min_by(F.struct("doc_id", "grade", "h", "n"), "doc_id").alias("r")).select("toxic", "r.*")
+    sample = written(once, "sample")
+    kinds = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 2:
         return None
-    counts = [(np.frombuffer(r["h"], "<u8"), np.frombuffer(r["n"], "<i8")) for r in rows]
-    words, odds = selected_words(counts, toxic, FEATURES, MIN_DOCS)
-    grades = np.array([r["grade"] for r in rows]) if all(r["grade"] is not None for r in rows) else graded(counts, toxic, words, odds, top)
-    inside = []
-    for h, n in counts:
-        at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-        hit = words[at] == h if len(words) else np.zeros(len(h), bool)
-        inside.append((at[hit], n[hit]))
+    words, odds = selected_words(sample, kinds[True], kinds[False], FEATURES, MIN_DOCS)
+
+    def confined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_inside(words, np.array(h, np.int64).view(np.uint64), np.array(n, np.int64)) for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist())]
+            total = [sum(n) for n in batch.column("n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "grade")], *[pa.array(x, pa.list_(pa.int64())) for x in zip(*found)], pa.array(total, pa.int64())] if found else [*[batch.column(c) for c in ("doc_id", "toxic", "grade", "h", "n")], pa.array([], pa.int64())], ["doc_id", "toxic", "grade", "at", "n", "total"])
+
+    found = sorted(sample.mapInArrow(confined, "doc_id long, toxic boolean, grade int, at array<long>, n array<long>, total long").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
+    toxic, inside = np.array([r["toxic"] for r in found], bool), [(np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in found]
+    grades = np.array([r["grade"] for r in found]) if all(r["grade"] is not None for r in found) else graded(inside, np.array([r["total"] for r in found]), toxic, odds, top)
     w, thresholds = cumulative_link(inside, len(words), grades, int(max(grades)))
     return Model(words, w, thresholds)
 
 
+def _inside(words: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in the sorted words, counts) of those of a document's words that are among them."""
+    at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+    hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+    return at[hit], n[hit]
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, severity, grade, toxic, p_toxic) of each row of docs (doc_id, text), from its whole text.
 
     severity: the expected grade; grade: the likeliest; toxic: P(grade >= 1) is at least a half. A null
-    text is an empty one. Without a model all are 0. Repeated rows stay; an empty table gives none.
+    text is an empty one. Without a model all are 0. Repeated rows and null doc_ids stay; other columns are
+    left out, whatever their names; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
