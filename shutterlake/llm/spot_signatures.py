@@ -1,10 +1,12 @@
 """Operator 7: document fingerprints by spot signatures.
 
-Every common word (an anchor) with the chain of the next content words after it is a
+Every common word (an anchor: a listed function word, or any very short word, as these are
+function words in most languages) with the chain of the next content words after it is a
 signature; a document's fingerprint is the set of its signatures. Function words are
 dense in running text and rare in menus and advertisements, so the set follows the
-prose. Sets are compared by Jaccard similarity; lengths that differ too much rule a pair out
-before any signature is looked at.
+prose. Sets are compared by Jaccard similarity. near_copies() cuts the lists of its join by set
+length and rules pairs out by their lengths before any signature is looked at; the query's two
+likenesses of given pairs are exact numbers, which nothing may prune.
 """
 
 from __future__ import annotations
@@ -14,15 +16,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .ngram_join import joined
-from .quality_rules import COMMON
 from .text_arrays import NOT_WORD, Words, mixed, slices
 
 CHAIN = 2
+#: Words of so many bytes at most are anchors in any language.
+SHORT = 3
+BUCKET_MB = 64
+# fixed values: frequent function words of four languages
+COMMON = {
+    "en": "the of and to in a is that for it with as was on be by are this have from".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
+}
 ANCHORS = sorted({w for words in COMMON.values() for w in words})
 
 
@@ -40,7 +52,7 @@ def signature_sets(texts: pa.Array, chain: int = CHAIN, anchors: list[str] = ANC
         if not len(h):
             out += [np.zeros(0, np.uint32)] * (len(offsets) - 1)
             continue
-        anchor = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        anchor = (known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) | (words.end - words.start <= SHORT)
         spots, content = np.flatnonzero(anchor), np.flatnonzero(~anchor)
         after = np.searchsorted(content, spots)
         whole = after + chain <= len(content)
@@ -83,7 +95,11 @@ def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, n_signatures) of each row of docs (doc_id, text). Null text: as an empty one."""
+    """(doc_id, fingerprint, n_signatures) of each row of docs (doc_id, text).
+
+    Null text: as an empty one, without signatures. Null doc_ids and repeated rows stay; very long texts count whole; other
+    columns are left out, whatever their names; an empty table gives none.
+    """
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = signature_sets(batch.column("text"))
@@ -112,22 +128,31 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) so dealt that in each bucket the rows stand in descending order, each followed by its next document.
 
-    Buckets are ranges of doc_id. The last row of a bucket has its next document in the
-    following one, so each bucket ends with a copy (ghost) of that bucket's first row; the
-    very last with the first row of all. Null doc_ids come last. One shuffle of the texts;
-    only the bounds of the ranges reach the driver, one for each bucket.
+    Buckets are ranges of doc_id of about BUCKET_MB. The last row of a bucket has its next document in the
+    following one, so each bucket ends with a copy (ghost) of that one's first row; the very last with the
+    first row of all. Null doc_ids come last; rows of one doc_id stand in descending order of their texts. One
+    shuffle of the texts; the driver sees two numbers a bucket.
     """
-    spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}, reverse=True) if n > 1 else []
-    number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>"), lambda x: x > F.col("doc_id")))).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bucket", number)
-    # the largest doc_id, then the least text: the text as its order's head needs min, so max over ids first
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "doc_id", "text")).alias("head"))
-    whole = W.partitionBy(F.lit(0)).orderBy("bucket")
-    ghosts = firsts.select(F.coalesce(F.lead("head").over(whole), F.first("head").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("head"), "bucket")
-    both = rows.withColumn("ghost", F.lit(False)).union(ghosts.select("head.doc_id", "head.text", "bucket", F.lit(True)))
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    spark, least = docs.sparkSession, -(1 << 63)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (BUCKET_MB << 20))
+    bounds = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}), np.int64) if buckets > 1 else np.zeros(0, np.int64)
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(), "right"))
+
+    key = F.coalesce("doc_id", F.lit(least).cast("long"))
+    rows = rows.withColumn("bucket", number(key))
+    heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max(key).alias("head")).collect()}
+    order = sorted(heads)
+    follows = spark.createDataFrame([(b, heads[b], order[i - 1]) for i, b in enumerate(order)], "at int, head long, before int")
+    # one row a bucket; the head's text goes to the bucket before
+    ghosts = rows.join(F.broadcast(follows), (F.col("bucket") == F.col("at")) & (key == F.col("head"))).groupBy("before", "doc_id").agg(F.max("text").alias("text"))
+    both = rows.withColumn("ghost", F.lit(False)).union(ghosts.select("doc_id", "text", F.col("before"), F.lit(True)))
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
 
 def edited(text: str, following: str) -> str:
