@@ -279,7 +279,8 @@ def in_blocks(rest: DataFrame, ranked: DataFrame, percent: int, block: int) -> D
     near = counts.select("token", F.explode(F.array(F.struct("cut", F.lit(0).alias("kind")), F.struct((F.col("cut") - 1).alias("cut"), F.lit(1).alias("kind")), F.struct((F.col("cut") + 1).alias("cut"), F.lit(2).alias("kind")))).alias("to"), "index_blocks", "ask_blocks")
     pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("to.kind") == kind, F.col(c))), F.lit(0))
     near = near.groupBy("token", F.col("to.cut").alias("cut")).agg(pick(0, "index_blocks").alias("i0"), pick(0, "ask_blocks").alias("a0"), pick(1, "ask_blocks").alias("a1"), pick(2, "index_blocks").alias("i2"))
-    placed = sized.join(near, ["token", "cut"])
+    # written, so that the join that follows is one that Spark can split where a list is long
+    placed = sized.join(written(near, "cuts"), ["token", "cut"])
     own = lambda n: F.pmod(F.xxhash64("number"), F.greatest(F.col(n), F.lit(1))).cast("int")
     upto = lambda n, made: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), made)).otherwise(F.array().cast("array<bigint>"))
     task = lambda cut, i, step, j: F.xxhash64(cut, i, F.lit(step), j)
