@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
 shared folder and reads again as the next stage's docs: a lost executor costs one stage at most.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, and any others that docs has, whatever their
+names: a stage carries its rows as structs beside what it computes. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -19,50 +20,60 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or of an uncertain language go."""
-    told = language_id.tagged(docs, language_id.fit(docs))
-    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents without a letter or of an uncertain language go. Null texts go, null doc_ids and repeated rows are judged by their texts, and very long texts by the whole."""
+    told = language_id.told_rows(docs, language_id.fit(docs))
+    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents hold go from all of them; a document that loses all its lines stays, empty, and the mix takes nothing from it."""
-    told = line_dedup.common_lines_dropped(docs)
-    return told.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Lines that many documents hold go from all of them; a document that loses all its lines stays, empty, and the mix takes nothing from it.
+
+    A null text becomes an empty one. Rows equal in doc_id and text count as one document and all stay; rows without a doc_id are documents too.
+    """
+    told = line_dedup.common_lines_cut(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return told.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): each row as a struct, and its own key, whatever its doc_id: a 64-bit hash of all columns and of which are null. Rows that are equal in all columns share it."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("key"), F.struct("*").alias("row"))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A row's own key, whatever its doc_id: a 64-bit hash of all columns and of which are null. Rows that are equal in all columns share it."""
-    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+def field(name: str) -> Column:
+    return F.col("row")[name].alias(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies by five-word shingles at 80 %, the row with the smallest doc_id stays, once.
 
-    Every row is a document by row_key: rows that share a doc_id, and rows without one, go only as near copies of another
+    Every row is a document by its key: rows that share a doc_id, and rows without one, go only as near copies of another
     row, or if they equal it in all columns. Null doc_ids come last in a group; rows of one doc_id stand in order of
     their keys, so that reruns agree. Rows without words are copies of nothing but equal rows.
     """
-    rows = docs.withColumn("_key", row_key(docs))
-    groups = ngram_join.joined(rows.select(F.col("_key").alias("doc_id"), "text"), ngram_join.ShingleSets(NEAR_WORDS), NEAR_PERCENT)
-    members = rows.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("_place")).join(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
-    stay = members.groupBy("component_id").agg(F.min_by("_key", "_place").alias("_key")).select("_key")
-    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    rows = keyed(docs)
+    groups = ngram_join.joined(rows.select(F.col("key").alias("doc_id"), field("text")), ngram_join.ShingleSets(NEAR_WORDS), NEAR_PERCENT)
+    members = rows.select("key", F.struct(field("doc_id").isNull(), field("doc_id"), "key").alias("place")).join(groups.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    stay = members.groupBy("component_id").agg(F.min_by("key", "place").alias("key")).select("key")
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it, to the nearest whole number.
 
-    The mix deals rows by row_key, so that rows without a doc_id, or that share one, are taken each by its own words; equal
-    rows are taken as often as all of them together.
+    The mix deals rows by their keys, so that rows without a doc_id, or that share one, are taken each by its own words; equal
+    rows are taken as often as all of them together. Null and empty texts are not taken; null is a source. The mix
+    cuts at most one document of a shard, so rounding moves a source's words by half a document for each of its shards at most.
     """
-    rows = docs.withColumn("_key", row_key(docs))
-    taken = mixing.mix(rows.select(F.col("_key").alias("doc_id"), "text", "source")).filter("size > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = rows.dropDuplicates(["_key"]).join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return rows.select(*docs.columns)
+    rows = keyed(docs)
+    taken = mixing.mix(rows.select(F.col("key").alias("doc_id"), field("text"), field("source"))).filter("size > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).filter("copies > 0")
+    return rows.dropDuplicates(["key"]).join(copies, "key").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row and their places in the sequences. Repeated rows are packed each for itself, null texts as one separator; null doc_ids stay null."""
     return packing.packed(docs.select("doc_id", "text"))
 
 
