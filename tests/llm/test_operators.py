@@ -1,6 +1,8 @@
 """The ten operators against plain Python on small tables, with odd rows, and on no rows."""
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -299,30 +301,55 @@ def test_sainte_lague(spark):
     assert got == want
 
 
+def spots(text):
+    """The signatures of a text as tuples of words, by plain Python."""
+    words = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text.translate(UPPER))
+    is_anchor = [w in spot_signatures.ANCHORS or len(w.encode()) <= spot_signatures.SHORT for w in words]
+    found = set()
+    for i, w in enumerate(words):
+        chain = [x for x, a in zip(words[i + 1 :], is_anchor[i + 1 :]) if not a][: spot_signatures.CHAIN]
+        if is_anchor[i] and len(chain) == spot_signatures.CHAIN:
+            found.add((w, *chain))
+    return found or ({tuple(words)} if words else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints(spark, sf, odd, none):
-    docs = table(spark, sf, "documents").select("doc_id", "text").limit(60).union(odd.filter("doc_id is not null and doc_id <> 7").select(F.col("doc_id") + 10**6, "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(odd.filter("doc_id is not null and doc_id <> 7").select(F.col("doc_id") + 10**6, "text"))
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
     got = {r["doc_id"]: r for r in spot_signatures.with_next(docs, 5).mapInArrow(spot_signatures._compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()}
-    sets = dict(zip([i for i, _ in rows], spot_signatures.signature_sets(pa.array([t for _, t in rows]))))
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(rows):
-        j, after = rows[(k + 1) % len(rows)]
+        after = rows[(k + 1) % len(rows)][1]
         m = len(t) // 3
         changed = t[: len(t) - m] + after[:m]
-        r, theirs = got[i], spot_signatures.signature_sets(pa.array([changed]))[0]
+        r, own, theirs = got[i], spots(t), spots(changed)
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        assert r["fingerprint"] == spot_signatures.encoded(sets[i]) and (spot_signatures.decoded(r["edited_fingerprint"]) == theirs).all()
-        a, b, c = set(sets[i].tolist()), set(theirs.tolist()), set(sets[j].tolist())
-        jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert abs(r["near_edited"] - jaccard(a, b)) < 1e-9 and abs(r["near_next"] - jaccard(a, c)) < 1e-9
-    assert spot_signatures.with_next(none.select("doc_id", "text"), 3).count() == 0
+        assert len(spot_signatures.decoded(r["fingerprint"])) == len(own) and len(spot_signatures.decoded(r["edited_fingerprint"])) == len(theirs)
+        assert abs(r["near_edited"] - jaccard(own, theirs)) < 1e-9 and abs(r["near_next"] - jaccard(own, spots(after))) < 1e-9
+    assert spot_signatures.with_next(none.select("doc_id", "text"), 3).count() == 0 and spot_signatures.with_next(none.select("doc_id", "text")).count() == 0
     assert spot_signatures.fingerprinted(odd).count() == odd.count()
 
 
+def test_next_of_repeated_and_null_ids(spark):
+    """Null ids come last, rows of one id in descending order of their texts; each bucket ends with the next one's first row."""
+    rows = [(None, "x"), (None, "a"), (5, "b"), (5, "c"), (9, "d"), (1, "e"), (2**60, "f"), (2**60 + 1, "g")]
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -ord(r[1])))
+    got = {}
+    for part in spot_signatures.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 4).rdd.glom().collect():
+        for x, y in zip(part, part[1:]):
+            if not x["ghost"]:
+                got[x["doc_id"], x["text"]] = (y["doc_id"], y["text"])
+    assert got == {r: want[(i + 1) % len(want)] for i, r in enumerate(want)}
+
+
 def test_near_copies(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = docs.collect()
-    sets = [set(s.tolist()) for s in spot_signatures.signature_sets(pa.array([r["text"] for r in rows]))]
+    sets = [spots(r["text"]) for r in rows]
     links = [(rows[i]["doc_id"], rows[j]["doc_id"]) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = groups(links)
     got = {r["doc_id"]: r["component_id"] for r in spot_signatures.near_copies(docs).collect()}
@@ -345,13 +372,60 @@ def test_quality_rules(spark, sf, odd, none):
     got = quality_rules.judged(docs).collect()
     symbols = lambda r: (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])
     assert Counter(map(symbols, got)) == want
-    assert not any(r["kept"] and r["base_failed"] for r in got)
     good = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
     clean = [r["kept"] for r in got if good.get(r["doc_id"]) == 1 and not r["base_failed"]]
     assert sum(clean) / len(clean) > 0.9  # references of a few dozen documents are rough
     assert quality_rules.judged(none).count() == 0
 
 
+def test_distances(spark, sf, odd):
+    """Common words, references, distances and verdicts by plain Python; only a word's bucket is the library's."""
+    extra = [(10**6 + i, "xx", f"lalo mimi zuzu {i} lalo sasa mimi ! " * (20 + i)) for i in range(3)]
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").union(odd.select(F.col("doc_id") + 10**7, "lang", "text").distinct()).union(spark.createDataFrame(extra, "doc_id long, lang string, text string"))
+    rows = [(r["doc_id"], r["lang"], r["text"] or "") for r in docs.collect()]
+    words = {w for _, _, t in rows for w in words_of(t.translate(UPPER))}
+    (_, _, data, offsets), = text_arrays.slices(pa.array(sorted(words)), 1 << 40)
+    bucket = dict(zip(sorted(words), quality_rules.word_buckets(text_arrays.Words(data, offsets), quality_rules.WORD_BITS).tolist()))
+    by_lang = defaultdict(Counter)
+    for _, lang, t in rows:
+        if lang is not None:
+            by_lang[lang].update(bucket[w] for w in words_of(t.translate(UPPER)))
+    common = {lang: [b for b, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.N_COMMON]] for lang, c in by_lang.items()}
+
+    def kind(c):
+        if c in SPACES:
+            return 3
+        return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 4 if c in ".,;:!?'\"()-" else 5 if "!" <= c <= "~" else 6
+
+    def histograms(lang, t):
+        seen = [bucket[w] for w in words_of(t.translate(UPPER))]
+        return Counter(map(kind, t)), Counter(b if b in common.get(lang, []) else -1 for b in seen)
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        total = 0.0
+        for k in p.keys() | q.keys():
+            x, y = p[k] / n, q[k] / m
+            total += sum(a * math.log2(2 * a / (x + y)) for a in (x, y) if a) / 2
+        return math.sqrt(max(total, 0))
+
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    chars, often = defaultdict(Counter), defaultdict(Counter)
+    for i, lang, t in rows:
+        if not got[i]["base_failed"]:
+            c, w = histograms(lang, t)
+            chars[lang] += c
+            often[lang] += w
+    for i, lang, t in rows:
+        c, w = histograms(lang, t)
+        by_char, by_word = distance(c, chars[lang]), distance(w, often[lang]) if lang is not None else 0.0
+        assert abs(got[i]["char_distance"] - by_char) < 1e-9 and abs(got[i]["word_distance"] - by_word) < 1e-9
+        unlike = len(t) >= 200 and by_char > quality_rules.MAX_CHAR_DISTANCE or len(words_of(t)) >= 200 and by_word > quality_rules.MAX_WORD_DISTANCE
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not unlike)
+
+
 def test_language_id(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
@@ -364,6 +438,106 @@ def test_language_id(spark, sf, odd, none):
     assert language_id.tagged(none, model).count() == 0
 
 
+def test_margins():
+    """A toy model's predictions by plain Python: trigrams, frequencies, one family against the rest, then votes."""
+    texts = ["aba aba abc", "abc abd abd", "xyz xyx xyy", "uvu uvw uvv"] * 3
+    labels = ["en", "de", "fr", "qq"] * 3
+    counts = []
+    for _, _, data, offsets in text_arrays.slices(pa.array(texts)):
+        bucket, first = language_id.trigrams(data, offsets)
+        counts += [np.array(np.unique(bucket[a:b], return_counts=True)) for a, b in zip(first[:-1], first[1:])]
+    model = language_id.fitted(labels, counts)
+    assert sorted(map(tuple, model.families)) == [("de", "en"), ("fr",), ("qq",)]
+
+    def plain(text):
+        folded = bytes(c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in text.encode())
+        padded = b" " + folded + b" "
+        grams = [int.from_bytes(padded[i : i + 3], "big") * 2654435761 % 2**32 >> (32 - language_id.BITS) for i in range(len(padded) - 2) if padded[i + 1] != 32]
+        margins = [sum(model.root[g, k] for g in grams) / len(grams) + model.root[-1, k] for k in range(3)]
+        family = int(np.argmax(margins))
+        if len(model.families[family]) == 1:
+            return model.families[family][0]
+        return model.families[family][int(sum(model.pairs[family][g, 0] for g in grams) / len(grams) + model.pairs[family][-1, 0] >= 0)]
+
+    tried = texts[:4] + ["Aba, abD!", "xyz aba xyx", "uvu é"]
+    (_, _, data, offsets), = text_arrays.slices(pa.array(tried))
+    got, _ = model.predict(*language_id.trigrams(data, offsets))
+    assert got == [plain(t) for t in tried] and got[:4] == labels[:4]
+
+
+def test_many_languages(spark):
+    """250 languages of no list, the rarest with four documents to learn from."""
+    rng = random.Random(9)
+    letters, rows, i = "abcdefghijklmnopqrstuvwxyz", [], 0
+    for k in range(250):
+        syllables = ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3]))) for _ in range(14)]
+        need = 4 if k == 0 else 8
+        while need:
+            words = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3]))) for _ in range(60)]
+            rows.append((i, " ".join(words), f"l{k:03}"))
+            need -= zlib.crc32(str(i).encode()) % 5 != 0
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert sum(map(len, model.families)) == 250 and sum(m.shape[1] for m in model.pairs if m.size) < 250 * 249 / 8
+    told = language_id.tagged(docs, model).collect()
+    assert all(r["lang_pred"] == "l000" for r in told if r["lang"] == "l000")
+    held = [r for r in told if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.9
+
+
+def test_language_columns(odd):
+    """Names that the operator uses itself pass through."""
+    wide = odd.drop("lang").select("*", *[F.lit(n).alias(n) for n in ("_text", "_letters", "row", "letters", "score", "a.b")])
+    out = language_id.tagged(wide, None)
+    assert out.columns == [c for c in wide.columns if c != "score"] + ["lang_pred", "score"] and out.first()["_letters"] == "_letters"
+
+
+def test_cumulative_link_is_the_likelihoods_maximum():
+    """No small step in any tried direction raises the penalised likelihood, computed by plain Python."""
+    rng = np.random.default_rng(4)
+    x = [(np.flatnonzero(rng.random(5) < 0.6), None) for _ in range(120)]
+    x = [(at, rng.integers(1, 4, len(at))) for at, _ in x]
+    true = np.array([1.5, -1.0, 0.5, 2.0, 0.0])
+    grades = np.array([int(np.clip(sum(true[a] * math.log1p(n) for a, n in zip(*r)) + rng.logistic(), 0, 3.99)) for r in x])
+    ridge = 0.2
+    w, theta = toxicity.cumulative_link(x, 5, grades, 3, ridge, rounds=4000, rate=0.03)
+    weight = {True: len(grades) / (2 * (grades > 0).sum()), False: len(grades) / (2 * (grades == 0).sum())}
+
+    def likelihood(w, theta):
+        total = -ridge / 2 * sum(v * v for v in w)
+        for (at, n), g in zip(x, grades):
+            score = sum(w[a] * math.log1p(k) for a, k in zip(at, n))
+            above = [1.0, *[1 / (1 + math.exp(t - score)) for t in theta], 0.0]
+            total += weight[bool(g > 0)] * math.log(above[g] - above[g + 1])
+        return total
+
+    best = likelihood(w, theta)
+    for _ in range(60):
+        step = rng.normal(size=8)
+        step *= 0.02 / np.linalg.norm(step)
+        assert likelihood(w + step[:5], theta + step[5:]) < best + 1e-4
+    model = toxicity.Model(np.arange(5, dtype=np.uint64), w, theta)
+    assert np.allclose(model.chances(x[:3])[:, 0], [1 / (1 + math.exp(theta[0] - sum(w[a] * math.log1p(k) for a, k in zip(*r)))) for r in x[:3]])
+
+
+def test_selected_words(spark):
+    """Counts, odds and gain of words by plain Python."""
+    rng = random.Random(5)
+    rows = [(i % 3 == 0, [w for w in range(40) if rng.random() < (0.8 if w < 6 and i % 3 == 0 else 0.03 if w < 6 else 0.4)]) for i in range(300)]
+    words, odds = toxicity.selected_words(spark.createDataFrame(rows, "toxic boolean, h array<long>"), 100, 200, 4, 6)
+    want = {}
+    for w in range(40):
+        a, b = (sum(w in h for t, h in rows if t == k) for k in (True, False))
+        p, q = a / 100, b / 200
+        gain = sum(v * math.log(2 * v / (p + q)) for v in (p, q) if v)
+        odd = math.log((a + 0.5) / 100) - math.log((b + 0.5) / 200)
+        if a + b >= 6 and odd > math.log(8):
+            want[w] = (gain, odd)
+    best = sorted(sorted(want, key=lambda w: -want[w][0])[:4])
+    assert words.tolist() == best and np.allclose(odds, [want[w][1] for w in best])
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(6)
     plain = [f"word{i}" for i in range(300)]
@@ -400,6 +574,42 @@ def test_quality_resampling(spark, sf, odd, none):
     assert quality_resampling.resampled(none, labels).count() == 0
 
 
+def test_weights_and_keys(spark, sf, odd):
+    """log_weight and key of every row by plain Python; only a word's hash and Spark's hash of doc_id are the libraries'."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10**6, "text").distinct()), table(spark, sf, "labels")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    words = sorted({w for t in texts.values() for w in words_of(t)})
+    (_, _, data, offsets), = text_arrays.slices(pa.array(words), 1 << 40)
+    h = dict(zip(words, map(int, text_arrays.Words(data, offsets).hashes(False))))
+
+    def grams(t):
+        own = [h[w] for w in words_of(t)]
+        pairs = [int(x) for x in text_arrays.chains(np.array(own, np.uint64), 2)]
+        return [x >> (64 - quality_resampling.BITS) for x in own + pairs]
+
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    size, n, m = 1 << quality_resampling.BITS, sum(raw.values()), sum(target.values())
+
+    def ratio(g):
+        p = (raw[g] + 1) / (n + size)
+        q = (target[g] + p * size) / (m + size)
+        return math.log((0.98 * q + 0.02 * p) / p)
+
+    noise = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()}
+    got = quality_resampling.resampled(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sum(map(ratio, grams(texts[r["doc_id"]])))
+        u = (noise[r["doc_id"]] % 2**52 + 0.5) / 2**52
+        assert r["n_grams"] == len(grams(texts[r["doc_id"]])) and abs(r["log_weight"] - want) < 1e-6 * (1 + abs(want))
+        assert abs(r["key"] - r["log_weight"] + math.log(-math.log(u))) < 1e-9
+
+
 def test_top_k(spark):
     rows = [(i, float(v)) for i, v in enumerate([5, 5, 5, 5, 1, 9, 9, -3, 5, 0])]
     df = spark.createDataFrame(rows, "doc_id long, key double")

@@ -2,6 +2,9 @@
 from collections import Counter
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
+from shutterlake.llm import mixing
 from shutterlake.llm.common import table, written
 
 from .conftest import SCHEMA, SPACES, doc, words_of
@@ -24,9 +27,9 @@ def test_stages(spark, sf):
     clean = {i: "\n".join(x for x in t.split("\n") if often[key(x)] < 10) for i, t in language.items()}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out["line_dedup"]} == {i: (t, len(t)) for i, t in clean.items()}
 
-    sets = {i: shingles(t) for i, t in clean.items()}
+    sets = {i: shingles(t, P.NEAR_WORDS) for i, t in clean.items()}
     ids = sorted(sets)
-    links = [(i, j) for i in ids for j in ids if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in ids for j in ids if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= P.NEAR_PERCENT * len(sets[i] | sets[j])]
     of = groups(links)
     single = {i: t for i, t in clean.items() if of.get(i, i) == i}
     assert {r["doc_id"]: r["text"] for r in out["ngram_join"]} == single
@@ -35,6 +38,13 @@ def test_stages(spark, sf):
     assert set(copies) <= {i for i, t in single.items() if words_of(t)} and max(copies.values()) <= 3
     assert all(single[r["doc_id"]] == r["text"] for r in out["mixing"])
 
+    # rounding: half a document for each shard, and each source has one shard here
+    size, source = {i: len(words_of(t)) for i, t in single.items()}, {r["doc_id"]: r["source"] for r in out["ngram_join"]}
+    exact = {r["doc_id"]: r["taken"] for r in mixing.mix(spark.createDataFrame(out["ngram_join"], SCHEMA)).collect()}
+    for s in set(source.values()):
+        own = [i for i in source if source[i] == s]
+        assert abs(sum(copies[i] * size[i] - exact[i] for i in own)) <= max(size[i] for i in own) / 2 + mixing.BLOCK
+
     pieces = Counter(r["doc_id"] for r in out["packing"] if r["piece"] == 0)
     assert pieces == copies
 
@@ -66,8 +76,12 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_stages_on_odd_rows(spark, odd, none):
+    names = ["kept", "n_lines", "_id", "_lost", "_text", "_letters", "_copies", "_copy", "key", "row", "copies", "lang_pred", "score", "component_id", "size", "taken"]
+    wide = odd.select("*", *[F.lit(n).alias(n) for n in names])
     for name, stage in P.STAGES:
-        got = stage(spark, odd, "").collect()
+        out = stage(spark, wide, "")
+        got = out.collect()
+        assert name == "packing" or (out.columns == wide.columns and all(r[n] == n for r in got for n in names))
         ids = {r["doc_id"] for r in got}
         if name == "language":
             assert not ids & {1, 2, 3}
