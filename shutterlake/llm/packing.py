@@ -12,6 +12,7 @@ consecutive sequences at one offset. Spark ranks the pieces and looks their runs
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -28,8 +29,6 @@ CAPACITY = 2048
 #: Lengths above this share of the capacity are large.
 LARGE = 0.4
 GROUPS = 256
-#: Pieces of one length that one task ranks.
-PART_ROWS = 20_000
 TOKENIZER = "byte_bpe_50k.json"
 SEPARATOR = 0
 #: Characters of a text that the fast way gets at once, and the most without a safe cut before the tokenizers library takes them.
@@ -252,8 +251,9 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     pieces = written(cut(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs, _ = planned(counts, capacity)
-    parts = 1 + sum(counts.values()) // PART_ROWS
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    # n pieces of one length are ranked in sqrt(n) parts, whose sizes are then added up: at most capacity rows to broadcast
+    parts = spark.createDataFrame([(length, math.isqrt(n) + 1) for length, n in counts.items()], "length long, parts long")
+    rows = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("length", "part").orderBy("row")) - 1
