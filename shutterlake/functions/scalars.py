@@ -17,14 +17,23 @@ PARAM_KEYS = {
 }
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space, of any alphabet's kind, at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def leading_number(text: Column) -> Column:
     """The signed number at the head of a text; null if there is none."""
-    return F.regexp_extract(F.trim(text), r"^[+-]?[0-9.]*", 0).try_cast("double")
+    return F.regexp_extract(trimmed(text), r"^[+-]?[0-9.]*", 0).try_cast("double")
 
 
 def same_text(a: Column, b: Column) -> Column:
-    """Equality of trimmed texts, case apart. Parameters are ASCII, so lower() folds just these."""
-    return F.lower(F.trim(a)) == F.lower(F.trim(b))
+    """Equality of trimmed texts, ASCII case apart."""
+    return ascii_lower(trimmed(a)) == ascii_lower(trimmed(b))
 
 
 def same_number(a: Column, b: Column) -> Column:
@@ -51,7 +60,7 @@ def photo_id(path: Column) -> Column:
 
 def normalized_name(name: Column) -> Column:
     """Trimmed, lower case; null if nothing is left."""
-    return F.nullif(F.lower(F.trim(name)), F.lit(""))
+    return F.nullif(F.lower(trimmed(name)), F.lit(""))
 
 
 def xmp_rating(text: Column) -> Column:
@@ -107,7 +116,7 @@ def capture_ms(taken: Column, subseconds: Column, mtime_s: Column) -> Column:
     """Epoch milliseconds of YYYY:MM:DD HH:MM:SS with sub-second digits, read as if in UTC; else the file's seconds."""
     parts = [F.regexp_extract(taken, r"^(\d{4}):(\d\d):(\d\d) (\d\d):(\d\d):(\d\d)", i).try_cast("int") for i in range(1, 7)]
     day = F.concat_ws("-", *[F.regexp_extract(taken, r"^(\d{4}):(\d\d):(\d\d) ", i) for i in (1, 2, 3)])
-    days = F.unix_date(day.try_cast("date"))
+    days = F.unix_date(day.try_cast("date")).cast("long")
     ms = F.rpad(F.substring(F.regexp_replace(F.coalesce(subseconds, F.lit("")), r"\D", ""), 1, 3), 3, "0").cast("long")
     return F.coalesce(((days * 24 + parts[3]) * 3600 + parts[4] * 60 + parts[5]).cast("long") * 1000 + ms, mtime_s * 1000)
 

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shutterlake.functions import scalars as S
+from shutterlake.sources.shared import numbered
 
 FILTER_MODES = ["all", "unstarred", "starred", *[f"star{n}" for n in range(1, 6)], *[f"star{n}plus" for n in range(1, 6)]]
 SORTS = ["capture", "name", "rating"]
@@ -76,7 +77,7 @@ def person_filter(photos: DataFrame, person_map: DataFrame, person: int | None)
 
 def focus_filter(photos: DataFrame, scores: DataFrame, below: float | None) -> DataFrame:
     """Photos whose focus score is below a threshold; those without a score fail. No threshold, no filter."""
-    return photos if not below else photos.join(scores.filter(F.col("score") < below), "id", "left_semi")
+    return photos if below is None else photos.join(scores.filter(F.col("score") < below), "id", "left_semi")
 
 
 def recipe_filter(photos: DataFrame, labels: DataFrame, label: str | None) -> DataFrame:
@@ -87,8 +88,8 @@ def recipe_filter(photos: DataFrame, labels: DataFrame, label: str | None) -> Da
 
 
 def sort_keys(sort: str, reverse: bool = False) -> list[Column]:
-    """The order of a sort; reverse turns every key, nulls and ties included. An unknown sort is by capture."""
-    stem, ts = F.col("stem"), F.col("capture_ts")
+    """The order of a sort; reverse turns every key, nulls and ties included. An unknown sort is by capture. Stems are collated as people sort them."""
+    stem, ts = F.collate(F.col("stem"), "UNICODE"), F.col("capture_ts")
     keys = {"capture": [(ts, 1), (stem, 1)], "name": [(stem, 1), (F.col("dir"), 1)], "rating": [(F.col("rating"), 0), (ts, 1), (stem, 1)]}
     out = [(c, up) for c, up in keys.get(sort, keys["capture"])] + [(F.col("id"), 1)]
     return [(c.asc_nulls_last() if up else c.desc_nulls_first()) if not reverse else (c.desc_nulls_first() if up else c.asc_nulls_last()) for c, up in out]
@@ -151,9 +152,14 @@ def neighbourhood(rows: DataFrame, cursors: DataFrame, ahead: int = 8, behind: i
 def evictions(groups: DataFrame, budget: int, scope: list[str] | None = None) -> DataFrame:
     """groups (id, bytes, recency, spared) with evict: the least recent go until the rest fits the budget; spared ones stay. scope: columns that part caches.
 
-    One ordered sum replaces the loop: a group goes if what is left after all earlier evictions is above the budget.
+    One ordered sum replaces the loop: a group goes if what is left after all earlier evictions is above the budget. Without
+    a scope the sum runs over sorted ranges.
     """
-    own = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))
+    if not scope:
+        all_bytes = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        loose = numbered(groups.withColumn("_b", F.when(F.col("spared"), 0).otherwise(F.col("bytes"))), [F.col("recency"), F.col("id")], "_nth", "_b", "_gone")
+        return loose.withColumn("evict", ~F.col("spared") & (all_bytes - F.col("_gone") > budget)).drop("_b", "_nth", "_gone")
+    own = W.partitionBy(*scope)
     order = own.orderBy("recency", "id").rowsBetween(W.unboundedPreceding, -1)
     gone = F.coalesce(F.sum(F.when(F.col("spared"), 0).otherwise(F.col("bytes"))).over(order), F.lit(0))
     return groups.withColumn("evict", ~F.col("spared") & (F.sum("bytes").over(own) - gone > budget))
@@ -198,10 +204,41 @@ def owned_actions(actions: DataFrame, photos: DataFrame) -> tuple[DataFrame, Dat
     return actions.join(own, ["photo_id", "folder_id"], "left_semi"), actions.join(own, ["photo_id", "folder_id"], "left_anti")
 
 
-def opened(files: DataFrame, catalog: DataFrame, sort: str = "capture", mode: str = "all") -> DataFrame:
-    """Folder summaries in one plan: photos found and missing, with their place in the list, and the folder's counts."""
-    pairs = pair_files(files)
-    found = pairs.select("folder_id", "dir", "stem", "id")
-    merged = reconcile(found, catalog, ["folder_id", "dir", "stem", "id"]).withColumn("capture_ts", F.lit(None).cast("timestamp_ntz"))
+def trash_list(photos: DataFrame) -> DataFrame:
+    """(folder_id, id, stem, rating, trashed_at, rank): each folder's trash, newest first; an unknown time is the oldest."""
+    rows = photos.filter("trashed").select("folder_id", "id", "stem", F.col("rating").cast("long").alias("rating"), F.coalesce(F.col("trashed_at").cast("long"), F.lit(0)).alias("trashed_at"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("folder_id").orderBy(F.desc("trashed_at"), "id")).cast("long"))
+
+
+def missing_list(photos: DataFrame) -> DataFrame:
+    """The photos of each folder that a scan no longer finds, by stem, with rank."""
+    rows = photos.filter("missing and not trashed")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("folder_id").orderBy("stem", "id")).cast("long"))
+
+
+def combined(photos: DataFrame, person_map: DataFrame, scores: DataFrame, labels: DataFrame, mode: str = "all", tag: str | None = None, person: int | None = None, below: float | None = None, label: str | None = None) -> DataFrame:
+    """Visible photos that pass all five filters."""
+    rows = photos.filter(~F.col("trashed") & ~F.col("missing")).filter(star_filter(mode) & tag_filter(tag))
+    return recipe_filter(focus_filter(person_filter(rows, person_map, person), scores, below), labels, label)
+
+
+def opened(files: DataFrame, catalog: DataFrame, sort: str = "capture", mode: str = "all", captures: DataFrame | None = None) -> DataFrame:
+    """Folder listings in one plan: photos found and missing, with their place in the list, and the folder's counts. captures: (id, capture_ts)."""
+    found = pair_files(files).select("folder_id", "dir", "stem", "id")
+    times = captures.select("id", "capture_ts") if captures is not None else catalog.select("id", F.lit(None).cast("timestamp_ntz").alias("capture_ts")).limit(0)
+    merged = reconcile(found, catalog, ["folder_id", "dir", "stem", "id"]).join(times, "id", "left")
     listed = ranked(merged.filter(~F.col("trashed") & ~F.col("missing")).filter(star_filter(mode)), sort)
     return listed.drop("trashed", "missing").join(folder_stats(merged), "folder_id")
+
+
+def folder_summaries(found: DataFrame, catalog: DataFrame, states: DataFrame) -> DataFrame:
+    """One row a folder that a scan found (folder_id, dir, stem, id) or the catalog has: counts, saved view, other folders that own what was found.
+
+    catalog: (folder_id, dir, stem, id, rating, tags, trashed); states as view_states() gives them. Photos that another
+    folder owns do not count here. owners: (owner, n), the busiest first.
+    """
+    theirs = catalog.select("id", F.col("folder_id").alias("owner"))
+    own = found.join(theirs, "id", "left").filter(F.col("owner").isNull() | (F.col("owner") == F.col("folder_id"))).drop("owner")
+    counts = folder_stats(reconcile(own, catalog, ["folder_id", "dir", "stem", "id"]))
+    owners = foreign_owners(found, catalog).groupBy("folder_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "owner", "n"))), lambda x: F.struct(x["owner"].alias("owner"), x["n"].alias("n"))).alias("owners"))
+    return counts.join(owners, "folder_id", "full").join(states, "folder_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shutterlake.functions import scalars as S
 from shutterlake.operators import vectors as V
+from shutterlake.sources.shared import numbered
 
 THRESHOLD, MARGIN, CLUSTER = 0.45, 0.08, 0.50
 
@@ -84,9 +85,11 @@ def carried_over(old: DataFrame, new: DataFrame, rejections: DataFrame, same_gen
     """(new faces with the old ones' person, assigned_by and ignored, rejections under the new ids)."""
     side = lambda f: f.select("photo_id", F.col("face_id").alias("id"), "x", "y", "w", "h", "embedding")
     pairs = V.carried(side(old), side(new), same_generation)
-    was = old.select(F.col("face_id").alias("old_id"), F.col("person_id").alias("_p"), F.col("assigned_by").alias("_a"), F.col("ignored").alias("_i"))
+    like = F.col("similarity") if "similarity" in old.columns else F.lit(None).cast("double")
+    was = old.select(F.col("face_id").alias("old_id"), F.col("person_id").alias("_p"), F.col("assigned_by").alias("_a"), F.col("ignored").alias("_i"), like.alias("_s"))
     rows = new.join(pairs.select("old_id", F.col("new_id").alias("face_id")).join(was, "old_id"), "face_id", "left")
-    rows = rows.withColumn("person_id", F.col("_p")).withColumn("assigned_by", F.col("_a")).withColumn("ignored", F.coalesce("_i", F.lit(False))).select(*new.columns)
+    rows = rows.withColumn("person_id", F.col("_p")).withColumn("assigned_by", F.col("_a")).withColumn("ignored", F.coalesce("_i", F.lit(False)))
+    rows = (rows.withColumn("similarity", F.col("_s")) if "similarity" in new.columns else rows).select(*new.columns)
     kept = rejections.join(pairs.select(F.col("old_id").alias("face_id"), "new_id"), "face_id").withColumn("face_id", F.col("new_id")).drop("new_id")
     return rows, kept
 
@@ -99,9 +102,9 @@ def added(rejections: DataFrame, more: DataFrame) -> DataFrame:
 def found_or_created(persons: DataFrame, names: DataFrame) -> DataFrame:
     """persons with those of names (name) that are new by their normalized name; new ids follow the largest. Empty names are left out."""
     known = persons.withColumn("_k", S.normalized_name(F.col("name")))
-    fresh = names.select(F.trim("name").alias("name"), S.normalized_name(F.col("name")).alias("_k")).filter("_k is not null").groupBy("_k").agg(F.min("name").alias("name")).join(known, "_k", "left_anti")
-    top = persons.agg(F.coalesce(F.max("person_id"), F.lit(0)).alias("_top"))
-    fresh = fresh.join(F.broadcast(top)).select((F.col("_top") + F.row_number().over(W.partitionBy("_top").orderBy("_k"))).cast("long").alias("person_id"), "name")
+    fresh = names.select(S.trimmed(F.col("name")).alias("name"), S.normalized_name(F.col("name")).alias("_k")).filter("_k is not null").groupBy("_k").agg(F.min("name").alias("name")).join(known, "_k", "left_anti")
+    top = persons.agg(F.coalesce(F.max("person_id"), F.lit(0))).first()[0]
+    fresh = numbered(fresh, [F.col("_k")], "_n").select((F.lit(top) + F.col("_n")).cast("long").alias("person_id"), "name")
     return persons.select(F.col("person_id").cast("long").alias("person_id"), "name").unionByName(fresh)
 
 
@@ -115,12 +118,31 @@ def named(faces: DataFrame, rejections: DataFrame, edits: DataFrame, now: int) -
     return out, added(rejections, displaced).join(own, ["face_id", "person_id"], "left_anti")
 
 
-def naming_undone(faces: DataFrame, before: DataFrame, rejections: DataFrame, op_time: int) -> tuple[DataFrame, DataFrame]:
-    """Restores faces to before (face_id, revision, person_id, assigned_by) where the revision is unchanged, and drops the rejections of that time."""
-    b = before.select("face_id", "revision", F.col("person_id").alias("_p"), F.col("assigned_by").alias("_a"), F.lit(True).alias("_b"))
-    rows = faces.join(b, ["face_id", "revision"], "left")
+def naming_undone(persons: DataFrame, faces: DataFrame, rejections: DataFrame, before: DataFrame, written: DataFrame, autos: DataFrame, person: int, created: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons, faces, rejections) after the undo of a naming of faces as person, which the naming may have created.
+
+    faces carry their photo's revision. before: (face_id, photo_id, revision, person_id, assigned_by) of the named faces; a photo
+    with another revision by now was edited later and keeps everything. written: rejections (face_id, person_id)
+    that the naming wrote. autos: (face_id, photo_id, revision) that were the person's automatic labels
+    before. Automatic labels born of the naming go, except in photos that held one before and were detected
+    anew since. A created person goes if nothing refers to it any more.
+    """
+    now = faces.select("photo_id", "revision").distinct()
+    whole = before.join(now, ["photo_id", "revision"], "left_semi")
+    b = whole.select("face_id", "photo_id", F.col("person_id").alias("_p"), F.col("assigned_by").alias("_a"), F.lit(True).alias("_b"))
+    rows = faces.join(b, ["face_id", "photo_id"], "left")
     back = lambda c, o: F.when(F.col("_b"), F.col(o)).otherwise(F.col(c))
-    return rows.withColumn("person_id", back("person_id", "_p")).withColumn("assigned_by", back("assigned_by", "_a")).select(*faces.columns), rejections.filter(F.col("created_at") != op_time)
+    rows = rows.withColumn("person_id", back("person_id", "_p")).withColumn("assigned_by", back("assigned_by", "_a")).select(*faces.columns)
+    left = rejections.join(written.join(whole.select("face_id"), "face_id", "left_semi"), ["face_id", "person_id"], "left_anti")
+    moved = autos.select("photo_id", F.col("revision").alias("_r")).distinct().join(now, "photo_id").filter(F.col("_r") != F.col("revision")).select("photo_id").distinct()
+    born = rows.filter((F.col("person_id") == person) & (F.col("assigned_by") == "auto")).select("face_id", "photo_id").join(autos.select("face_id"), "face_id", "left_anti").join(moved, "photo_id", "left_anti")
+    rows = rows.join(born.select("face_id", F.lit(True).alias("_g")), "face_id", "left")
+    rows = rows.withColumn("person_id", F.when(F.col("_g").isNull(), F.col("person_id"))).withColumn("assigned_by", F.when(F.col("_g").isNull(), F.col("assigned_by"))).select(*faces.columns)
+    if not created:
+        return persons, rows, left
+    used = rows.select("person_id").union(left.select("person_id")).filter(F.col("person_id") == person).distinct()
+    gone = persons.filter(F.col("person_id") == person).join(used, "person_id", "left_anti").select("person_id")
+    return persons.join(gone, "person_id", "left_anti"), rows, left
 
 
 def ignored(faces: DataFrame, ids: DataFrame, value: bool = True) -> DataFrame:
@@ -145,7 +167,7 @@ def renamed(persons: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFram
     k = persons.select(F.col("person_id").alias("target_id"), S.normalized_name(F.col("name")).alias("_k"))
     clash = renames.withColumn("_k", S.normalized_name(F.col("new_name"))).join(k, "_k").filter("target_id <> person_id").select("person_id", "target_id", F.col("new_name").alias("name"))
     good = renames.filter(S.normalized_name(F.col("new_name")).isNotNull()).join(clash, "person_id", "left_anti")
-    return persons.join(good, "person_id", "left").select("person_id", F.coalesce(F.trim("new_name"), "name").alias("name")), clash
+    return persons.join(good, "person_id", "left").select("person_id", F.coalesce(S.trimmed(F.col("new_name")), "name").alias("name")), clash
 
 
 def merged(persons: DataFrame, faces: DataFrame, rejections: DataFrame, source: int, target: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,9 +202,9 @@ def marked_stale(scans: DataFrame, ids: DataFrame) -> DataFrame:
 
 def generation_adopted(scans: DataFrame, generations: DataFrame) -> DataFrame:
     """scans after a new model generation (gen, release, hash): scans of generations with other hashes than the newest release's are stale."""
-    newest = generations.agg(F.max_by(F.struct("gen", "hash"), F.struct("release", "gen")).alias("n")).select("n.*")
-    same = generations.join(F.broadcast(newest.select("hash")), "hash").select(F.col("gen").alias("model_gen"), F.lit(True).alias("_same"))
-    rows = scans.join(F.broadcast(same), "model_gen", "left")
+    newest = generations.agg(F.max_by("hash", F.struct("release", "gen")).alias("h")).first()["h"]
+    same = generations.filter(F.col("hash") == newest).select(F.col("gen").alias("model_gen"), F.lit(True).alias("_same")).distinct()
+    rows = scans.join(same, "model_gen", "left")
     return rows.withColumn("status", F.when(F.col("_same").isNull() & (F.col("status") == "ok"), "stale").otherwise(F.col("status"))).drop("_same")
 
 
@@ -216,8 +238,8 @@ def roster(faces: DataFrame, persons: DataFrame, photos: DataFrame) -> DataFrame
     rows = faces.filter("person_id is not null and not ignored").join(photos.select("photo_id"), "photo_id", "left_semi")
     best = F.max_by("face_id", F.struct(F.col("assigned_by") == "user", "det_score", -F.col("face_id")))
     counts = rows.groupBy("person_id").agg(F.count("*").alias("n_faces"), best.alias("face_id"))
-    order = W.partitionBy(F.lit(0)).orderBy(S.normalized_name(F.col("name")), "person_id")
-    return persons.join(counts, "person_id", "left").select("person_id", "name", F.coalesce("n_faces", F.lit(0)).cast("long").alias("n_faces"), "face_id", F.row_number().over(order).cast("long").alias("rank"))
+    rows = numbered(persons.join(counts, "person_id", "left").withColumn("_k", S.normalized_name(F.col("name"))), [F.col("_k"), F.col("person_id")], "rank")
+    return rows.select("person_id", "name", F.coalesce("n_faces", F.lit(0)).cast("long").alias("n_faces"), "face_id", F.col("rank").cast("long").alias("rank"))
 
 
 def top_faces(faces: DataFrame, n: int = 50) -> DataFrame:
@@ -252,6 +274,22 @@ def erased(name_pattern: str, listing: DataFrame) -> DataFrame:
     return listing.filter(F.col("name").rlike(name_pattern)).select("name")
 
 
+def all_erased(listing: DataFrame, name_pattern: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """(files to delete, the tables, emptied): persons, faces, scans and rejections after all face data is erased, to be written over the old ones."""
+    return erased(name_pattern, listing), *[t.filter(F.lit(False)) for t in tables]
+
+
+def scan_proposals(old: DataFrame, new: DataFrame, rejections: DataFrame, protos: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, same_generation: bool = True) -> DataFrame:
+    """(photo_id, id, face_index, person, score): what a scan proposes for its new faces, after what the old ones hand on.
+
+    Faces that carry a person or are ignored get no proposal; carried rejections bar their person; a person that is carried in a photo is
+    not proposed there again, and of several faces the best gets it.
+    """
+    carried, barred = carried_over(old, new, rejections, same_generation)
+    carried = V.written(carried, "carried")
+    return proposals(carried, matches(carried, barred, threshold, margin, protos))
+
+
 def stray_filtered(filtered: DataFrame, faces: DataFrame, person: int) -> DataFrame:
     """Photos of a person filter that have no face of that person: there should be none."""
     return filtered.join(faces.filter((F.col("person_id") == person) & ~F.col("ignored")).select("photo_id"), "photo_id", "left_anti")

@@ -89,7 +89,10 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exposure_job(rows: DataFrame) -> DataFrame:
-    """(origin, red, green, blue, luma, highlights, shadows): histograms and clipped shares of each image, one decode for all."""
+    """(origin, red, green, blue, luma, highlights, shadows, mask_width, mask): histograms, clipped shares and the mask of clipped blocks of each image, one decode for all.
+
+    mask: row by row one number a block, 0 for none, 1 for highlights, 2 for shadows, of the block's clipped pixels the last in raster order.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -98,10 +101,24 @@ def exposure_job(rows: DataFrame) -> DataFrame:
                 grey = np.minimum(255, np.floor(rgb @ np.array([0.2126, 0.7152, 0.0722]) + 0.5)).astype(int)
                 counts = [np.bincount(rgb[:, :, c].ravel(), minlength=256) for c in range(3)] + [np.bincount(grey.ravel(), minlength=256)]
                 top = rgb.max(2)
-                out.append((row["origin"], *[c.tolist() for c in counts], float((top >= HIGHLIGHT).mean()), float((top <= SHADOW).mean())))
-            yield pd.DataFrame(out, columns=["origin", "red", "green", "blue", "luma", "highlights", "shadows"])
-
-    return rows.mapInPandas(run, "origin string, red array<long>, green array<long>, blue array<long>, luma array<long>, highlights double, shadows double")
+                out.append((row["origin"], *[c.tolist() for c in counts], float((top >= HIGHLIGHT).mean()), float((top <= SHADOW).mean()), *clipping_mask(top)))
+            yield pd.DataFrame(out, columns=["origin", "red", "green", "blue", "luma", "highlights", "shadows", "mask_width", "mask"])
+
+    return rows.mapInPandas(run, "origin string, red array<long>, green array<long>, blue array<long>, luma array<long>, highlights double, shadows double, mask_width int, mask array<int>")
+
+
+def clipping_mask(top: np.ndarray, block: int = BLOCK) -> tuple[int, list[int]]:
+    """(blocks in a row, kinds of all blocks) from each pixel's brightest channel. Pixels past the last whole block count to it."""
+    h, w = top.shape
+    columns, lines = max(1, w // block), max(1, h // block)
+    y, x = np.nonzero((top >= HIGHLIGHT) | (top <= SHADOW))  # in raster order
+    at = np.minimum(y // block, lines - 1) * columns + np.minimum(x // block, columns - 1)
+    last = np.full(lines * columns, -1)
+    np.maximum.at(last, at, y * w + x)
+    seen = last >= 0
+    mask = np.zeros(lines * columns, int)
+    mask[seen] = np.where(top.ravel()[last[seen]] >= HIGHLIGHT, 1, 2)
+    return columns, mask.tolist()
 
 
 def focus_job(rows: DataFrame, points: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ def recipes_of_toml(text: str) -> list[tuple[str, dict[str, Any]]]:
 def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     """(photo_id, first, every): for each document (photo_id, doc) the first recipe in order whose parameters all match, and all of them, comma-joined; nulls and '' without a match.
 
-    Documents become (param, value) rows, rules meet them on param: they are what a user typed, so they are
-    broadcast. A recipe matches if as many of its parameters match as it pins.
+    Documents become (param, value) rows, rules meet them on param. Rules are what a user typed: more than MOST_RULES
+    rows are refused, so that they can be broadcast. A recipe matches if as many of its parameters match as it pins; one that pins none matches all.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rule rows")
     document = S.parsed(F.col("doc"))
     params = F.array(*[F.struct(F.lit(p).alias("param"), S.first_of(F.col("m"), *keys).alias("value")) for p, keys in S.PARAM_KEYS.items()])
     values = metadata.select("photo_id", document.alias("m")).select("photo_id", F.explode(params).alias("v")).select("photo_id", "v.*").filter("value is not null")
@@ -51,12 +53,17 @@ def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     pinned = rules.groupBy("ord", "name").agg(F.count_distinct("param").alias("pinned"))
     met = values.join(F.broadcast(rules.filter("param is not null")), "param").filter(F.coalesce(hit, F.lit(False))).groupBy("photo_id", "ord").agg(F.count_distinct("param").alias("met"))
     full = met.join(F.broadcast(pinned.filter("pinned > 0")), "ord").filter("met = pinned").select("photo_id", "ord", "name")
-    free = metadata.select("photo_id").join(F.broadcast(pinned.filter("pinned = 0").select("ord", "name")))
+    # recipes without parameters, as an array that each photo explodes
+    every = [(r["ord"], r["name"]) for r in pinned.filter("pinned = 0").collect()]
+    free = metadata.select("photo_id", F.inline(F.array(*[F.struct(F.lit(o).cast(rules.schema["ord"].dataType).alias("ord"), F.lit(n).alias("name")) for o, n in every]))) if every else full.limit(0)
     labels = full.unionByName(free).groupBy("photo_id").agg(F.min_by("name", "ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("all"))
     return metadata.select("photo_id").join(labels, "photo_id", "left").select("photo_id", "first", F.coalesce(F.array_join(F.transform("all", lambda x: x["name"]), ","), F.lit("")).alias("every"))
 
 
-# label, group, keys in order of preference, format
+#: Rows of rules, one a parameter and alternative, that a broadcast may hold.
+MOST_RULES = 100_000
+
+# fixed values: label, group, keys in order of preference, format
 PANEL = [
     ("Shutter", "Exposure", ["ExifIFD:ExposureTime"], S.shutter), ("Aperture", "Exposure", ["ExifIFD:FNumber"], lambda v: F.concat(F.lit("ƒ/"), v)), ("ISO", "Exposure", ["ExifIFD:ISO"], None),
     ("Exp. comp", "Exposure", ["ExifIFD:ExposureCompensation"], lambda v: F.concat(v, F.lit(" EV"))), ("Program", "Exposure", ["ExifIFD:ExposureProgram"], None), ("Metering", "Exposure", ["ExifIFD:MeteringMode"], None), ("Flash", "Exposure", ["ExifIFD:Flash"], None),

@@ -104,12 +104,17 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
+def in_order() -> Column:
+    """A rank as a value that compares, without a sort: high scores first, then id."""
+    return F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+
+
 def leader_clusters(faces: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(key, id, cluster): each row of faces (key, id, vector, score) joins the first cluster whose founder is within least, else founds one; rows in order of score, high first, then id.
 
     cluster is the founder's id. A row without a vector is its own cluster.
     """
-    nodes = faces.select("key", "id", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "id")).alias("rank"))
+    nodes = faces.select("key", "id", in_order().alias("rank"))
     edges = written(pairs_above(faces, least, block), "edges")
     anchors = first_independent(nodes.select("id", "rank"), edges).filter("anchor").select(F.col("id").alias("founder"), F.col("rank").alias("founded"))
     beside = edges.select(F.col("a").alias("id"), F.col("b").alias("founder")).union(edges.select("b", "a"))
@@ -125,8 +130,8 @@ def suppressed(boxes: DataFrame, least: float) -> DataFrame:
 
     side = lambda p: boxes.select("photo_id", *[F.col(c).alias(f"{p}{c}") for c in ("id", "x", "y", "w", "h")])
     edges = side("p_").join(side("q_"), "photo_id").filter(F.col("p_id") < F.col("q_id")).filter(iou("p_", "q_") >= least).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"))
-    # any order that has the score of a photo's boxes right will do: photos share no edges
-    nodes = boxes.select("id", F.row_number().over(W.partitionBy("photo_id").orderBy(F.desc("score"), "id")).alias("rank"))
+    # photos share no edges, so one order serves them all
+    nodes = boxes.select("id", in_order().alias("rank"))
     return boxes.join(first_independent(nodes, edges).filter("anchor").select("id"), "id", "left_semi")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shutterlake.functions import scalars as S
 from shutterlake.operators import catalog as C, identity as D, imaging as I, journal as J, metrics as M
 from shutterlake.plans.catalog_queries import query
-from shutterlake.plans.identity_queries import LIKE, faces, keyed, no_rejections
+from shutterlake.plans.identity_queries import faces, no_rejections
 from shutterlake.plans.media_queries import RGB, pixels
 from shutterlake.sources.adapters import view
 from shutterlake.streaming.streams import retries_batch
@@ -176,20 +176,6 @@ def guarded_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(good, True).unionByName(pick(bad, False))
 
 
-@query()
-def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.clusters(keyed(faces(spark, sf_dir).filter("person_id is null and not ignored")), LIKE)
-    return rows.select("cluster", "size", "photos", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "rank")
-
-
-@query()
-def carried_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = faces(spark, sf_dir)
-    new = old.withColumn("face_id", F.col("face_id") + 10**6).withColumn("x", F.col("x") + F.col("face_id") % 11 / F.lit(100.0)).withColumn("person_id", F.lit(None).cast("long")).withColumn("assigned_by", F.lit(None).cast("string"))
-    rows, no = D.carried_over(old, new, no_rejections(spark, sf_dir))
-    return rows.select(F.lit("face").alias("part"), "face_id", "person_id").unionByName(no.select(F.lit("rejection").alias("part"), "face_id", "person_id"))
-
-
 @query(RGB + " SELECT photo_id, round(count(*) FILTER (greatest(r, g, b) >= 250) / count(*), 6) AS highlights, round(count(*) FILTER (greatest(r, g, b) <= 5) / count(*), 6) AS shadows FROM q GROUP BY photo_id", "pixels_v")
 def clipped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.clipped_share(pixels(spark, sf_dir)).select("photo_id", F.round("highlights", 6).alias("highlights"), F.round("shadows", 6).alias("shadows"))
@@ -234,3 +220,88 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.luma(n * 5 % 256, n * 7 % 256, n * 11 % 256).alias("luma"), S.oriented(F.lit(7728), F.lit(5152), n % 8 + 1)["width"].alias("width"), S.days_from_civil(1990 + n % 30, 1 + n % 12, 1 + n % 28).alias("days"),
         S.dynamic_range(F.when(n % 2 == 0, text).otherwise(F.concat(text, F.lit("%")))).alias("dr"), S.guarded(n.cast("double"), 10, 40, 25.0).alias("guarded"),
     )
+
+
+@query("""@p AS (SELECT *, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN CAST(substr(id, 2) AS BIGINT) % 1000 END AS trashed_at FROM photos_v)
+SELECT 'trash' AS list, folder_id, id, CAST(coalesce(trashed_at, 0) AS BIGINT) AS at, row_number() OVER (PARTITION BY folder_id ORDER BY coalesce(trashed_at, 0) DESC, id) AS rank FROM p WHERE trashed
+UNION ALL SELECT 'missing', folder_id, id, NULL, row_number() OVER (PARTITION BY folder_id ORDER BY stem, id) FROM p WHERE missing AND NOT trashed""", "photos_v")
+def trash_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photos(spark, sf_dir).withColumn("trashed_at", F.when(number() % 2 == 0, number() % 1000))
+    return C.trash_list(rows).select(F.lit("trash").alias("list"), "folder_id", "id", F.col("trashed_at").alias("at"), "rank").union(C.missing_list(rows).select(F.lit("missing"), "folder_id", "id", F.lit(None).cast("long"), "rank"))
+
+
+@query(f"""@p AS (SELECT *, {NUM} AS n FROM photos_v)
+SELECT v.view, id FROM p, (VALUES ('five'), ('unscored'), ('unknown'), ('zero')) v(view) WHERE NOT trashed AND NOT missing AND CASE v.view
+  WHEN 'five' THEN rating >= 2 AND list_contains(coalesce(tags, []), 'print') AND n % 7 = 3 AND n % 11 <> 0 AND n % 300 < 150 AND n % 3 = 1
+  WHEN 'unscored' THEN n % 11 <> 0 AND n % 300 < 20 WHEN 'unknown' THEN n % 3 = 2 AND rating = 0 ELSE false END""", "photos_v")
+def combined_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views by all five filters, by focus alone, by photos without a recipe, and below a focus score of 0, which none has."""
+    rows, n = photos(spark, sf_dir), number()
+    people = rows.select("id", (n % 7).alias("person_id"))
+    scores = rows.filter(n % 11 != 0).select("id", (n % 300).cast("double").alias("score"))
+    labels = rows.select("id", F.when(n % 3 == 1, "promo").when(n % 3 == 0, "pale").alias("label"))
+    views = {"five": ("star2plus", "print", 3, 150.0, "promo"), "unscored": ("all", None, None, 20.0, None), "unknown": ("unstarred", None, None, None, "__unknown__"), "zero": ("all", None, None, 0.0, None)}
+    out = [C.combined(rows, people, scores, labels, *v).select(F.lit(k).alias("view"), "id") for k, v in views.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query(f"""@s AS (SELECT (folder_id + CASE WHEN rating = 5 THEN 1 WHEN rating = 4 THEN 2 ELSE 0 END) % 20 AS folder_id, dir, stem, id FROM photos_v WHERE {NUM} % 13 <> 0 UNION ALL SELECT folder_id, dir, stem, 'n' || id FROM photos_v WHERE rating = 3),
+f AS (SELECT s.folder_id, p.folder_id AS owner, count(*) AS n FROM s JOIN photos_v p USING (id) WHERE s.folder_id <> p.folder_id GROUP BY ALL),
+o AS (SELECT folder_id, string_agg(owner || ':' || n, ',' ORDER BY n DESC, owner) AS owners FROM f GROUP BY folder_id),
+w AS (SELECT s.* FROM s LEFT JOIN photos_v p USING (id) WHERE p.folder_id IS NULL OR p.folder_id = s.folder_id),
+r AS (SELECT coalesce(p.folder_id, w.folder_id) AS folder_id, coalesce(p.rating, 0) AS rating, coalesce(p.trashed, false) AS trashed, w.id IS NULL AND NOT coalesce(p.trashed, false) AS missing FROM w FULL JOIN photos_v p ON p.id = w.id),
+c AS (SELECT folder_id, count(*) FILTER (NOT trashed AND NOT missing) AS total, count(*) FILTER (NOT trashed AND NOT missing AND rating > 0) AS starred, count(*) FILTER (trashed) AS trashed, count(*) FILTER (missing) AS missing FROM r GROUP BY folder_id),
+v AS (SELECT folder_id, max_by(kind, seq) AS sort, max_by(photo_id, seq) AS cursor_id FROM actions_v GROUP BY folder_id)
+SELECT folder_id, CAST(total AS BIGINT) AS total, CAST(starred AS BIGINT) AS starred, CAST(trashed AS BIGINT) AS trashed, CAST(missing AS BIGINT) AS missing, owners, sort, cursor_id FROM c LEFT JOIN o USING (folder_id) LEFT JOIN v USING (folder_id)""", "photos_v", "actions_v")
+def folder_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photos(spark, sf_dir)
+    moved = F.when(F.col("rating") == 5, 1).when(F.col("rating") == 4, 2).otherwise(0)
+    found = rows.filter(number() % 13 != 0).select(((F.col("folder_id") + moved) % 20).alias("folder_id"), "dir", "stem", "id").union(rows.filter("rating = 3").select("folder_id", "dir", "stem", F.concat(F.lit("n"), "id")))
+    states = J.view_states(view(spark, sf_dir, "actions_v").select("folder_id", F.col("kind").alias("sort"), F.col("undone").alias("reverse"), F.col("to_rating").alias("filter"), F.col("photo_id").alias("cursor_id"), F.col("seq").alias("ts")))
+    out = C.folder_summaries(found, rows.select("folder_id", "dir", "stem", "id", "rating", "tags", "trashed"), states)
+    return out.select("folder_id", "total", "starred", "trashed", "missing", F.array_join(F.transform("owners", lambda o: F.concat_ws(":", o["owner"].cast("string"), o["n"].cast("string"))), ",").alias("owners"), "sort", "cursor_id")
+
+
+@query("""@e AS (SELECT photo_id, seq, CASE cmd WHEN 'undo' THEN 'error' WHEN 'redo' THEN 'error' ELSE cmd END AS kind FROM commands_v),
+d AS (SELECT photo_id, max(seq) AS ended FROM e WHERE kind = 'trash' GROUP BY photo_id), l AS (SELECT e.*, max(CASE WHEN kind IN ('rate', 'tags') THEN seq END) OVER (PARTITION BY photo_id) AS job FROM e LEFT JOIN d USING (photo_id) WHERE ended IS NULL OR seq > ended),
+j AS (SELECT photo_id, max(job) AS job_seq, count(*) FILTER (kind = 'error' AND seq > job) >= 5 AS failed FROM l WHERE job IS NOT NULL GROUP BY photo_id)
+SELECT photo_id, job_seq FROM j WHERE NOT failed ORDER BY job_seq LIMIT 25""", "commands_v")
+def write_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 25 file writes of the queue."""
+    kind = F.when(F.col("cmd").isin("undo", "redo"), "error").otherwise(F.col("cmd"))
+    events = view(spark, sf_dir, "commands_v").select("photo_id", "seq", kind.alias("kind"), F.col("to_rating").alias("rating"), F.lit("").alias("tags"), F.lit(None).cast("long").alias("token"))
+    return J.next_batch(J.outbox(events), 25).select("photo_id", "job_seq")
+
+
+@query("""@q AS (SELECT DISTINCT CAST(person_id AS BIGINT) AS person_id FROM faces_v WHERE person_id IS NOT NULL), p AS (SELECT person_id, 'Person ' || person_id AS name FROM q),
+r AS (SELECT person_id, CASE WHEN person_id % 2 = 0 THEN chr(9) || 'PERSON ' || (person_id + 1) || ' ' ELSE 'New ' || person_id END AS new_name FROM q), c AS (SELECT r.person_id, p.person_id AS target_id FROM r JOIN p ON lower(p.name) = lower(trim(trim(r.new_name, chr(9)))) AND p.person_id <> r.person_id)
+SELECT 'person' AS part, p.person_id, CASE WHEN c.target_id IS NOT NULL THEN p.name ELSE trim(trim(r.new_name, chr(9))) END AS name FROM p JOIN r USING (person_id) LEFT JOIN c USING (person_id) UNION ALL SELECT 'conflict', person_id, CAST(target_id AS VARCHAR) FROM c""", "faces_v")
+def rename_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = faces(spark, sf_dir).filter("person_id is not null").select("person_id").distinct()
+    n = F.col("person_id")
+    people = ids.select(n, F.concat(F.lit("Person "), n.cast("string")).alias("name"))
+    new = ids.select(n, F.when(n % 2 == 0, F.concat(F.lit("\tPERSON "), (n + 1).cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("New "), n.cast("string"))).alias("new_name"))
+    rows, clash = D.renamed(people, new)
+    return rows.select(F.lit("person").alias("part"), "person_id", "name").union(clash.select(F.lit("conflict"), "person_id", F.col("target_id").cast("string")))
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_size AS n, 1 + p_partkey % 12 AS mo, 1 + p_partkey % 28 AS dd FROM part)
+SELECT id, CASE WHEN n % 5 = 0 THEN id * 1000 ELSE CAST(date_diff('day', DATE '1970-01-01', make_date(2000 + n, mo, dd)) AS BIGINT) * 86400000 + 3723000 + CASE WHEN n % 3 = 0 THEN 0 ELSE n % 10 * 100 END END AS capture,
+  n % 4 <> 0 AS artifact, CASE WHEN n % 2 = 0 THEN n * 65536 % 256 + n * 256 + 7 END AS colour, n % 3 > 0 AS has_metadata,
+  CASE WHEN n % 3 = 0 THEN 'album,print' WHEN n % 3 = 1 THEN 'album' ELSE 'print' END AS toggled, CASE WHEN n % 2 = 0 AND n <= 40 THEN 100.0 + 25 * n ELSE 100.0 END AS latency, NOT (n % 2 = 0 AND n <= 40) AS occluded,
+  CAST(floor(least(greatest(greatest(0.2 * 600, (n / 100.0) * 400) * 1.5, 1.0), 400)) AS BIGINT) AS side, CAST(least(640, greatest(1, floor((600 + n) * least(640.0 / (600 + n), 640.0 / 400) + 0.5))) AS INT) AS fit FROM s""")
+def more_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, i = F.col("p_size"), F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    taken = F.when(n % 5 != 0, F.concat((2000 + n).cast("string"), F.lit(":"), two(1 + i % 12), F.lit(":"), two(1 + i % 28), F.lit(" 01:02:03")))
+    colour = S.hex_colour(F.when(n % 2 == 0, F.concat(F.lit("#00"), F.lpad(F.hex(n.cast("long")), 2, "0"), F.lit("07"))).otherwise("red"))
+    document = S.parsed(F.when(n % 3 > 0, F.lit('{"SourceFile":"x","b":"1"}')).otherwise(F.lit('{"SourceFile":"x"}')))
+    tags = F.when(n % 3 == 0, S.tags_of(F.lit('["album"]'))).when(n % 3 == 1, F.array(F.lit("album"), F.lit("print")))
+    name = F.concat(F.lpad(F.lower(F.hex(i.cast("long"))), 16, "0"), F.when(n % 4 == 0, "-x.jpg").when(n % 4 == 1, "-f1.jpg").when(n % 4 == 2, "-f2r3.jpg").otherwise("-f0.tmp9"))
+    glass = S.glass_time(F.lit(100.0), 100.0 + 25 * n, n % 2 != 0)
+    return rows.select(
+        i.alias("id"), S.capture_ms(taken, F.when(n % 3 != 0, (n % 10).cast("string")), i).cast("long").alias("capture"), S.is_artifact(name).alias("artifact"),
+        (colour[0] * 65536 + colour[1] * 256 + colour[2]).cast("long").alias("colour"), S.has_metadata(document).alias("has_metadata"), F.array_join(S.toggled(tags, F.lit("print")), ",").alias("toggled"), glass["latency_ms"].alias("latency"), glass["occluded"].alias("occluded"),
+        S.square_crop(F.lit(0.5), F.lit(0.5), F.lit(0.2), n / 100.0, F.lit(600), F.lit(400))["side"].cast("long").alias("side"), S.letterbox(600 + n, F.lit(400))["width"].alias("fit"),
+    )

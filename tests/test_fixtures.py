@@ -40,6 +40,7 @@ def test_orders(spark):
     assert ordered(spark, [("0001", "", 100, 1), ("0002", "", 200, 5), ("0000", "", 50, 5)], "rating") == ["0000", "0002", "0001"]
     assert ordered(spark, [("0001", "", 100, 0), ("0002", "", 200, 0)], "capture", True)[0] == "0002"
     assert ordered(spark, [("s", "sub", 1, 0), ("s", "", 1, 0)], "name") == ["s", "ssub"]
+    assert ordered(spark, [("b", "", 1, 0), ("C", "", 1, 0), ("é", "", 1, 0), ("f", "", 1, 0), ("a", "", 1, 0)], "name") == ["a", "b", "C", "é", "f"]
 
 
 def test_star_and_focus_filters(spark):
@@ -47,7 +48,7 @@ def test_star_and_focus_filters(spark):
     for n in range(1, 6):
         assert rows(df.filter(C.star_filter(f"star{n}plus"))) == [(r,) for r in range(n, 6)]
     photos, scores = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("a", 89.4), ("b", 270.5)], "id string, score double")
-    assert rows(C.focus_filter(photos, scores, 150)) == [("a",)] and C.focus_filter(photos, scores, 0).count() == 3
+    assert rows(C.focus_filter(photos, scores, 150)) == [("a",)] and C.focus_filter(photos, scores, None).count() == 3 and C.focus_filter(photos, scores, 0).count() == 0
 
 
 def test_undo_redo():
@@ -247,3 +248,25 @@ def test_files(spark, tmp_path):
     files.write_report(new.select("id"), str(tmp_path / "report"))
     files.write_sidecars(new, str(tmp_path / "sidecars"))
     assert spark.read.parquet(str(tmp_path / "catalog")).count() == 4 and spark.read.text(str(tmp_path / "sidecars")).filter("value like '%Rating=\"3\"%'").count() == 1
+
+
+def test_white_space_and_case(spark):
+    """Any white space is trimmed; parameters fold ASCII only, names all letters."""
+    assert value(spark, S.normalized_name(F.lit("\tÄnna\u2003"))) == "änna" and value(spark, S.normalized_name(F.lit("\n\t"))) is None
+    assert value(spark, S.same_text(F.lit("\tVelvia "), F.lit("VELVIA"))) and not value(spark, S.same_text(F.lit("É"), F.lit("é")))
+    assert value(spark, S.leading_number(F.lit("\t+2 (high)"))) == 2.0
+
+
+def test_numbered(spark):
+    from shutterlake.sources.shared import numbered
+
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k long, v long")
+    got = sorted(map(tuple, numbered(df, [F.col("k")], "n", "v", "before").select("n", "k", "v", "before").collect()))
+    assert [r[0] for r in got] == list(range(1, 102)) and [r[1] for r in got] == sorted(r[1] for r in got)
+    assert all(r[3] == sum(x[2] for x in got[:i]) for i, r in enumerate(got))
+
+
+def test_recipes_without_parameters(spark):
+    docs = spark.createDataFrame([(1, '{"FujiFilm:FilmMode":"Velvia"}'), (2, "{}")], "photo_id long, doc string")
+    labels = R.matched(docs, R.rules_frame(spark, [("any", {}), ("velvia", {"film": "velvia"})]))
+    assert rows(labels) == [(1, "any", "any,velvia"), (2, "any", "any")]

@@ -25,6 +25,13 @@ def test_image_jobs(spark, tmp_path):
     got = {r["origin"]: r for r in I.exposure_job(rows).collect()}
     assert got["a.png"]["red"] == np.bincount(a[:, :, 0].ravel(), minlength=256).tolist() and got["a.png"]["blue"] == np.bincount(a[:, :, 2].ravel(), minlength=256).tolist()
     assert got["b.png"]["highlights"] == 1.0 and got["b.png"]["luma"][255] == 900
+    assert got["a.png"]["mask_width"] == 15 and len(got["a.png"]["mask"]) == 150 and set(got["b.png"]["mask"]) == {1}
+    want = [0] * 150
+    for y in range(40):
+        for x in range(60):
+            if a[y, x].max() >= 250 or a[y, x].max() <= 5:
+                want[y // 4 * 15 + x // 4] = 1 if a[y, x].max() >= 250 else 2
+    assert got["a.png"]["mask"] == want
     points = spark.createDataFrame([("a.png", "point", 0.5, 0.5, 8), ("b.png", "manual", None, None, None)], "origin string, status string, x double, y double, half int")
     focus = {r["origin"]: (r["status"], r["score"]) for r in I.focus_job(rows, points).collect()}
     assert focus["a.png"][0] == "ok" and abs(focus["a.png"][1] - I.laplacian_variance(a, 30, 20, 8)) < 1e-9 and focus["b.png"][0] == "manual"
@@ -42,19 +49,30 @@ def test_open_folders(spark):
     got = C.opened(files, catalog, "name").orderBy("pos").collect()
     assert [(r["stem"], r["state"], r["rating"]) for r in got] == [("A1", "seen", 5), ("A2", "new", 0)]
     assert {(got[0]["total"], got[0]["starred"], got[0]["trashed"])} == {(2, 1, 1)} and got[0][-1] == 1
+    times = spark.createDataFrame([(pairs["A2"], "2020-01-01")], "id string, day string").select("id", F.col("day").cast("timestamp_ntz").alias("capture_ts"))
+    assert [r["stem"] for r in C.opened(files, catalog, "capture", captures=times).orderBy("pos").collect()] == ["A2", "A1"]
 
 
 def test_identity_changes(spark):
-    faces = spark.createDataFrame([(1, 1, 5, 7, "user", False), (2, 1, 6, 7, "user", False)], "face_id long, photo_id long, revision long, person_id long, assigned_by string, ignored boolean")
-    before = spark.createDataFrame([(1, 5, None, None), (2, 4, 3, "auto")], "face_id long, revision long, person_id long, assigned_by string")
-    no = spark.createDataFrame([(1, 3, 50), (2, 3, 60)], "face_id long, person_id long, created_at long")
-    back, left = D.naming_undone(faces, before, no, 50)
-    assert sorted((r["face_id"], r["person_id"], r["assigned_by"]) for r in back.collect()) == [(1, None, None), (2, 7, "user")] and left.count() == 1
+    faces = spark.createDataFrame([(1, 1, 5, 7, "user", False), (2, 2, 6, 7, "user", False), (3, 1, 5, 7, "auto", False), (4, 3, 1, 7, "auto", False)], "face_id long, photo_id long, revision long, person_id long, assigned_by string, ignored boolean")
+    before = spark.createDataFrame([(1, 1, 5, None, None), (2, 2, 4, 3, "auto")], "face_id long, photo_id long, revision long, person_id long, assigned_by string")
+    no = spark.createDataFrame([(1, 3, 50), (2, 3, 60), (1, 9, 10)], "face_id long, person_id long, created_at long")
+    written, people = no.filter("created_at >= 50").drop("created_at"), spark.createDataFrame([(7, "Ada"), (3, "Bo")], "person_id long, name string")
+    autos = spark.createDataFrame([(4, 3, 1)], "face_id long, photo_id long, revision long")
+    persons, back, left = D.naming_undone(people, faces, no, before, written, autos, 7, True)
+    # photo 2 was edited since: it keeps its name and its rejection; face 3 was labelled because of the naming, face 4 before it
+    assert sorted((r["face_id"], r["person_id"], r["assigned_by"]) for r in back.collect()) == [(1, None, None), (2, 7, "user"), (3, None, None), (4, 7, "auto")]
+    assert sorted((r["face_id"], r["person_id"]) for r in left.collect()) == [(1, 9), (2, 3)] and persons.count() == 2
+    alone = faces.filter("face_id in (1, 3)")
+    persons, back, _ = D.naming_undone(people, alone, no, before, written, autos, 7, True)
+    assert [r["name"] for r in persons.collect()] == ["Bo"] and back.filter("person_id is not null").count() == 0
+    files, *empty = D.all_erased(spark.createDataFrame([("0123456789abcdef-f0.jpg",), ("x.jpg",)], "name string"), r"^[0-9a-f]{16}-f\d+", people, faces, no)
+    assert files.count() == 1 and [t.columns for t in empty] == [people.columns, faces.columns, no.columns] and not any(t.count() for t in empty)
     scans = spark.createDataFrame([(1, 10, 20), (2, 30, 40)], "photo_id long, mtime long, size long")
     assert sorted(map(tuple, D.stats_refreshed(scans, spark.createDataFrame([(1, 11, 21)], "photo_id long, mtime long, size long")).collect())) == [(1, 11, 21), (2, 30, 40)]
     listing = spark.createDataFrame([("0123456789abcdef-f0.jpg",), ("x.jpg",)], "name string")
     assert D.erased(r"^[0-9a-f]{16}-f\d+", listing).count() == 1
-    assert D.stray_filtered(spark.createDataFrame([(1,), (2,)], "photo_id long"), faces, 7).collect()[0]["photo_id"] == 2
+    assert D.stray_filtered(spark.createDataFrame([(1,), (9,)], "photo_id long"), faces, 7).collect()[0]["photo_id"] == 9
 
 
 def test_detection_grid(spark):

@@ -60,6 +60,20 @@ def test_latency_and_filters(spark, sf, tmp_path):
     assert spark.table("progress").select(F.explode("ids")).count() == samples.count()
 
 
+def test_latency_percentiles(spark, tmp_path):
+    samples = spark.createDataFrame([(i, float(i), "bitmap-cache") for i in range(1, 101)], "seq long, latency_ms double, served_from string").withColumn("ts", F.timestamp_seconds(F.lit(60)))
+    drain(L.latency_by_minute(stream_of(spark, samples, f"{tmp_path}/in"), "1000 days").writeStream.format("memory").queryName("ranks").outputMode("complete"), f"{tmp_path}/cp")
+    row = spark.table("ranks").first()
+    assert (row["p50"], row["p95"], row["p99"], row["max_ms"], row["misses"], row["gate"]) == (50, 95, 99, 100, 0, False)
+
+
+def test_progress_in_fours(spark, tmp_path):
+    events = spark.createDataFrame([(1, i, i // 2) for i in range(20)] + [(2, 30 + i, i) for i in range(4)], "folder_id long, seq long, photo_id long")
+    drain(L.coalesced(stream_of(spark, events, f"{tmp_path}/in", 1)).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), f"{tmp_path}/cp")
+    got = spark.read.schema("folder_id long, ids array<long>").parquet(f"{tmp_path}/out").filter("size(ids) = 4")
+    assert sorted_rows(got) == [(1, [0, 1, 2, 3]), (1, [3, 4, 5, 6]), (1, [6, 7, 8, 9]), (2, [0, 1, 2, 3])]
+
+
 def test_guarded_commit(spark, tmp_path):
     columns = "seq long, photo_id long, epoch long, generation string, revision long, mtime long, size long"
     results = spark.createDataFrame([(1, 1, 1, "g", 0, 5, 5), (2, 2, 0, "g", 0, 5, 5), (3, 3, 1, "g", 1, 5, 5), (4, 4, 1, "g", 0, 5, 6), (5, 9, 1, "g", 0, 5, 5)], columns)
