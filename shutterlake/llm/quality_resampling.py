@@ -38,32 +38,30 @@ def buckets(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.
         yield (h[order] >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))])
 
 
-def counted(texts: DataFrame, bits: int = BITS, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts (of raw text, of target text) over all rows of texts (text, target boolean); a task sends two fixed arrays, which are added up in a few streams."""
+def counted(texts: DataFrame, bits: int = BITS, parts: int = 16) -> np.ndarray:
+    """n-gram counts over all rows of texts (text); a task sends one fixed array, and these are added up in a few streams."""
     size = 1 << bits
 
+    def sent(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["counts"])
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size), np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            target, row = batch.column("target").to_numpy(zero_copy_only=False).astype(bool), 0
-            for at, first in buckets(batch.column("text"), bits):
-                n = len(first) - 1
-                total[0] += np.bincount(at, minlength=size)
-                total[1] += np.bincount(at[np.repeat(target[row : row + n], np.diff(first))], minlength=size)
-                row += n
+            for at, _ in buckets(batch.column("text"), bits):
+                total += np.bincount(at, minlength=size)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["counts"])
+            yield sent(total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 total += np.frombuffer(decompress(x), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["counts"])
+        yield sent(total)
 
-    rows = texts.mapInArrow(told, "counts binary").repartition(parts).mapInArrow(added, "counts binary").collect()
-    total = sum((np.frombuffer(decompress(r["counts"]), "<i8") for r in rows), np.zeros(2 * size, np.int64)).reshape(2, size)
-    return total[0], total[1]
+    rows = texts.select("text").mapInArrow(told, "counts binary").repartition(parts).mapInArrow(added, "counts binary").collect()
+    return sum((np.frombuffer(decompress(r["counts"]), "<i8") for r in rows), np.zeros(size, np.int64))
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -95,31 +93,34 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, key: str, k: int, out: str, bins: int = BINS) -> DataFrame:
-    """rows with out: whether key is among the k highest; ties go to the smaller doc_id.
+def top_k(rows: DataFrame, keys: list[str], k: int, out: str, bins: int = BINS, enough: int = 10_000) -> DataFrame:
+    """rows with out: whether a row is among the k first by keys, each a double and high values first; of equal keys the next one decides.
 
-    Counts of equal-width bins narrow the k-th highest value down, pass by pass; the driver sees
-    one pass's counts. Only the rows of the last bin, which hold nearly equal keys, are ranked.
+    Counts of equal-width bins narrow the k-th highest value down, pass by pass; the driver sees one pass's counts.
+    Only the rows of the last bin are ranked, `enough` at most unless rows are equal in all keys.
     """
-    bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
-    if not bounds["n"] or k >= bounds["n"] or k <= 0:
+    n = rows.count()
+    if not n or k >= n or k <= 0:
         return rows.withColumn(out, F.lit(k > 0))
-    lo, hi, above = bounds["lo"], bounds["hi"], 0
-    while hi > lo:
-        width = (hi - lo) / bins
-        number = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1))
-        counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.filter(F.col(key).between(lo, hi)).groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
-        for b in sorted(counts, reverse=True):
-            if above + counts[b][0] >= k:
-                break
-            above += counts[b][0]
-        n, lo, hi = counts[b]
-        if n <= 10_000 or width == 0:
+    sure, last, above = F.lit(False), F.lit(True), 0
+    for key in keys:
+        bounds = rows.filter(last).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        lo, hi = bounds["lo"], bounds["hi"]
+        while hi > lo and n > enough:
+            width = (hi - lo) / bins
+            number = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1))
+            counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.filter(last & F.col(key).between(lo, hi)).groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
+            for b in sorted(counts, reverse=True):
+                if above + counts[b][0] >= k:
+                    break
+                above += counts[b][0]
+            n, lo, hi = counts[b]
+        sure, last = sure | (last & (F.col(key) > hi)), last & F.col(key).between(lo, hi)
+        if n <= enough:
             break
-    last = F.col(key).between(lo, hi)
-    rank = F.row_number().over(W.partitionBy(last).orderBy(F.col(key).desc(), F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*[F.col(key).desc() for key in keys]))
     ranked = rows.filter(last).withColumn(out, rank <= k - above)
-    return rows.filter(~last).withColumn(out, F.col(key) > hi).unionByName(ranked)
+    return rows.filter(~last).withColumn(out, sure).unionByName(ranked)
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
@@ -127,21 +128,21 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
 
     labels: (doc_id, quality); quality 1 marks target text. k: documents to draw; by default the labelled rows' share
     of good ones, of all rows. key is log_weight plus Gumbel noise. Rows that repeat a doc_id share their
-    noise. A null text has log_weight 0. Without good labels all weights are 0 and the draw is uniform.
-    An empty table gives none.
+    noise. A null text has log_weight 0, a null doc_id has its own noise and is no target text. Without good labels all weights
+    are 0 and the draw is uniform. Other columns are left out, whatever their names; an empty table gives none.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # labels grow with the documents, so both sides are shuffled at every size
-    marked = texts.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
-    raw, target = counted(marked)
+    # raw text is counted where it lies; labels grow with the documents, so target text comes from a shuffled semi join at every size
+    raw, target = counted(texts), counted(texts.join(good.hint("merge"), "doc_id", "left_semi"))
     ratios = log_ratios(raw, target) if target.sum() else np.zeros(len(raw))
     rows = weighed(texts, ratios)
-    rows = written(rows.withColumn("key", F.col("log_weight") + gumbel(seed)), "weights")
+    # ties go to the smaller doc_id, rows that share it to the one that was written first
+    rows = written(rows.withColumn("key", F.col("log_weight") + gumbel(seed)).withColumn("by_id", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("-inf")))).withColumn("by_row", -F.monotonically_increasing_id().cast("double")), "weights")
     if k is None:
         share = labels.agg(F.avg((F.col("quality") == 1).cast("int")).alias("s")).first()["s"]
         k = round(rows.count() * (1.0 if share is None else share))
-    return top_k(rows, "key", k, "kept")
+    return top_k(rows, ["key", "by_id", "by_row"], k, "kept").drop("by_id", "by_row")
 
 
 def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
