@@ -53,8 +53,9 @@ def formatted(turns: DataFrame) -> DataFrame:
     formatted: the string. pieces: for each turn head_chars and body_chars, code points
     of its head (marker, role, marker) and of its escaped body, and loss, true if the body is under
     the loss mask. attachments: kind, ref and tokens in order. Turns stand in the order
-    of (turn, role, body); null roles, parts and texts count as empty, a null turn comes
-    first, null conv_ids form one conversation. Repeated rows stay. An empty table gives none.
+    of (turn, role, escaped body); null roles, parts and texts count as empty, a null turn comes
+    first, null conv_ids form one conversation. Repeated rows stay; very long texts are formatted whole; other
+    columns are left out, whatever their names. An empty table gives none.
     """
     is_file = lambda p: p["kind"].isin("image", "audio", "document")
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
