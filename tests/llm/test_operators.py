@@ -611,8 +611,30 @@ def test_weights_and_keys(spark, sf, odd):
 
 
 def test_top_k(spark):
-    rows = [(i, float(v)) for i, v in enumerate([5, 5, 5, 5, 1, 9, 9, -3, 5, 0])]
-    df = spark.createDataFrame(rows, "doc_id long, key double")
+    rows = [(i, float(v), float(-(i % 3)), float(-i)) for i, v in enumerate([5, 5, 5, 5, 1, 9, 9, -3, 5, 0])]
+    df = spark.createDataFrame(rows, "doc_id long, key double, second double, third double")
     for k in range(11):
-        want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
-        assert {r["doc_id"] for r in quality_resampling.top_k(df, "key", k, "kept", bins=4).filter("kept").collect()} == want
+        want = {r[0] for r in sorted(rows, key=lambda r: (-r[1], -r[2], -r[3]))[:k]}
+        for enough in (1, 100):
+            assert {r["doc_id"] for r in quality_resampling.top_k(df, ["key", "second", "third"], k, "kept", 4, enough).filter("kept").collect()} == want
+
+
+def test_other_columns_change_nothing(odd):
+    """Operators that return columns of their own take no notice of others, whatever their names."""
+    names = ["row", "key", "size", "taken", "target", "bucket", "ghost", "h", "n", "words", "chars", "severity", "weight", "kept", "piece", "number", "n_words", "blocks", "shard"]
+    wide = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.array([1.0]))
+    runs = {
+        "packing": lambda d: packing.packed(d).select("doc_id", "piece", "ids_crc32"), "toxicity": lambda d: toxicity.scored(d, model), "weights": lambda d: quality_resampling.weighed(d, np.zeros(1 << quality_resampling.BITS)),
+        "fingerprints": lambda d: spot_signatures.fingerprinted(d), "next": lambda d: spot_signatures.with_next(d, 3).select("doc_id", "text"), "rules": lambda d: quality_rules.judged(d), "mix": lambda d: mixing.mix(d), "join": lambda d: ngram_join.joined(d),
+    }
+    for name, run in runs.items():
+        assert Counter(map(str, run(wide).collect())) == Counter(map(str, run(odd).collect())), name
+
+
+def test_tied_turns(spark):
+    """Turns of one number and role stand in the order of their escaped texts."""
+    df = spark.createDataFrame([(1, 0, "user", t) for t in ("␛A", "␛<s>", "<s>", "b")], "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.formatted(chat_format.conversation_turns(df))).first()["turns"]
+    escape = lambda t: t.replace("␛", "␛e").replace("<s>", "␛0")
+    assert [t["text"] for t in got] == sorted(["␛A", "␛<s>", "<s>", "b"], key=lambda t: escape(t).encode())
