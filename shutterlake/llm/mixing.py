@@ -18,6 +18,7 @@ BLOCK = 64
 #: Documents of a shard, and the most shards of a source, as one task deals a source's blocks to its shards; shards of larger sources have more documents.
 SHARD_ROWS, SHARDS = 4096, 10_000
 REPEATS = 3
+SALTS = 256
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -82,7 +83,10 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7, shard_rows: int = SH
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy("_all")) / block).cast("long"))
     quota = apportioned(goal, ["_all"], "target", "blocks", ["source"], "quota").drop("_all", "blocks", "weight")
 
-    dealt = base.join(quota.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # a source may hold a third of all rows, so its quota, one row, is copied for each of SALTS parts of them
+    salted = quota.withColumnRenamed("source", "_source").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    part = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.lit(SALTS))
+    dealt = base.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (part == F.col("_part"))).drop("_source", "_part")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.least(F.ceil(F.col("source_rows") / shard_rows), F.lit(SHARDS))).cast("long"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = apportioned(shards, ["source"], "shard_size", "quota", ["shard"], "blocks").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "blocks")
