@@ -16,9 +16,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 from .ngram_join import joined
@@ -125,6 +124,15 @@ def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     return joined(docs, SpotSets(), percent)
 
 
+def _larger(bounds: list[int], key: Column) -> Column:
+    """How many of the descending bounds are above key: a binary search, bit by bit."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << b for b in reversed(range(len(bounds).bit_length()))]
+    known = F.lit(bounds).cast("array<bigint>")
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) > key, at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) so dealt that in each bucket the rows stand in descending order, each followed by its next document.
 
@@ -138,14 +146,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (BUCKET_MB << 20))
-    bounds = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}), np.int64) if buckets > 1 else np.zeros(0, np.int64)
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(), "right"))
-
+    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}, reverse=True) if buckets > 1 else []
     key = F.coalesce("doc_id", F.lit(least).cast("long"))
-    rows = rows.withColumn("bucket", number(key))
+    rows = rows.withColumn("bucket", _larger(bounds, key))
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max(key).alias("head")).collect()}
     order = sorted(heads)
     follows = spark.createDataFrame([(b, heads[b], order[i - 1]) for i, b in enumerate(order)], "at int, head long, before int")
