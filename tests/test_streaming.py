@@ -1,5 +1,6 @@
 """Streams against their batch twins on the same rows."""
 import os
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def drain(query_of, checkpoint):
     assert q.exception() is None
 
 
+def drain_timed(query_of, checkpoint, rows):
+    """For queries with timers, which run on without data: stops as soon as all rows are in."""
+    q = query_of.option("checkpointLocation", checkpoint).start()
+    until = time.monotonic() + 100
+    while time.monotonic() < until and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+        time.sleep(0.5)
+    q.stop()
+    assert q.exception() is None
+
+
 def sorted_rows(df):
     return sorted(map(tuple, df.collect()))
 
@@ -69,7 +80,7 @@ def test_latency_percentiles(spark, tmp_path):
 
 def test_progress_in_fours(spark, tmp_path):
     events = spark.createDataFrame([(1, i, i // 2) for i in range(20)] + [(2, 30 + i, i) for i in range(4)], "folder_id long, seq long, photo_id long")
-    drain(L.coalesced(stream_of(spark, events, f"{tmp_path}/in", 1)).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), f"{tmp_path}/cp")
+    drain_timed(L.coalesced(stream_of(spark, events, f"{tmp_path}/in", 1)).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), f"{tmp_path}/cp", 24)
     got = spark.read.schema("folder_id long, ids array<long>").parquet(f"{tmp_path}/out").filter("size(ids) = 4")
     assert sorted_rows(got) == [(1, [0, 1, 2, 3]), (1, [3, 4, 5, 6]), (1, [6, 7, 8, 9]), (2, [0, 1, 2, 3])]
 
@@ -85,7 +96,7 @@ def test_guarded_commit(spark, tmp_path):
 
 def test_retries(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, "error"), (1, 2, "error"), (1, 3, "error"), (1, 4, "error"), (2, 5, "error"), (2, 6, "ok"), (2, 7, "error"), (3, 8, "claim")], "photo_id long, seq long, kind string")
-    drain(L.retries(stream_of(spark, events, f"{tmp_path}/in", 2)).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), f"{tmp_path}/cp")
+    drain_timed(L.retries(stream_of(spark, events, f"{tmp_path}/in", 2)).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), f"{tmp_path}/cp", 8)
     out = spark.read.schema(L.RETRIES).parquet(f"{tmp_path}/out").filter("event <> 'due'")
     assert sorted_rows(out.select("photo_id", "event", "attempts")) == [(1, "retry", 1), (1, "retry", 2), (1, "retry", 3), (1, "terminal", 4), (2, "retry", 1), (2, "retry", 1)]
     assert sorted_rows(L.retries_batch(events)) == [(1, 4, True), (2, 1, False), (3, 0, False)]
