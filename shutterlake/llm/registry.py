@@ -11,6 +11,7 @@ from .oracles import OP1, OP5, OP8
 from .packing import op2_packing
 from .quality_resampling import op4_quality_resampling
 from .quality_rules import op9_quality_rules
+from .spelling_variants import op13_spelling_variants
 from .spot_signatures import op7_fingerprints
 from .toxicity import op3_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op5_chat_format": OP5, "op8_line_dedup": OP8}
