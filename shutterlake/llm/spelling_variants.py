@@ -11,11 +11,13 @@ point. Steps:
    earlier one covers it. One edit leaves all grams alike but some whose ends lie within
    `longest` code points after it, so a word has a bound of its own on its affected grams, and
    two near words have at least `needed` grams in common.
-4. A word is listed under its rarest grams, so many that two near words share a list. A
-   gram before the edit stands behind the same text and one after it before the same text:
-   a list holds the words that agree in all that stands on the gram's outer side.
-5. Within a list, the words' other grams are merged as inverted lists; pairs with enough
-   common grams are verified. A list longer than a block is searched block by block.
+4. A gram before the edit stands behind the same text in both words, one after it before the same text. An edit
+   is in a word's first half or in its second. So a word is listed under the last of its grams that ends in the
+   first half and under the first gram that the first half cannot cover, each with all
+   text on its outer side; for its own length, and for that of a partner that is shorter by one.
+5. Within a list, the words' other grams are inverted lists. They nest, outside in, so those that
+   surely hold all partners with enough common grams are few and short; pairs from these are
+   verified. A list longer than a block is searched block by block.
 
 Words have at least 2 * longest + 1 code points, so that every word keeps a gram and none needs another way.
 """
@@ -37,7 +39,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MIN_LENGTH, MIN_COUNT, RATIO, NOISE = 7, 2, 10, 31
 SHORTEST, LONGEST = 2, 3
-#: Frequent grams of one length, at most: with 88 letters, a dictionary of PARENTS * 88 grams of each longer length.
+#: Frequent grams of one length, at most.
 PARENTS = 4096
 #: Entries of a task's own sums before they go on.
 HELD = 200_000
@@ -85,16 +87,15 @@ def counted_words(docs: DataFrame, min_length: int = MIN_LENGTH, noise: int = NO
 class Grams:
     """A prefix-closed gram dictionary: grams of SHORTEST code points, and one more for as long as the gram so far is frequent."""
 
-    def __init__(self, frequency: dict[str, int], threshold: int, longest: int = LONGEST):
-        self.longest, self.frequency = longest, frequency
-        self.frequent = {g for g, n in frequency.items() if n > threshold and len(g) < longest}
+    def __init__(self, frequent: set[str], longest: int = LONGEST):
+        self.longest, self.frequent = longest, frequent
 
     def of(self, word: str) -> list[tuple[int, int]]:
         """(start, end) of the word's grams: at each place the longest one, unless an earlier one covers it. Ends rise."""
-        out, covered = [], 0
-        for start in range(len(word) - SHORTEST + 1):
+        out, covered, size, longest, frequent = [], 0, len(word), self.longest, self.frequent
+        for start in range(size - SHORTEST + 1):
             end = start + SHORTEST
-            while end < len(word) and end - start < self.longest and word[start:end] in self.frequent:
+            while end < size and end - start < longest and word[start:end] in frequent:
                 end += 1
             if end > covered:
                 out.append((start, end))
@@ -114,38 +115,42 @@ class Grams:
             most = max(most, at - first + 1)
         return most
 
-    def rarest(self, word: str, grams: list[tuple[int, int]], needed: int) -> list[tuple[int, int]]:
-        """So many of the word's grams, rare ones first, that any other word with needed grams in common shares one: all but needed - 1, and those equal to the last."""
-        order = sorted((self.frequency.get(word[a:b], 0), word[a:b], a, b) for a, b in grams)
-        k = len(order) - needed + 1
-        while k < len(order) and order[k][1] == order[k - 1][1]:
-            k += 1
-        return [(a, b) for _, _, a, b in order[:k]]
+    def outer(self, grams: list[tuple[int, int]], size: int, length: int) -> tuple[int, int]:
+        """(code points of the head, of the tail) under which a word of size code points meets words of length and length + 1, the shorter one's first half being length // 2 long.
+
+        An edit in the second half leaves all grams that end in the first half. One in the first half leaves those that
+        begin in the second half and end so far in it that no gram from the first half covers them.
+        """
+        half = size - length + length // 2
+        head = max(end for _, end in grams if end <= length // 2)
+        tail = size - min(start for start, end in grams if start >= half and end >= half + self.longest)
+        return head, tail
 
 
 def dictionary(words: DataFrame, longest: int = LONGEST, parents: int = PARENTS) -> Grams:
-    """The grams of words (word) with their frequencies. What reaches the driver is bounded by the alphabet and, for each further code point, by parents * alphabet."""
-    frequency: dict[str, int] = {}
-    threshold, frequent = 0, None
-    for size in range(SHORTEST, longest + 1):
-        def told(batches: Iterator[pa.RecordBatch], size: int = size, frequent: set[str] | None = frequent) -> Iterator[pa.RecordBatch]:
+    """The gram dictionary of words (word). Only frequent grams reach the driver, parents of each length at most: others are dropped before."""
+    frequent: set[str] = set()
+    threshold, last = 0, None
+    for size in range(SHORTEST, longest):
+        def told(batches: Iterator[pa.RecordBatch], size: int = size, last: set[str] | None = last) -> Iterator[pa.RecordBatch]:
             total: Counter[str] = Counter()
             for batch in batches:
                 for word in batch.column(0).to_pylist():
                     every = [word[i : i + size] for i in range(len(word) - size + 1)]
-                    total.update(every if frequent is None else [g for g in every if g[:-1] in frequent])
-                if len(total) >= HELD:
-                    yield sums(total, "gram")
-                    total.clear()
+                    total.update(every if last is None else [g for g in every if g[:-1] in last])
+                    if len(total) >= HELD:
+                        yield sums(total, "gram")
+                        total.clear()
             if total:
                 yield sums(total, "gram")
 
-        found = words.select("word").mapInArrow(told, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        frequency |= {r["gram"]: r["n"] for r in found}
+        counts = words.select("word").mapInArrow(told, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         if size == SHORTEST:
-            threshold = -(-sum(r["n"] for r in found) // parents)
-        frequent = {r["gram"] for r in found if r["n"] > threshold}
-    return Grams(frequency, threshold, longest)
+            counts = written(counts, "grams")
+            threshold = -(-(counts.agg(F.sum("n")).first()[0] or 0) // parents)
+        last = {r["gram"] for r in counts.filter(F.col("n") > threshold).collect()}
+        frequent |= last
+    return Grams(frequent, longest)
 
 
 def packed(numbers: list[int]) -> bytes:
@@ -157,15 +162,15 @@ def unpacked(data: bytes) -> list[int]:
     return list(data[1:]) if data[0] == 1 else [int.from_bytes(data[i : i + 4], "little") for i in range(1, len(data), 4)]
 
 
-def listed(words: DataFrame, grams: Grams) -> DataFrame:
-    """(key, place, word, n, needed, ends, starts, heads, tails): each word of words (word, n) once for each list that it is in.
+def listed(words: DataFrame, grams: Grams, min_length: int = MIN_LENGTH) -> DataFrame:
+    """(key, place, word, n, longer, needed, ends, starts, head, tail): each word of words (word, n) once for each list that it is in.
 
-    ends, starts: of all its grams; heads: where those end under which the word is listed by all that
-    stands up to there; tails: the same, from the word's end backwards; place: the head of this list, or minus the tail.
+    place: the list's head length, or minus its tail length; longer: whether the list is for words shorter by one; needed: grams in
+    common with a near word, at least; ends, starts: of all its grams; head, tail: the lengths of both lists for these lengths of words.
     """
     shared = words.sparkSession.sparkContext.broadcast(grams)
-    names = ["key", "place", "word", "n", "needed", "ends", "starts", "heads", "tails"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    names = ["key", "place", "word", "n", "longer", "needed", "ends", "starts", "head", "tail"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
 
     def given(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -175,102 +180,92 @@ def listed(words: DataFrame, grams: Grams) -> DataFrame:
         for batch in batches:
             rows = []
             for word, n in zip(*[c.to_pylist() for c in batch.columns]):
-                own = g.of(word)
+                own, size = g.of(word), len(word)
                 ends = [b for _, b in own]
-                needed = len(own) - g.affected(ends)
-                rare = g.rarest(word, own, needed)
-                heads, tails = sorted(b for _, b in rare), sorted(len(word) - a for a, _ in rare)
-                parts = (word, n, needed, packed(ends), packed([a for a, _ in own]), packed(heads), packed(tails))
-                rows += [(word[:b] + "-", b, *parts) for b in heads] + [("-" + word[-b:], -b, *parts) for b in tails]
+                needed, parts = len(own) - g.affected(ends), (packed(ends), packed([a for a, _ in own]))
+                for length in (size, size - 1) if size > min_length else (size,):
+                    head, tail = g.outer(own, size, length)
+                    more = (word, n, length < size, needed, *parts, head, tail)
+                    rows += [(f"{length}:{word[:head]}-", head, *more), (f"{length}:-{word[size - tail:]}", -tail, *more)]
                 if len(rows) >= 50_000:
                     yield given(rows)
                     rows = []
             if rows:
                 yield given(rows)
 
-    return words.select("word", "n").mapInArrow(told, "key string, place int, word string, n long, needed int, ends binary, starts binary, heads binary, tails binary").withColumn("key", F.xxhash64("key"))
+    return words.select("word", "n").mapInArrow(told, "key string, place int, word string, n long, longer boolean, needed int, ends binary, starts binary, head int, tail int").withColumn("key", F.xxhash64("key"))
 
 
-def near(a: str, b: str) -> tuple[int, int] | None:
-    """(code points alike from the start, from the end) of two words that differ by exactly one edit; else None."""
-    if len(a) > len(b):
-        a, b = b, a
-    n, more = len(a), len(b) - len(a)
-    if more > 1:
-        return None
-    i = 0
+def near(a: str, b: str, alike: int = 0) -> bool:
+    """Whether b is a with one code point replaced or inserted. alike: how many are known to be alike from the start."""
+    n, i = len(a), alike
     while i < n and a[i] == b[i]:
         i += 1
-    if more:
-        if a[i:] != b[i + 1 :]:
-            return None
-    elif i == n or a[i + 1 :] != b[i + 1 :]:
-        return None
-    j = n - i if more else n - i - 1
-    while j < n and a[n - 1 - j] == b[len(b) - 1 - j]:
-        j += 1
-    return i, j
+    return a[i:] == b[i + 1 :] if len(b) > n else i < n and a[i + 1 :] == b[i + 1 :]
 
 
 class Listed:
     """A word in a list, as its grams are needed for the search."""
 
-    __slots__ = ("word", "n", "needed", "ends", "starts", "heads", "tails", "own", "place")
+    __slots__ = ("word", "n", "longer", "needed", "ends", "starts", "head", "tail", "own", "place")
 
     def __init__(self, row: tuple):
-        _, _, self.word, self.n, self.needed, ends, starts, heads, tails, self.own, self.place = row
-        self.ends, self.starts, self.heads, self.tails = unpacked(ends), unpacked(starts), unpacked(heads), unpacked(tails)
-
-    def grams(self) -> list[object]:
-        """Its grams with the text on their outer side, once for each side."""
-        return [self.word[:b] for b in self.ends] + [("-", self.word[a:]) for a in self.starts]
+        _, _, self.word, self.n, self.longer, self.needed, ends, starts, self.head, self.tail, self.own, self.place = row
+        self.ends, self.starts = unpacked(ends), unpacked(starts)
 
 
 def candidates(rows: list[Listed]) -> Iterator[tuple[Listed, Listed]]:
-    """Pairs of a list's words that have enough grams in common; of two blocks of a long list, pairs of a word of each.
+    """Pairs of a list's words that have enough grams in common, two of the shorter ones or a shorter and a longer one; of two blocks of a long list, pairs of a word of each.
 
-    The words' grams are merged as inverted lists. Grams that all have are counted once and not merged.
+    Grams left of the edit are the word's first ones and have the same text before them; those right of it are the last ones. So
+    the inverted lists of a word's heads nest, and those of its tails do: needed grams in common means
+    that a partner is in the list of the x-th head and in that of the last tail but (needed - x - 1), for some x. The shorter one of both is taken.
     """
     two = len({r.own for r in rows}) > 1
     apart = lambda a, b: two and a.own == b.own  # noqa: E731  such pairs belong to another task
     if len(rows) <= FEW:
-        for i, b in enumerate(rows):
-            yield from ((a, b) for a in rows[:i] if abs(len(a.word) - len(b.word)) < 2 and not apart(a, b))
+        for i, a in enumerate(rows):
+            if not a.longer:
+                yield from ((a, b) for j, b in enumerate(rows) if (b.longer or j > i) and not apart(a, b))
         return
-    lists, by_length = defaultdict(list), defaultdict(list)
+    heads, tails = defaultdict(list), defaultdict(list)
     for i, r in enumerate(rows):
-        by_length[len(r.word)].append(i)
-        for gram in r.grams():
-            lists[gram].append(i)
+        word = r.word
+        for x in r.ends:
+            heads[word[:x]].append(i)
+        for x in r.starts:
+            tails[word[x:]].append(i)
+    place = rows[0].place
     for i, r in enumerate(rows):
-        always, seen = 0, Counter()
-        for gram in r.grams():
-            if len(lists[gram]) == len(rows):
-                always += 1
-            elif len(lists[gram]) > 1:
-                seen.update(lists[gram])
-        size = len(r.word)
-        if always >= r.needed:  # partners that need no more have nothing to be counted
-            for j in [*by_length[size - 1], *by_length[size], *by_length[size + 1]]:
-                if j < i and always + seen[j] >= rows[j].needed and not apart(rows[j], r):
-                    yield rows[j], r
+        if r.longer:
+            continue
+        word, size = r.word, len(r.word)
+        # lists from outside in: on this list's side after what all words here share, and on the other side
+        if place > 0:
+            own, other = [heads[word[:x]] for x in r.ends if x > place], [tails[word[x:]] for x in reversed(r.starts)]
         else:
-            for j, n in seen.items():
-                if j < i and always + n >= max(r.needed, rows[j].needed) and abs(len(rows[j].word) - size) < 2 and not apart(rows[j], r):
-                    yield rows[j], r
-
-
-def first_place(a: Listed, b: Listed, start: int, end: int) -> int:
-    """The place of the first list that holds both words, which are alike so far from their start and end."""
-    heads = [x for x in a.heads if x <= start and x in b.heads]
-    return min(heads) if heads else -min(x for x in a.tails if x <= end and x in b.tails)
+            own, other = [tails[word[x:]] for x in reversed(r.starts) if size - x > -place], [heads[word[:x]] for x in r.ends]
+        left = r.needed - (len(r.ends) - len(own))
+        found: set[int] = set()
+        if left <= 0:
+            found.update(range(len(rows)))
+        else:
+            found.update(other[left - 1])
+            for x, this_side in enumerate(own[:left], 1):
+                far_side = other[left - x - 1] if left > x else this_side
+                found.update(this_side if len(this_side) < len(far_side) else far_side)
+        for j in found:
+            b = rows[j]
+            if (b.longer or j > i) and not apart(r, b):
+                yield r, b
 
 
 def searched(rows: list[tuple]) -> Iterator[tuple[str, int, int, str]]:
+    """(word, n_near, near_n, near) of a list's words. A pair that is in the list of a common head is not given by that of a common tail."""
     best: dict[str, list] = {}
+    place = rows[0][-1]
     for a, b in candidates([Listed(r) for r in rows]):
-        alike = near(a.word, b.word)
-        if alike and first_place(a, b, *alike) == a.place:
+        if near(a.word, b.word, max(0, place)) and (place > 0 or a.head != b.head or a.word[: a.head] != b.word[: a.head]):
             for x, y in ((a, b), (b, a)):
                 now = best.setdefault(x.word, [0, y.n, y.word])
                 now[0] += 1
@@ -280,13 +275,13 @@ def searched(rows: list[tuple]) -> Iterator[tuple[str, int, int, str]]:
 
 
 def linked(lists: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(word, n_near, near_n, near): of each word of a list its near words there: how many, and the largest n and which word has it. A pair is given by one of its lists only."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
-    long = sizes.filter(F.col("size") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    cut = lists.join(long, F.col("key") == F.col("long_key"), "left").drop("long_key").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """(word, n_near, near_n, near): of each word of a list its near words there: how many, and the largest n and which word has it. A pair is given by one list only."""
+    sizes = lists.groupBy("key", "place").agg(F.count("*").alias("size"))
+    long = sizes.filter(F.col("size") > block).select(F.col("key").alias("long_key"), F.col("place").alias("long_place"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    cut = lists.join(long, (F.col("key") == F.col("long_key")) & (F.col("place") == F.col("long_place")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own")))
     dealt = cut.withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")).withColumn("task", F.explode(pairs))
-    dealt = dealt.select("key", "task", "word", "n", "needed", "ends", "starts", "heads", "tails", "own", "place")
+    dealt = dealt.select("key", "task", "word", "n", "longer", "needed", "ends", "starts", "head", "tail", "own", "place")
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def given(out: list[tuple]) -> pa.RecordBatch:
@@ -296,10 +291,10 @@ def linked(lists: DataFrame, block: int = BLOCK) -> DataFrame:
         at, rows, out = None, [], []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:2] != at:
+                if (row[0], row[1], row[-1]) != at:
                     if len(rows) > 1:
                         out += searched(rows)
-                    at, rows = row[:2], []
+                    at, rows = (row[0], row[1], row[-1]), []
                     if len(out) > 20_000:
                         yield given(out)
                         out = []
@@ -309,7 +304,7 @@ def linked(lists: DataFrame, block: int = BLOCK) -> DataFrame:
         if out:
             yield given(out)
 
-    return dealt.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(told, "word string, n_near long, near_n long, near string")
+    return dealt.repartition("key", "task").sortWithinPartitions("key", "task", "place").mapInArrow(told, "word string, n_near long, near_n long, near string")
 
 
 def rooted(forms: DataFrame) -> DataFrame:
@@ -336,7 +331,7 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, ratio: int = RATIO, lo
     if min_length < 2 * longest + 1:
         raise ValueError(f"words of {min_length} code points may lose all grams of {longest} by one edit")
     words = written(counted_words(docs, min_length, noise).filter(F.col("n") >= min_count), "words")
-    lists = written(listed(words, dictionary(words, longest, parents)), "gram-lists")
+    lists = written(listed(words, dictionary(words, longest, parents), min_length), "gram-lists")
     best = linked(lists, block).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("top"))
     told = words.join(best, "word", "left").withColumn("_n", -F.col("top.less"))
     is_form = F.col("_n") >= ratio * F.col("n")
