@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shutterlake.functions import scalars as S
+from shutterlake.operators.undo import parallel_fold
 
 MAX_ATTEMPTS = 5
-FOLDED = "folder_id long, seq long, photo_id long, kind string, to_rating long, undone boolean"
 
 
 def candidates(actions: DataFrame) -> DataFrame:
@@ -20,7 +17,7 @@ def candidates(actions: DataFrame) -> DataFrame:
 
 
 class Lane:
-    """A folder's two stacks; the one fold that batch and stream share."""
+    """A folder's two stacks, as undo and redo are defined: what the folds of batch and stream are held against."""
 
     def __init__(self, live: list[tuple] | None = None, undone: list[tuple] | None = None):
         self.live, self.undone = live or [], undone or []
@@ -38,21 +35,9 @@ class Lane:
             self.undone.clear()
 
 
-def folded(commands: DataFrame) -> DataFrame:
-    """The actions that are left of commands (folder_id, seq, photo_id, cmd, to_rating), with undone.
-
-    Order matters within a folder only, so a folder is a group; its log, some tens of bytes
-    a command, has to fit one task. Longer logs go through the stream's state, which holds two stacks.
-    """
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        lane = Lane()
-        rows = rows.sort_values("seq")
-        for action in rows.itertuples(index=False):
-            lane.step(action.cmd, (action.folder_id, action.seq, action.photo_id, action.cmd, action.to_rating))
-        out = [(*a, False) for a in lane.live] + [(*a, True) for a in lane.undone]
-        return pd.DataFrame(out, columns=["folder_id", "seq", "photo_id", "kind", "to_rating", "undone"])
-
-    return commands.select("folder_id", "seq", "photo_id", "cmd", "to_rating").groupBy("folder_id").applyInPandas(fold, FOLDED)
+def folded(commands: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The actions that are left of commands (folder_id, seq, photo_id, cmd, to_rating), with undone. One folder's log may be of any length: see undo."""
+    return parallel_fold(commands, ranges)
 
 
 def latest(value: str, *kinds: str) -> Column:
