@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shutterlake.functions import scalars as S
 from shutterlake.operators.rules import recipes_of_toml, rules_frame
+from shutterlake.sources.listing import PhotoListing
 
 # fixed values: settings, their ranges and defaults
 SETTINGS = {
@@ -16,12 +17,18 @@ SETTINGS = {
 }
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, dir, name, mtime, size) of JPEG and RAF files under root. Only the listing is read, no content. Spark leaves out names that begin with a dot or an underscore."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-    name = F.substring_index("path", "/", -1)
-    rows = rows.select("path", F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(name) - 1).alias("dir"), name.alias("name"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return rows.filter(S.kind_of(F.col("name")).isNotNull())
+def scan(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """(path, dir, name, mtime, size) of JPEG and RAF files under root. Folders are listed in parallel, no content is read. Names that begin with a dot are left out. depth: levels of folders that are partitions of their own."""
+    spark.dataSource.register(PhotoListing)
+    reader = spark.read.format("photo_listing").option("path", root)
+    rows = (reader.option("depth", depth) if depth is not None else reader).load().dropDuplicates(["path"])
+    return rows.withColumn("mtime", F.floor("mtime").cast("long")).filter(S.kind_of(F.col("name")).isNotNull())
+
+
+def new_files(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of the files that scan() would give, each once, in order of time and path; mtime with fractions."""
+    spark.dataSource.register(PhotoListing)
+    return spark.readStream.format("photo_listing").option("path", root).load()
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +68,8 @@ def upserted(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    """Overwrites a catalog of folders; one folder's rows meet in a few files."""
-    catalog.repartition("folder_id").write.mode("overwrite").partitionBy("folder_id").parquet(path)
+    """Overwrites a whole catalog of folders; small folders share tasks, large ones are split. See versions.upsert_scan for writes of some folders."""
+    catalog.hint("rebalance", "folder_id").write.mode("overwrite").partitionBy("folder_id").parquet(path)
 
 
 def append_journal(actions: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shutterlake.operators.journal import Lane
+from shutterlake.operators.journal import MAX_ATTEMPTS
 from shutterlake.operators.metrics import gated
 
 ACTION = "folder_id long, seq long, photo_id long, kind string, to_rating long"
@@ -22,37 +22,54 @@ RETRIES = "photo_id long, event string, attempts int, due_s int"
 
 
 class Fold(StatefulProcessor):
-    """A folder's two stacks as state. Each command gives the flips that it causes: live, undone, or cut; a command at or below the folder's mark is late and has no effect."""
+    """A folder's line of actions by place, its length and the cursor as state. Each command gives the flips that it causes: live, undone, or cut; a command at or below the folder's mark is late and has no effect.
+
+    A command reads and writes the places that it touches only: one for undo and redo, and for an action its own and
+    those that it cuts, each of which was added once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getListState("live", ACTION)
-        self.undone = handle.getListState("undone", ACTION)
-        self.mark = handle.getValueState("mark", "seq long")
+        self.line = handle.getMapState("line", "place long", ACTION)
+        self.at = handle.getValueState("at", "cursor long, length long, mark long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        commands = pd.concat(list(rows)).sort_values("seq")
-        lane = Lane([tuple(r) for r in self.live.get()] if self.live.exists() else [], [tuple(r) for r in self.undone.get()] if self.undone.exists() else [])
-        mark, out = (self.mark.get()[0] if self.mark.exists() else -1), []
-        for c in commands.itertuples(index=False):
-            action = (int(c.folder_id), int(c.seq), int(c.photo_id), c.cmd, int(c.to_rating))
+        cursor, length, mark = self.at.get() if self.at.exists() else (0, 0, -1)
+        held, new, out, stored = {}, set(), [], length
+
+        def action_at(place: int) -> tuple:
+            if place not in held:
+                held[place] = tuple(self.line.getValue((place,)))
+            return held[place]
+
+        for c in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            own = (int(c.folder_id), int(c.seq), int(c.photo_id), c.cmd, int(c.to_rating))
             flip = lambda a, state, at=int(c.seq): out.append((a[0], at, *a[1:], state))
             if c.seq <= mark:
-                flip(action, "late")
+                flip(own, "late")
                 continue
-            mark, before, cut = int(c.seq), len(lane.live), list(lane.undone)
-            lane.step(c.cmd, action)
-            if len(lane.live) < before:
-                flip(lane.undone[-1], "undone")
-            elif len(lane.live) > before:
-                flip(lane.live[-1], "live")
-                if c.cmd != "redo":
-                    for a in cut:
-                        flip(a, "cut")
-        for state, stack in ((self.live, lane.live), (self.undone, lane.undone)):
-            state.clear()
-            if stack:
-                state.put(stack)
-        self.mark.update((mark,))
+            mark = int(c.seq)
+            if c.cmd == "undo":
+                if cursor:
+                    flip(action_at(cursor), "undone")
+                    cursor -= 1
+            elif c.cmd == "redo":
+                if cursor < length:
+                    cursor += 1
+                    flip(action_at(cursor), "live")
+            else:
+                for place in range(cursor + 1, length + 1):
+                    flip(action_at(place), "cut")
+                    new.discard(place)
+                cursor += 1
+                length = cursor
+                held[cursor] = own
+                new.add(cursor)
+                flip(own, "live")
+        for place in sorted(new):
+            self.line.updateValue((place,), held[place])
+        for place in range(length + 1, stored + 1):
+            self.line.removeKey((place,))
+        self.at.update((cursor, length, mark))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FLIPS.split(", ")])
 
     def close(self) -> None:
@@ -190,14 +207,110 @@ def committing(path: str, state: Callable[[], DataFrame]) -> Callable[[DataFrame
     return write
 
 
-def outbox_sink(events_path: str, jobs_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that adds a batch's outbox events and renews the open jobs; both by the batch's number."""
-    from shutterlake.operators.journal import outbox
+class Outbox(StatefulProcessor):
+    """A photo's open job as state. Each batch gives one row for a photo whose job it changed; an event at or below the photo's mark is late and has no effect."""
+
+    def __init__(self, max_attempts: int):
+        self.max_attempts = max_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", "open boolean, rating long, tags string, last long, attempts int, mark long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        is_open, rating, tags, last, attempts, mark = self.job.get() if self.job.exists() else (False, None, None, None, 0, None)
+        before = (is_open, rating, tags, last, attempts)
+        given = lambda v: None if v is None or v != v else v  # noqa: E731  pandas has NaN for null
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            seq = int(e.seq)
+            if mark is not None and seq <= mark:
+                continue
+            mark = seq
+            if e.kind in ("rate", "tags"):
+                if not is_open:
+                    rating = tags = None
+                if e.kind == "rate":
+                    rating = None if given(e.rating) is None else int(e.rating)
+                else:
+                    tags = given(e.tags)
+                is_open, last, attempts = True, seq, 0
+            elif e.kind == "trash" or e.kind == "done" and (None if given(e.token) is None else int(e.token)) == last:
+                is_open, rating, tags, attempts = False, None, None, 0
+            elif e.kind == "error" and is_open:
+                attempts += 1
+            elif e.kind == "rearm":
+                attempts = 0
+        self.job.update((is_open, rating, tags, last, attempts, mark))
+        changed = before != (is_open, rating, tags, last, attempts) and (is_open or before[0])
+        status = "error" if attempts >= self.max_attempts else "pending"
+        row = (key[0], is_open, rating, tags, last, attempts, status)
+        yield pd.DataFrame([row] if changed else [], columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"rating": "Int64", "job_seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+CHANGES = "photo_id long, open boolean, rating long, tags string, job_seq long, attempts long, status string"
+
+
+def outbox_changes(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Changes of open jobs over a stream of outbox events (photo_id, seq, kind, rating, tags, token), as journal.outbox defines them: the job of a photo after a batch that changed it, open false once it is gone. State is one row a photo. Needs the RocksDB state store."""
+    return events.select("photo_id", "seq", "kind", "rating", "tags", "token").groupBy("photo_id").transformWithStateInPandas(Outbox(max_attempts), CHANGES, "Update", "None")
 
+
+def outbox_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of outbox_changes: each batch adds its own changes under its number, so that a repeated batch replaces itself. Nothing that was written before is read."""
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{events_path}/batch={number}")
-        events = spark.read.parquet(events_path).drop("batch")
-        outbox(events).write.mode("overwrite").parquet(f"{jobs_path}/version={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def open_jobs(changes: DataFrame) -> DataFrame:
+    """The open jobs after all changes (batch, ...) of an outbox sink's table: the last one of each photo decides."""
+    columns = [c for c in changes.columns if c not in ("photo_id", "batch", "open")]
+    last = changes.groupBy("photo_id").agg(F.max_by(F.struct("open", *columns), "batch").alias("c")).filter("c.open")
+    return last.select("photo_id", *[F.col(f"c.{c}").alias(c) for c in columns])
+
+
+class Entering(StatefulProcessor):
+    """A photo's membership in a live filter, and the changes that it has not been given out while it is outside, as state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inside = handle.getValueState("inside", "inside boolean, mark long")
+        self.held = handle.getListState("held", "seq long, change string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        inside, mark = self.inside.get() if self.inside.exists() else (False, -1)
+        held, out, drained = [], [], False
+        for e in pd.concat(list(rows)).sort_values(["seq", "inside"], na_position="first").itertuples(index=False):
+            seq = int(e.seq)
+            if e.change is not None:
+                (out if inside else held).append((seq, e.change))
+            elif seq > mark:
+                mark, inside = seq, bool(e.inside)
+                if inside:
+                    if not drained and self.held.exists():
+                        out += [(int(s), c) for s, c in self.held.get()]
+                    drained = True
+                    out += held
+                    held = []
+        if drained:
+            self.held.clear()
+        if held:
+            self.held.appendList(held)
+        self.inside.update((inside, mark))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["photo_id", "seq", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_changes(changes: DataFrame, members: DataFrame) -> DataFrame:
+    """(photo_id, seq, change): changes of a stream (photo_id, seq, change) of photos that a filter holds, over a stream of its members (photo_id, seq, inside) that come and go.
+
+    Changes of a photo outside are held, and given out when it comes in: what a filter shows is then up to date. A membership
+    at or below the photo's last one is late and has no effect. State is a photo's held changes. Needs the RocksDB state store.
+    """
+    one = changes.select("photo_id", "seq", F.coalesce("change", F.lit("")).alias("change"), F.lit(None).cast("boolean").alias("inside"))
+    both = one.unionByName(members.select("photo_id", "seq", F.lit(None).cast("string").alias("change"), "inside"))
+    return both.groupBy("photo_id").transformWithStateInPandas(Entering(), "photo_id long, seq long, change string", "Append", "None")

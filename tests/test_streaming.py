@@ -3,10 +3,12 @@ import os
 import time
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shutterlake.operators.journal import folded, outbox
 from shutterlake.sources.adapters import view
+from shutterlake.sources.shared import written
 from shutterlake.streaming import streams as L
 
 
@@ -47,12 +49,82 @@ def test_journal_fold(spark, sf, tmp_path):
     assert sorted_rows(state) == sorted_rows(folded(commands).select(state.columns))
 
 
-def test_outbox_sink(spark, sf, tmp_path):
-    events = view(spark, sf, "commands_v").filter("seq < 300").select("photo_id", "seq", F.when(F.col("cmd") == "undo", "error").when(F.col("cmd") == "redo", "rearm").otherwise(F.col("cmd")).alias("kind"), F.col("to_rating").alias("rating"), F.lit("t").alias("tags"), F.lit(None).cast("long").alias("token"))
-    drain(stream_of(spark, events, f"{tmp_path}/in").writeStream.foreachBatch(L.outbox_sink(f"{tmp_path}/events", f"{tmp_path}/jobs")), f"{tmp_path}/cp")
-    jobs = spark.read.parquet(f"{tmp_path}/jobs")
-    last = jobs.filter(F.col("version") == jobs.agg(F.max("version")).first()[0]).drop("version")
-    assert sorted_rows(last) == sorted_rows(outbox(events).select(last.columns))
+class FakeState:
+    """A state of transformWithState in memory, which counts reads and writes."""
+
+    def __init__(self):
+        self.value, self.map, self.work = None, {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.work, self.value = self.work + 1, value
+
+    def getValue(self, key):
+        self.work += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.work += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.work += 1
+        self.map.pop(key, None)
+
+
+def test_fold_touches_what_a_command_changes():
+    """With 10^5 actions in a folder's line, a batch of few commands reads and writes few places."""
+    fold = L.Fold()
+    fold.line, fold.at = FakeState(), FakeState()
+
+    def batch(commands):
+        fold.line.work = 0
+        rows = pd.DataFrame([(1, seq, 5, cmd, 2) for seq, cmd in commands], columns=["folder_id", "seq", "photo_id", "cmd", "to_rating"])
+        flips = next(fold.handleInputRows((1,), iter([rows]), None))
+        return [f[-1] for f in flips.itertuples(index=False)], fold.line.work
+
+    n = 100_000
+    states, work = batch([(i, "rate") for i in range(n)])
+    assert states == ["live"] * n and work == n
+    assert batch([(n, "undo"), (n + 1, "undo"), (n + 2, "redo")]) == (["undone", "undone", "live"], 2)
+    assert batch([(n + 3, "rate"), (n + 4, "redo"), (n + 2, "undo")]) == (["late", "cut", "live"], 2)
+    assert fold.at.get() == (n, n, n + 4) and len(fold.line.map) == n
+
+
+def outbox_events(spark, sf):
+    kind = F.when(F.col("cmd") == "undo", "error").when(F.col("cmd") == "redo", "rearm").when((F.col("cmd") == "rate") & (F.col("seq") % 4 == 0), "done").otherwise(F.col("cmd"))
+    token = F.when(kind == "done", F.col("seq") - F.pmod(F.col("seq"), F.lit(7)))
+    photo = F.pmod("photo_id", F.lit(40)).alias("photo_id")
+    return view(spark, sf, "commands_v").filter("seq < 600").select(photo, "seq", kind.alias("kind"), F.col("to_rating").alias("rating"), F.concat(F.lit("t"), "seq").alias("tags"), token.alias("token")).dropDuplicates(["photo_id", "seq"])
+
+
+def test_outbox_state(spark, sf, tmp_path):
+    """After every batch the sink's table is the batch outbox of all events so far, and each batch writes its own changes only."""
+    events = written(outbox_events(spark, sf), "outbox-events")
+    stream = stream_of(spark, events, f"{tmp_path}/in", 4)
+    drain(L.outbox_changes(stream).writeStream.outputMode("update").foreachBatch(L.outbox_sink(f"{tmp_path}/jobs")), f"{tmp_path}/cp")
+    changes = spark.read.parquet(f"{tmp_path}/jobs")
+    files = sorted(Path(f"{tmp_path}/in").glob("part-*.parquet"))
+    assert changes.filter("not open").count() and len(files) == 4
+    for i in range(len(files)):
+        want = outbox(spark.read.parquet(*map(str, files[: i + 1])))
+        assert sorted_rows(L.open_jobs(changes.filter(F.col("batch") <= i)).select(want.columns)) == sorted_rows(want)
+        assert changes.filter(F.col("batch") == i).count() <= spark.read.parquet(str(files[i])).select("photo_id").distinct().count()
+
+
+def test_changes_before_membership(spark, tmp_path):
+    """A photo that enters a filter has its earlier changes given out then, once; one that leaves has later ones held."""
+    changes = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 2, "c"), (1, 5, "d"), (1, 7, "e"), (3, 8, "f"), (1, 10, None)], "photo_id long, seq long, change string")
+    members = spark.createDataFrame([(1, 4, True), (1, 6, False), (3, 0, True), (1, 9, True), (1, 2, False)], "photo_id long, seq long, inside boolean")
+    for files in (1, 3):
+        q = L.live_changes(stream_of(spark, changes, f"{tmp_path}/c{files}", files), stream_of(spark, members, f"{tmp_path}/m{files}", files))
+        drain(q.writeStream.format("memory").queryName(f"live_changes_{files}").outputMode("append"), f"{tmp_path}/cp{files}")
+        assert sorted_rows(spark.table(f"live_changes_{files}")) == [(1, 1, "a"), (1, 3, "b"), (1, 5, "d"), (1, 7, "e"), (1, 10, ""), (3, 8, "f")]
 
 
 def test_latency_and_filters(spark, sf, tmp_path):
