@@ -23,8 +23,6 @@ from .text_arrays import slices
 BITS = 13
 #: Bounds of the sample that the machines are fitted on: documents of a language, documents of all, and the least of a language whatever the second bound.
 PER_LANGUAGE, SAMPLE, LEAST = 400, 20_000, 20
-#: So many languages without a listed family are families of their own; more are clustered.
-ALONE = 8
 #: Rows whose trigrams are counted at once.
 ROWS = 256
 # fixed values: families of languages
@@ -144,10 +142,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def families_of(langs: list[str], profiles: np.ndarray, families: dict[str, str]) -> list[list[str]]:
-    """The languages in families: as listed, and the others alone if they are few, else by their profiles."""
+    """The languages in families: as listed, and the others by their profiles, in about the root of their number."""
     own: dict[str, list[str]] = {}
     rest = [i for i, lang in enumerate(langs) if lang not in families]
-    of = clustered(profiles[rest], int(np.ceil(np.sqrt(len(rest))))) if len(rest) > ALONE else np.arange(len(rest))
+    of = clustered(profiles[rest], int(np.ceil(np.sqrt(len(rest))))) if rest else []
     for i, k in zip(rest, of):
         own.setdefault(f"cluster {k}", []).append(langs[i])
     for lang in langs:
@@ -157,22 +155,26 @@ def families_of(langs: list[str], profiles: np.ndarray, families: dict[str, str]
 
 
 def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
-    """Fits the machines on a sample of docs (doc_id, text, lang) by a hash of doc_id, none of them held out; None without labelled documents.
+    """Fits the machines on a sample of docs (doc_id, text, lang) by a hash of doc_id and text, none of them held out; None without labelled documents.
 
     Of each language, about per_language documents, or as many as let all languages share `sample` documents, LEAST
-    at any rate. Every language that a labelled text with a letter has is learned, however rare. The
-    sample's trigram counts reach the driver as sparse rows, some 10 KB a document. The languages' names and counts do so too.
+    at any rate, and the one of least hash in any case: every language that a labelled text with a letter has is
+    learned, however rare. Rows without a doc_id, or that share one, are chosen each by its text; rows
+    equal in doc_id, text and lang count once. The sample's trigram counts reach the driver as sparse rows, some
+    10 KB a document. The languages' names and counts do so too.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("place", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit("sample")))
+    sizes = rows.groupBy("lang", "place").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()
+    if not sizes:
         return None
-    each = max(LEAST, min(per_language, sample // len(counts)))
+    each = max(LEAST, min(per_language, sample // len(sizes)))
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "of_lang string, share double")
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # a share of all hashes from the least one up
+    shares = spark.createDataFrame([(r["lang"], max(r["least"], min((1 << 63) - 1, -(1 << 63) + (each << 64) // r["n"]))) for r in sizes], "of_lang string, most long")
     # one row a language
-    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("of_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("of_lang")).filter(F.col("place") <= F.col("most"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +184,10 @@ def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int
                 for a, b in zip(first[:-1], first[1:]):
                     at, n = np.unique(bucket[a:b], return_counts=True)
                     found.append(at.astype("<u4").tobytes() + n.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(found, pa.binary())], ["place", "lang", "counts"])
 
-    found = chosen.select("doc_id", "lang", "text").mapInArrow(counted, "doc_id long, lang string, counts binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0))
+    found = chosen.select("place", "lang", "text").mapInArrow(counted, "place long, lang string, counts binary").dropDuplicates(["lang", "place"]).collect()
+    found.sort(key=lambda r: (r["lang"], r["place"]))
     return fitted([r["lang"] for r in found], [np.frombuffer(r["counts"], "<u4").reshape(2, -1) for r in found], families)
 
 
@@ -218,7 +220,7 @@ def fitted(labels: list[str], counts: list[np.ndarray], families: dict[str, str]
 
 
 def told_rows(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(row, lang_pred, score): each row of docs as a struct, with its language from its whole text alone."""
+    """(row, lang_pred, score): each row of docs as a struct, with its language from its whole text alone, whatever its doc_id."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
