@@ -102,11 +102,9 @@ def selected_words(sample: DataFrame, n_positive: int, n_other: int, most: int,
     return words[order], np.array([r["odds"] for r in found])[order] if found else np.zeros(0)
 
 
-def graded(inside: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, toxic: np.ndarray, odds: np.ndarray, top: int) -> np.ndarray:
-    """Severity grades from a yes-or-no label: 0 for documents that are not toxic; the toxic ones get 1 to top in equal parts by how dense words with at least ten-fold odds are in them. inside: (feature numbers, counts) of each document; totals: of all its words."""
-    strong = odds > np.log(10)
-    density = np.array([n[strong[at]].sum() / max(1, t) for (at, n), t in zip(inside, totals)])
-    grades = np.zeros(len(inside), int)
+def graded(density: np.ndarray, toxic: np.ndarray, top: int) -> np.ndarray:
+    """Severity grades from a yes-or-no label: 0 for documents that are not toxic; the toxic ones get 1 to top in equal parts by density, of words that mark toxic documents."""
+    grades = np.zeros(len(toxic), int)
     rows = np.flatnonzero(toxic)
     order = rows[np.argsort(density[rows], kind="stable")]
     grades[order] = 1 + (np.arange(len(order)) * top) // max(1, len(order))
@@ -114,18 +112,24 @@ def graded(inside: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, toxi
 
 
 def fit(docs: DataFrame, labels: DataFrame, top: int = GRADES, per_label: int = PER_LABEL) -> Model | None:
-    """Fits the model on about per_label toxic and per_label other labelled documents, chosen by a hash of doc_id, none of them held out; equal texts count once. None without both kinds.
+    """Fits the model on about per_label toxic and per_label other labelled documents, chosen by a hash of doc_id, none of them held out; equal texts count once, repeated labels too. None without both kinds.
 
-    labels: (doc_id, toxic), and grade where severities are known; without it they are made by graded(). The chosen
-    ids, some 2 * per_label, are broadcast, so that texts stay where they are. The driver gets the
-    selected words and how often each chosen document has them, whatever the length of its text.
+    labels: (doc_id, toxic), and grade where severities are known: then toxic documents without a grade are left out, and a
+    document that is not toxic has grade 0. Without the column they are made by graded(), out of fold: the sample has two
+    halves, and a document's density is that of words with at least ten-fold odds in the other half. The chosen
+    ids, some 2 * per_label, are broadcast, so that texts stay where they are; of ids that many different texts share, about
+    as many texts stay. The driver gets the selected words and how often each chosen document has them, whatever the length of its text.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic") > 0)
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic") > 0)
+    given = "grade" in labels.columns
+    grade = F.when(F.col("toxic"), F.col("grade").cast("int")).otherwise(0) if given else F.lit(None).cast("int")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id"), "toxic").agg(F.max(grade).alias("grade"))
+    if given:
+        known = known.filter("grade is not null")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = lambda kind: min(1.0, per_label / max(1, sizes.get(kind, 0)))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    grade = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
-    chosen = known.filter(place < F.when(F.col("toxic"), share(True)).otherwise(share(False)) * (1 << 30)).select(F.col("doc_id").cast("long").alias("_id"), "toxic", grade.alias("grade"))
+    share = lambda kind, most: min(1.0, most / max(1, sizes.get(kind, 0)))
+    within = lambda place, most: F.pmod(place, F.lit(1 << 30)) < F.when(F.col("toxic"), share(True, most)).otherwise(share(False, most)) * (1 << 30)
+    chosen = known.filter(within(F.xxhash64("_id", F.lit("sample")), per_label))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,23 +138,37 @@ def fit(docs: DataFrame, labels: DataFrame, top: int = GRADES, per_label: int =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "grade")], *[pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for h, _ in counts], [n for _, n in counts])]], ["doc_id", "toxic", "grade", "h", "n"])
 
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "grade").mapInArrow(counted, "doc_id long, toxic boolean, grade int, h array<long>, n array<long>")
-    once = rows.groupBy(F.xxhash64("h", "n").alias("same"), "toxic").agg(F.min_by(F.struct("doc_id", "grade", "h", "n"), "doc_id").alias("r")).select("toxic", "r.*")
+    once = rows.groupBy(F.xxhash64("h", "n").alias("same"), "toxic").agg(F.min_by(F.struct("doc_id", "grade", "h", "n"), F.struct("doc_id", "grade")).alias("r")).select("toxic", "same", "r.*")
     sample = written(once, "sample")
-    kinds = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = lambda df: {r["toxic"]: r["n"] for r in df.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = counts(sample)
+    if max(sizes.values(), default=0) > 4 * per_label:  # many texts of one id
+        sample = written(sample.filter(within(F.xxhash64("same", F.lit("texts")), 2 * per_label)), "sample")
+    kinds = counts(sample)
     if len(kinds) < 2:
         return None
-    words, odds = selected_words(sample, kinds[True], kinds[False], FEATURES, MIN_DOCS)
+    words, _ = selected_words(sample, kinds[True], kinds[False], FEATURES, MIN_DOCS)
+    strong = []  # for the documents of each half, the telling words of the other
+    for half in () if given else (0, 1):
+        other = sample.filter(F.pmod("same", F.lit(2)) != half)
+        of = counts(other)
+        strong.append(selected_words(other, of.get(True, 0), of.get(False, 0), FEATURES, max(2, MIN_DOCS // 2), 10.0)[0])
 
     def confined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_inside(words, np.array(h, np.int64).view(np.uint64), np.array(n, np.int64)) for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist())]
-            total = [sum(n) for n in batch.column("n").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "grade")], *[pa.array(x, pa.list_(pa.int64())) for x in zip(*found)], pa.array(total, pa.int64())] if found else [*[batch.column(c) for c in ("doc_id", "toxic", "grade", "h", "n")], pa.array([], pa.int64())], ["doc_id", "toxic", "grade", "at", "n", "total"])
-
-    found = sorted(sample.mapInArrow(confined, "doc_id long, toxic boolean, grade int, at array<long>, n array<long>, total long").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
+            found, density = [], []
+            for same, h, n in zip(*[batch.column(c).to_pylist() for c in ("same", "h", "n")]):
+                own, times = np.array(h, np.int64).view(np.uint64), np.array(n, np.int64)
+                found.append(_inside(words, own, times))
+                density.append(float(_inside(strong[same % 2], own, times)[1].sum() / max(1, times.sum())) if strong else 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("same", "toxic", "grade")], *[pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)], pa.array(density, pa.float64())], ["same", "toxic", "grade", "at", "n", "density"])
+
+    found = sorted(sample.mapInArrow(confined, "same long, toxic boolean, grade int, at array<long>, n array<long>, density double").collect(), key=lambda r: (r["same"], r["toxic"]))
     toxic, inside = np.array([r["toxic"] for r in found], bool), [(np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in found]
-    grades = np.array([r["grade"] for r in found]) if all(r["grade"] is not None for r in found) else graded(inside, np.array([r["total"] for r in found]), toxic, odds, top)
-    w, thresholds = cumulative_link(inside, len(words), grades, int(max(grades)))
+    grades = np.array([r["grade"] for r in found]) if given else graded(np.array([r["density"] for r in found]), toxic, top)
+    if not grades.max():
+        return None
+    w, thresholds = cumulative_link(inside, len(words), grades, int(grades.max()))
     return Model(words, w, thresholds)
 
 
