@@ -73,11 +73,11 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7, shard_rows: int = SH
     """(doc_id, size, source_size, target, taken) of every row of docs (doc_id, text, source).
 
     Null or empty texts have size 0 and give nothing; sources without words get
-    target 0. Repeated and null doc_ids are rows of their own, null is a source. Reruns agree, as the order within
-    a shard hangs on seed, doc_id and size alone. Other columns are left out, whatever their names. An
+    target 0. Repeated and null doc_ids are rows of their own, null is a source. Reruns agree, as shards and the order
+    within hang on seed, doc_id and text alone: rows without a doc_id, or that share one, are dealt out by their texts. Other columns are left out, whatever their names. An
     empty table gives none. Texts are read once; the rest works on the written sizes.
     """
-    base = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size"), "sizes")
+    base = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", F.xxhash64("doc_id", "text").alias("mark")), "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     goal = targets(by_source, repeats).withColumn("_all", F.lit(0))
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy("_all")) / block).cast("long"))
@@ -85,13 +85,13 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7, shard_rows: int = SH
 
     # a source may hold a third of all rows, so its quota, one row, is copied for each of SALTS parts of them
     salted = quota.withColumnRenamed("source", "_source").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    part = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), F.lit(SALTS))
+    part = F.pmod(F.xxhash64(F.lit(seed + 2), "mark"), F.lit(SALTS))
     dealt = base.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (part == F.col("_part"))).drop("_source", "_part")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.least(F.ceil(F.col("source_rows") / shard_rows), F.lit(SHARDS))).cast("long"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "mark"), F.least(F.ceil(F.col("source_rows") / shard_rows), F.lit(SHARDS))).cast("long"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = apportioned(shards, ["source"], "shard_size", "quota", ["shard"], "blocks").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "blocks")
     rows = dealt.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    line = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "mark"), "mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_end", F.sum("size").over(line)).withColumn("_words", F.least(F.col("blocks") * block, repeats * F.col("shard_size")))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("_words") / F.col("shard_size"))).otherwise(0)
     rest = F.col("_words") - passes * F.col("shard_size")

@@ -447,7 +447,7 @@ def test_margins():
         bucket, first = language_id.trigrams(data, offsets)
         counts += [np.array(np.unique(bucket[a:b], return_counts=True)) for a, b in zip(first[:-1], first[1:])]
     model = language_id.fitted(labels, counts)
-    assert sorted(map(tuple, model.families)) == [("de", "en"), ("fr",), ("qq",)]
+    assert sorted(map(tuple, model.families)) == [("de", "en"), ("fr",), ("qq",)]  # one unlisted language is one cluster
 
     def plain(text):
         folded = bytes(c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in text.encode())
@@ -486,6 +486,28 @@ def test_many_languages(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.9
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 3, lambda i: i % 2 * 5 + 1, lambda i: i])
+def test_languages_whatever_the_ids(spark, sf, ids):
+    """All ids null, or one or two ids for all rows: every language is learned, equal rows count once."""
+    rows = [(ids(i), r["text"], r["lang"]) for i, r in enumerate(table(spark, sf, "documents").filter("lang is not null and text rlike '[a-z]'").collect())]
+    rows += [(ids(0), "qqq zzz qqq xxx", "rare")] + rows[:1] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=30)
+    left = docs.filter(~language_id.held_out(F.col("doc_id")))
+    assert {lang for names in model.families for lang in names} == {r["lang"] for r in left.select("lang").distinct().collect()}
+    told = language_id.tagged(docs, model).filter("text <> 'qqq zzz qqq xxx'")
+    assert told.filter("lang = lang_pred").count() / told.count() > 0.95
+    assert language_id.fit(docs.filter("lang = 'rare'").limit(0)) is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 10])
+def test_unlisted_languages_are_clustered_at_every_size(n):
+    rng = np.random.default_rng(n)
+    names = [f"q{i}" for i in range(n)]
+    families = language_id.families_of(names, rng.random((n, 50)), {})
+    assert sorted(sum(families, [])) == names and len(families) <= math.ceil(math.sqrt(n))
+
+
 def test_language_columns(odd):
     """Names that the operator uses itself pass through."""
     wide = odd.drop("lang").select("*", *[F.lit(n).alias(n) for n in ("_text", "_letters", "row", "letters", "score", "a.b")])
@@ -555,7 +577,18 @@ def test_toxicity(spark, odd, none):
     got = [r for r in toxicity.scored(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert all(r["toxic"] == (grades[r["doc_id"]] > 0) for r in got)
     assert np.mean([abs(r["severity"] - grades[r["doc_id"]]) for r in got]) < 0.5
+    # a null grade of a document that is not toxic is 0; a toxic one without a grade is left out
+    partly = labels.withColumn("grade", F.when((F.col("toxic") > 0) & (F.col("doc_id") % 10 > 0), F.col("grade")))
+    by_part = toxicity.fit(docs, partly)
+    assert len(by_part.thresholds) == 3 and np.allclose(by_part.thresholds, toxicity.fit(docs, labels.filter("toxic = 0 or doc_id % 10 > 0")).thresholds)
+    assert toxicity.fit(docs, partly.withColumn("grade", F.lit(None).cast("int"))) is None
+    many = labels.union(labels).union(labels.limit(1).crossJoin(spark.range(500)).drop("id"))
+    assert np.allclose(toxicity.fit(docs, many).thresholds, model.thresholds)
     without = toxicity.fit(docs, labels.drop("grade"))
+    # grades made out of fold still rise with the true ones
+    made = {r["doc_id"]: r["severity"] for r in toxicity.scored(docs, without).collect()}
+    means = [np.mean([made[i] for i, g in grades.items() if g == k]) for k in range(4)]
+    assert means == sorted(means) and means[3] > means[1] + 0.5
     assert sum(r["toxic"] != (grades[r["doc_id"]] > 0) for r in toxicity.scored(docs, without).collect()) < 8
     strange = toxicity.scored(odd, model).collect()
     assert len(strange) == odd.count() and not any(r["toxic"] for r in strange if r["doc_id"] in (1, 2, 3))
