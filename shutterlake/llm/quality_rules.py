@@ -5,9 +5,10 @@ words are compared with those of the language by Jensen-Shannon distance. Common
 references come from all documents of a language; documents too short for a histogram to
 mean anything are not judged by it.
 
-Hashed word counts by language over all texts name each language's common words. One pass
+Word counts by language over all texts, by 64-bit hash, name each language's common words. One pass
 over the texts then counts everything else. What it counts is written, so that references
-and distances read numbers only.
+and distances read numbers only. Every language has a reference, however rare: where there are many, they are
+taken in slices of a bounded number, each with the documents of its languages.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import table, written
-from .text_arrays import SPACE, Words, chains, slices
+from .text_arrays import SPACE, Words, chains, mixed, slices
 
 CLASSES = ["lower", "upper", "digit", "space", "point", "symbol", "other"]
 MIN_CHARS, MIN_WORDS = 200, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.26
-#: Common words of a language, and buckets (2^WORD_BITS) in which words are counted to find them.
-N_COMMON, WORD_BITS = 20, 12
-#: Languages, the most frequent ones, that have references; documents of still rarer ones are judged by the base rules alone.
-LANGUAGES = 4096
+#: Common words of a language.
+N_COMMON = 20
+#: Languages whose common words and references a task holds at once, about.
+SLICE = 4096
+#: Distinct words that a task holds before its counts go on.
+HELD = 1 << 20
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -43,46 +46,75 @@ def _byte_classes() -> np.ndarray:
     return kind
 
 
-def word_buckets(words: Words, bits: int) -> np.ndarray:
-    return (words.hashes(True) >> np.uint64(64 - bits)).astype(np.int64)
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the sums of their counts."""
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def common_words(docs: DataFrame, n: int = N_COMMON, bits: int = WORD_BITS, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
-    """For each language its n most frequent words, as buckets, over all texts of docs (lang, text). A task sends one row for each language and bucket at most."""
+def common_words(docs: DataFrame, n: int = N_COMMON, held: int = HELD) -> DataFrame:
+    """(lang, hash, place): of each language its n most frequent words, A-Z in lower case, from 0, over all texts of docs (lang, text); of equally frequent ones the smaller hash first.
+
+    A task sums up about `held` distinct words at a time. No task sees all words of a language: each passes on its own best n.
+    """
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, list[list[np.ndarray]]] = {}
+        size = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, (hashes, counts) in total.items():
+                h, c = summed(hashes, counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "hash", "n"])
+
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             number = langs.indices.to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets)
-                of = np.repeat(number[a:b], np.diff(words.first)).astype(np.int64)
-                counts = np.bincount(of << bits | word_buckets(words, bits), minlength=len(langs.dictionary) << bits).reshape(-1, 1 << bits)
-                for k in np.unique(number[a:b]):
-                    lang = langs.dictionary[int(k)].as_py()
-                    total[lang] = total.get(lang, 0) + counts[k]
-        for lang, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "n"])
+                h, of = words.hashes(True), np.repeat(number[a:b], np.diff(words.first))
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, int)
+                counts = np.diff(np.append(first, len(h)))
+                h, of = h[first], of[first]
+                for k in np.unique(of):
+                    at = of == k
+                    own = total.setdefault(langs.dictionary[int(k)].as_py(), [[], []])
+                    own[0].append(h[at])
+                    own[1].append(counts[at])
+                size += len(h)
+                if size > 4 * held:
+                    total = {lang: [[x] for x in summed(*own)] for lang, own in total.items()}
+                    size = sum(len(own[0][0]) for own in total.values())
+                    if size > held:
+                        yield from given()
+                        total, size = {}, 0
+        yield from given()
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null")
-    counts = rows.mapInArrow(told, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # 2^bits rows a language at most
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "bucket"))).withColumn("words", F.sum("n").over(W.partitionBy("lang"))).filter(F.col("rank") <= n)
-    best = ranked.groupBy("lang").agg(F.max("words").alias("words"), F.array_sort(F.collect_list("bucket")).alias("buckets")).orderBy(F.col("words").desc(), "lang").limit(languages)
-    return {r["lang"]: np.array(r["buckets"]) for r in best.collect()}
+    counts = rows.mapInArrow(told, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "hash"))
+    return counts.withColumn("place", rank - 1).filter(F.col("place") < n).select("lang", "hash", "place")
+
 
+def of_language(hashes: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """One hash of a word and its language's number; for one language, different words stay different."""
+    return mixed(hashes + np.uint64(0x9E3779B97F4A7C15) * np.asarray(number).astype(np.uint64))
 
-def measured(docs: DataFrame, common: dict[str, np.ndarray], n: int = N_COMMON, bits: int = WORD_BITS) -> DataFrame:
-    """(doc_id, lang, the columns of BASE, chars, words): the counts of each row of docs (doc_id, lang, text). One pass over the bytes."""
+
+def measured(docs: DataFrame, common: dict[str, list[int]], n: int = N_COMMON) -> DataFrame:
+    """(doc_id, lang, the columns of BASE, chars, words): the counts of each row of docs (doc_id, lang, text). One pass over the bytes. common: hashes of a language's common words, in order of place."""
     names = sorted(common)
-    places = np.full((len(names) + 1, 1 << bits), n, np.int8)  # a bucket's place among its language's common words; the last row: none
-    for i, lang in enumerate(names):
-        places[i, common[lang]] = np.arange(len(common[lang]))
-    shared = docs.sparkSession.sparkContext.broadcast(({lang: i for i, lang in enumerate(names)}, places))
+    keys = np.concatenate([of_language(np.array(common[lang], np.int64).view(np.uint64), i) for i, lang in enumerate(names)] or [np.zeros(0, np.uint64)])
+    places = np.concatenate([np.arange(len(common[lang])) for lang in names] or [np.zeros(0, int)])
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast(({lang: i for i, lang in enumerate(names)}, keys[order], places[order]))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (number, place), kinds = shared.value, _byte_classes()
+        (number, keys, places), kinds = shared.value, _byte_classes()
         symbol = np.zeros(256, bool)
         symbol[[*b"#*$%&|<>"]] = True
         for batch in batches:
@@ -108,7 +140,11 @@ def measured(docs: DataFrame, common: dict[str, np.ndarray], n: int = N_COMMON,
                             covered[k : k + len(twice)] |= twice
                         repeats[i] = covered.sum()
                 word_row = np.repeat(np.arange(rows), n_words)
-                at = place[langs[a:b][word_row], word_buckets(words, bits)].astype(np.int64)
+                at = np.full(len(word_row), n)
+                if len(keys):
+                    own = of_language(words.hashes(True), langs[a:b][word_row])
+                    found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    at = np.where(keys[found] == own, places[found], n)
                 columns["n_words"].append(n_words)
                 columns["word_chars"].append(classes.sum(1) - classes[:, 3])
                 columns["n_symbols"].append(np.bincount(row, weights=symbol[data], minlength=rows))
@@ -150,7 +186,7 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where((n[:, 0] > 0) & (m[:, 0] > 0), np.sqrt(np.maximum((term(p, q) + term(q, p)) / 2, 0)), 0.0)
 
 
-def judged(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def judged(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, slice_languages: int = SLICE) -> DataFrame:
     """One row a row of docs (doc_id, lang, text): base counts, both distances, base_failed and kept.
 
     References are sums over all documents of a language that pass the base rules. A null text has no words
@@ -158,13 +194,26 @@ def judged(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WOR
     characters only. Null doc_ids and repeated rows come back as they are; other columns are left
     out, whatever their names; an empty table gives none. Very long texts are measured whole.
     """
-    spark = docs.sparkSession
-    rows = written(measured(docs, common_words(docs)), "measured").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    common = written(common_words(docs), "common-words")
+    parts = max(1, -(-common.select("lang").distinct().count() // slice_languages))
+    part = F.when(F.col("lang").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("lang").cast("string")), F.lit(parts)))
+    out = None
+    for k in range(parts):
+        words: dict[str, list[int]] = {}
+        for r in sorted(common.filter(part == k).collect(), key=lambda r: (r["lang"], r["place"])):
+            words.setdefault(r["lang"], []).append(r["hash"])
+        own = docs if parts == 1 else docs.filter(part == k)
+        told = distances(written(measured(own, words), "measured"), min_chars, min_words, max_char_distance, max_word_distance)
+        out = told if out is None else out.unionAll(told)
+    return out
+
+
+def distances(rows: DataFrame, min_chars: int, min_words: int, max_char_distance: float, max_word_distance: float) -> DataFrame:
+    """What judged() gives, from the measures of all documents of some languages, about SLICE at most: their references are broadcast."""
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     n, m = len(CLASSES), N_COMMON + 1
-    sums = rows.filter("not base_failed").groupBy("lang").agg(F.sum("n_words").alias("size"), F.array(*[F.sum(F.col("chars")[i]) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.col("words")[i]) for i in range(m)]).alias("words"))
-    # LANGUAGES rows of some thirty numbers at most, whatever the input
-    found = sums.orderBy(F.col("lang").isNotNull(), F.col("size").desc(), "lang").limit(LANGUAGES + 1).collect()
-    shared = spark.sparkContext.broadcast(({r["lang"]: i for i, r in enumerate(found)}, np.array([r["chars"] for r in found] + [[0] * n], float), np.array([r["words"] if r["lang"] is not None else [0] * m for r in found] + [[0] * m], float)))
+    found = rows.filter("not base_failed").groupBy("lang").agg(F.array(*[F.sum(F.col("chars")[i]) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.col("words")[i]) for i in range(m)]).alias("words")).collect()
+    shared = rows.sparkSession.sparkContext.broadcast(({r["lang"]: i for i, r in enumerate(found)}, np.array([r["chars"] for r in found] + [[0] * n], float), np.array([r["words"] if r["lang"] is not None else [0] * m for r in found] + [[0] * m], float)))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chars, words = shared.value

@@ -379,13 +379,13 @@ def test_quality_rules(spark, sf, odd, none):
 
 
 def test_distances(spark, sf, odd):
-    """Common words, references, distances and verdicts by plain Python; only a word's bucket is the library's."""
+    """Common words, references, distances and verdicts by plain Python; only a word's hash, which parts equally frequent words, is the library's."""
     extra = [(10**6 + i, "xx", f"lalo mimi zuzu {i} lalo sasa mimi ! " * (20 + i)) for i in range(3)]
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text").union(odd.select(F.col("doc_id") + 10**7, "lang", "text").distinct()).union(spark.createDataFrame(extra, "doc_id long, lang string, text string"))
     rows = [(r["doc_id"], r["lang"], r["text"] or "") for r in docs.collect()]
     words = {w for _, _, t in rows for w in words_of(t.translate(UPPER))}
     (_, _, data, offsets), = text_arrays.slices(pa.array(sorted(words)), 1 << 40)
-    bucket = dict(zip(sorted(words), quality_rules.word_buckets(text_arrays.Words(data, offsets), quality_rules.WORD_BITS).tolist()))
+    bucket = dict(zip(sorted(words), text_arrays.Words(data, offsets).hashes(True).view(np.int64).tolist()))
     by_lang = defaultdict(Counter)
     for _, lang, t in rows:
         if lang is not None:
@@ -399,7 +399,7 @@ def test_distances(spark, sf, odd):
 
     def histograms(lang, t):
         seen = [bucket[w] for w in words_of(t.translate(UPPER))]
-        return Counter(map(kind, t)), Counter(b if b in common.get(lang, []) else -1 for b in seen)
+        return Counter(map(kind, t)), Counter(b if b in common.get(lang, []) else None for b in seen)
 
     def distance(p, q):
         n, m = sum(p.values()), sum(q.values())
@@ -426,6 +426,28 @@ def test_distances(spark, sf, odd):
         assert got[i]["kept"] == (not got[i]["base_failed"] and not unlike)
 
 
+def test_every_language_has_a_reference(spark):
+    """5,000 languages, the rarest of two documents and an odd one: judged by their own references, however languages are sliced."""
+    text = lambda k, word="w": " ".join(random.Random(k).choices([f"{word}{k}x{i}" for i in range(30)], k=240))
+    rows = [(k, f"l{k:04}", text(k)) for k in range(4998)] + [(5000, "rare", text(-1)), (5001, "rare", text(-1) + " end"), (5002, "rare", text(-1, "z")[:-1] + " other words"), (5003, None, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs, slice_languages=1500).collect()}
+    assert len(got) == len(rows) and all(got[k]["kept"] and got[k]["word_distance"] < 1e-6 for k in range(4998))
+    assert got[5000]["kept"] and not got[5002]["kept"] and not got[5002]["base_failed"] and got[5002]["word_distance"] > 0.3
+    assert got[5003]["word_distance"] == 0
+    some = docs.filter("doc_id >= 4990")
+    assert sorted(map(tuple, quality_rules.judged(some, slice_languages=2).collect())) == sorted(map(tuple, quality_rules.judged(some).collect()))
+
+
+def test_common_words_by_parts(spark):
+    """Counts that a task gives on in several parts add up."""
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), " ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(400))) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = sorted(map(tuple, quality_rules.common_words(docs).collect()))
+    assert sorted(map(tuple, quality_rules.common_words(docs, held=50).collect())) == want and len(want) == 40
+
+
 def test_language_id(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
