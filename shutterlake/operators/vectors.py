@@ -1,7 +1,8 @@
 """Vector operators: cosine joins by blocks, leader clustering, exemplars, matching, carry-over.
 
 Vectors meet in blocks of bounded size: a task multiplies two blocks with numpy and gives
-only what is above a threshold, or the best of each query. Independent sets and exemplars are rounds of joins.
+only what is above a threshold, or the best of each query. Where a key has several blocks, they are cells
+around pivots, and angles rule out pairs of blocks before any product. Independent sets and exemplars are rounds of joins.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from shutterlake.functions.scalars import dot
 from shutterlake.sources.shared import written
 
 BLOCK = 2048
+#: Pivots of a key, at most; reference pivots to which each block knows its range of angles; parts in which a key's rows meet its pivots.
+PIVOTS, REFERENCES, PARTS = 1024, 8, 32
+#: Radians by which a bound on angles may be off by rounding.
+SLACK = 1e-6
 #: Bins of one counting pass over cosines.
 BINS = 4096
 EXEMPLARS, OUTLIER_FLOOR, OUTLIER_GROUP = 5, 0.35, 4
@@ -56,20 +61,23 @@ def _tasks(rows: DataFrame, schema: str, run: Callable[[list[tuple]], Iterator[t
     return rows.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(told, schema)
 
 
-def _blocked(rows: DataFrame, block: int) -> DataFrame:
-    """rows with blocks, the number of blocks of their key, and own, theirs."""
-    n = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    return rows.join(n, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-
 def pairs_above(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(key, a, b, cos): pairs a < b of rows (key, id long, vector) of one key whose cosine is at least least.
 
-    Each key's rows fall into blocks; task i * blocks + j, i <= j, holds blocks i and j.
+    A key of one block is a task. Blocks of a larger key are cells of a metric index, see block_pairs(); task
+    number i holds the two blocks of the i-th pair that angles do not rule out. Exact for all vectors: pivots only decide what is skipped.
     """
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    low = lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own"))
-    dealt = _blocked(rows.select("key", "id", "vector"), block).select("key", F.explode(F.transform(every, low)).alias("task"), "id", "own", "vector")
+    own = rows.select("key", "id", "vector")
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.col("n") <= block).select("key")
+    dealt = own.join(small, "key", "left_semi").select("key", F.lit(0).cast("long").alias("task"), "id", F.lit(0).cast("long").alias("own"), "vector")
+    large = sizes.filter(F.col("n") > block)
+    if not large.isEmpty():
+        cells = written(celled(own, large, block), "cells")
+        pairs = written(block_pairs(cells, least).filter("kept"), "block-pairs")
+        task = F.xxhash64("a", "b").alias("task")
+        sides = pairs.select("key", F.col("a").alias("own"), task).union(pairs.filter("a <> b").select("key", F.col("b").alias("own"), task))
+        dealt = dealt.unionByName(cells.select("key", "id", "vector", "own").join(sides, ["key", "own"]).select("key", "task", "id", "own", "vector"))
 
     def run(block: list[tuple]) -> Iterator[tuple]:
         ids, own = np.array([r[2] for r in block]), np.array([r[3] for r in block])
@@ -85,6 +93,79 @@ def pairs_above(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     return _tasks(dealt, "key long, a long, b long, cos double", run)
 
 
+def celled(rows: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, id, vector, own, pivot, far, angles) of the rows (key, id, vector) of the keys in sizes (key, n): own is the block.
+
+    A hash of the id picks about two pivots for each block that a key needs. A row goes to the cell of the pivot
+    that it is most like: pivot is that pivot's unit vector, far the angle to it, angles those to REFERENCES pivots. A cell of more than a
+    block's rows is cut by hash. Rows without a vector, or of another length than the pivots, have no cell's bounds: their far is null.
+    """
+    share = F.least(F.lit(1.0), F.least(F.ceil(F.col("n") / block) * 2, F.lit(PIVOTS)) / F.col("n"))
+    own = rows.join(sizes, "key")
+    chosen = own.filter((F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 30)) < share * (1 << 30)) & F.col("vector").isNotNull())
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    first = chosen.select("key", parts.alias("part"), F.lit(False).alias("row"), "id", "vector")
+    both = first.union(own.select("key", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"), F.lit(True).alias("row"), "id", "vector"))
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("cell", pa.int64()), ("pivot", pa.list_(pa.float64())), ("far", pa.float64()), ("angles", pa.list_(pa.float64()))])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots, ids, m, held = None, [], [], np.zeros((0, 0)), []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            vectors = [r[4] for r in held]
+            good = np.array([v is not None and len(v) == m.shape[1] and np.linalg.norm(v) > 1e-12 for v in vectors], bool) & (len(m) > 0)
+            cos = np.clip(unit([v if ok else None for v, ok in zip(vectors, good)]) @ m.T, -1, 1) if good.any() else np.zeros((len(held), max(1, len(m))))
+            best = np.argmax(cos, 1)
+            angles = np.arccos(cos)
+            out = [(r[0], r[3], r[4], ids[k] if ok else None, m[k].tolist() if ok else None, float(a[k]) if ok else None, a[:REFERENCES].tolist() if ok else None) for r, k, a, ok in zip(held, best.tolist(), angles, good)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:2] != at or len(held) == 1024:
+                    if held:
+                        yield from result()
+                        held = []
+                    if row[:2] != at:
+                        at, pivots, m = row[:2], [], np.zeros((0, 0))
+                if row[2]:
+                    if pivots:  # all are there, in one order for all parts
+                        size = len(pivots[0][1])
+                        pivots = [p for p in pivots if len(p[1]) == size and np.linalg.norm(p[1]) > 1e-12]
+                        ids, m, pivots = [p[0] for p in pivots], unit([p[1] for p in pivots]), []
+                    held.append(row)
+                else:
+                    pivots.append(row[3:])
+        if held:
+            yield from result()
+
+    cells = both.repartition("key", "part").sortWithinPartitions("key", "part", "row", "id").mapInArrow(told, "key long, id long, vector array<double>, cell long, pivot array<double>, far double, angles array<double>")
+    cells = written(cells, "celled")
+    cut = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), "cuts")
+    rows = cells.join(cut, (F.col("key") == F.col("_key")) & F.col("cell").eqNullSafe(F.col("_cell")))
+    return rows.select("key", "id", "vector", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("own"), "pivot", "far", "angles")
+
+
+def block_pairs(cells: DataFrame, least: float) -> DataFrame:
+    """(key, a, b, kept): all pairs a <= b of a key's blocks, and whether two of their rows may have a cosine of least.
+
+    Angles obey the triangle inequality: rows of two blocks are no closer than their pivots are, less both
+    radii, and no closer than their ranges of angles to any one reference pivot are apart. Blocks are pairs here, not rows.
+    """
+    within = float(np.arccos(np.clip(least, -1.0, 1.0))) + SLACK
+    span = [f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(REFERENCES) for n, f in (("low", F.min), ("high", F.max))]
+    stats = cells.groupBy("key", "own").agg(F.first("pivot").alias("pivot"), F.max("far").alias("far"), F.bool_or(F.col("far").isNull()).alias("loose"), *span)
+    side = lambda p: stats.select(*[F.col(c).alias(f"{p}{c}") for c in stats.columns])
+    both = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_own") <= F.col("b_own")))
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a_pivot"), F.col("b_pivot"))))) - F.col("a_far") - F.col("b_far") > within
+    for i in range(REFERENCES):
+        apart = apart | F.coalesce((F.col(f"a_low{i}") - F.col(f"b_high{i}") > within) | (F.col(f"b_low{i}") - F.col(f"a_high{i}") > within), F.lit(False))
+    # rows without a direction have cosine 0 with all
+    loose = F.col("a_loose") | F.col("b_loose")
+    kept = (F.col("a_own") == F.col("b_own")) | F.when(loose, F.lit(least <= 0)).otherwise(~F.coalesce(apart, F.lit(False)))
+    return both.select(F.col("a_key").alias("key"), F.col("a_own").alias("a"), F.col("b_own").alias("b"), kept.alias("kept"))
+
+
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank, anchor): the lexicographically first maximal independent set of a graph, that is, what a greedy pass in order of rank would keep.
 
@@ -183,20 +264,20 @@ def best_keys(queries: DataFrame, prototypes: DataFrame, block: int = BLOCK) ->
         ours, theirs = [r for r in block if not r[5]], [r for r in block if r[5]]
         if not ours or not theirs:
             return
-        keys = sorted({r[2] for r in theirs})
-        of = np.array([keys.index(r[2]) for r in theirs])
+        theirs.sort(key=lambda r: r[2])
+        keys, first = np.unique([r[2] for r in theirs], return_index=True)
+        place = {k: i for i, k in enumerate(keys.tolist())}
         m = unit([r[3] for r in ours + theirs])
-        cos = m[: len(ours)] @ m[len(ours) :].T
-        score = np.full((len(ours), len(keys)), -np.inf)
-        for j, k in enumerate(of):
-            score[:, k] = np.maximum(score[:, k], cos[:, j])
-        for i, r in enumerate(ours):
-            for bar in r[4] or []:
-                if bar in keys:
-                    score[i, keys.index(bar)] = -np.inf
-            for k in np.argsort(-score[i], kind="stable")[:2]:
-                if score[i, k] > -np.inf:
-                    yield r[2], keys[k], float(score[i, k])
+        score = np.maximum.reduceat(m[: len(ours)] @ m[len(ours) :].T, first, axis=1)
+        bars = [(i, place[bar]) for i, r in enumerate(ours) for bar in r[4] or [] if bar in place]
+        if bars:
+            score[tuple(zip(*bars))] = -np.inf
+        for _ in range(min(2, len(keys))):
+            best = np.argmax(score, axis=1)
+            for r, k, cos in zip(ours, best.tolist(), score[np.arange(len(ours)), best].tolist()):
+                if cos > -np.inf:
+                    yield r[2], int(keys[k]), cos
+            score[np.arange(len(ours)), best] = -np.inf
 
     found = _tasks(asked.unionByName(served), "id long, person long, cos double", run)
     order = W.partitionBy("id").orderBy(F.desc("cos"), "person")
