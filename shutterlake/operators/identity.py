@@ -52,9 +52,9 @@ def confirmed(faces: DataFrame) -> DataFrame:
     return rows.select(F.col("person_id").cast("long").alias("key"), F.col("face_id").alias("id"), F.col("embedding").alias("vector"), F.col("det_score").alias("score"))
 
 
-def prototypes(faces: DataFrame, k: int = V.EXEMPLARS) -> DataFrame:
-    """(key, id, vector, place): each person's exemplars, outliers left out."""
-    return V.exemplars(V.without_outliers(confirmed(faces)), k)
+def prototypes(faces: DataFrame, k: int = V.EXEMPLARS, scans: DataFrame | None = None, generation: str | None = None) -> DataFrame:
+    """(key, id, vector, place): each person's exemplars, outliers left out. scans (photo_id, status, model_gen): faces count only if their photo's scan is ok and of the generation, see usable()."""
+    return V.exemplars(V.without_outliers(confirmed(faces if scans is None else usable(faces, scans, generation))), k)
 
 
 def matches(faces: DataFrame, rejections: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, protos: DataFrame | None = None) -> DataFrame:

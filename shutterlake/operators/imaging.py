@@ -9,11 +9,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from shutterlake.functions import scalars as S
 
 HIGHLIGHT, SHADOW, BLOCK = 250, 5, 4
+#: Pixels along a tile's side.
+TILE = 64
 
 
 def histograms(pixels: DataFrame) -> DataFrame:
@@ -47,15 +52,74 @@ def clipped_share(pixels: DataFrame, highlight: int = HIGHLIGHT, shadow: int = S
     return pixels.groupBy("photo_id").agg((F.count_if(high) / F.count("*")).alias("highlights"), (F.count_if(low & ~high) / F.count("*")).alias("shadows"))
 
 
-def sharpness(pixels: DataFrame, value: str = "val") -> DataFrame:
-    """(photo_id, score, n): the population variance of the 4-neighbour Laplacian over interior pixels."""
-    v, x, y = F.col(value).cast("double"), F.col("x"), F.col("y")
-    # each pixel gives to five places, so that one sum a place, made on the map side first, replaces two sorts of all pixels
-    to = lambda dx, dy, by: F.struct((x + dx).alias("x"), (y + dy).alias("y"), (by * v).alias("v"), F.lit(by < 0).alias("own"))
-    parts = pixels.select("photo_id", F.inline(F.array(to(0, 0, -4), to(1, 0, 1), to(-1, 0, 1), to(0, 1, 1), to(0, -1, 1))))
-    places = parts.groupBy("photo_id", "x", "y").agg(F.sum("v").alias("lap"), F.count("*").alias("n"), F.bool_or("own").alias("own"))
-    lap = F.when((F.col("n") == 5) & F.col("own"), F.col("lap"))
-    return places.groupBy("photo_id").agg(F.coalesce(F.var_pop(lap), F.lit(0.0)).alias("score"), F.count(lap).alias("n"))
+def tiled(pixels: DataFrame, value: str, tile: int = TILE) -> DataFrame:
+    """(photo_id, tx, ty, x, y, v): pixels dealt to tiles with a border of one pixel: those at a tile's edge are in the next tile too, as its neighbours. About 1 + 4 / tile rows a pixel."""
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    tx, ty, n = F.floor(x / tile), F.floor(y / tile), F.lit(tile)
+    at = lambda dx, dy: F.struct((tx + dx).cast("long").alias("tx"), (ty + dy).cast("long").alias("ty"))
+    edges = [(F.pmod(x, n) == 0, -1, 0), (F.pmod(x, n) == tile - 1, 1, 0), (F.pmod(y, n) == 0, 0, -1), (F.pmod(y, n) == tile - 1, 0, 1)]
+    places = F.array_compact(F.array(at(0, 0), *[F.when(edge, at(dx, dy)) for edge, dx, dy in edges]))
+    return pixels.select("photo_id", F.inline(places), x.alias("x"), y.alias("y"), F.col(value).cast("double").alias("v"))
+
+
+def _laplacians(tiles: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of tiles, Laplacians) of those pixels of their own tile that have all four neighbours there. tiles: the number of each pixel's tile; x, y: from 0 within the bordered tile."""
+    side = int(max(x.max(), y.max())) + 3
+    key = (tiles * side + y + 1) * side + x + 1
+    order = np.argsort(key, kind="stable")
+    key, v, own, tiles = key[order], v[order], own[order], tiles[order]
+    total, whole = -4 * v, own.copy()
+    for step in (1, -1, side, -side):
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        whole &= key[at] == key + step
+        total = total + v[at]
+    return tiles[whole], total[whole]
+
+
+def sharpness(pixels: DataFrame, value: str = "val", tile: int = TILE) -> DataFrame:
+    """(photo_id, score, n): the population variance of the 4-neighbour Laplacian over interior pixels, n of them.
+
+    One numpy pass over each bordered tile; tiles give moments, which are merged by image. A task holds a batch and one tile.
+    """
+    rows = tiled(pixels, value, tile)
+    schema = f"photo_id {rows.schema['photo_id'].dataType.simpleString()}, n long, s double, m2 double"
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(t: pa.Table) -> pa.RecordBatch:
+            tx, ty, x, y, v = (t.column(c).to_numpy() for c in ("tx", "ty", "x", "y", "v"))
+            photos = t.column("photo_id").combine_chunks()
+            first = np.flatnonzero(np.concatenate([[True], (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1]) | changed(photos)]))
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tx))))
+            own = (x // tile == tx) & (y // tile == ty)
+            of, lap = _laplacians(number, x - tx * tile + 1, y - ty * tile + 1, v, own)
+            n, s = np.bincount(of, minlength=len(first)), np.bincount(of, weights=lap, minlength=len(first))
+            m2 = np.bincount(of, weights=(lap - (s / np.maximum(n, 1))[of]) ** 2, minlength=len(first))
+            return pa.RecordBatch.from_arrays([photos.take(pa.array(first)), pa.array(n, pa.int64()), pa.array(s.astype(float)), pa.array(m2.astype(float))], ["photo_id", "n", "s", "m2"])
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows:
+                # all but the last tile, which may go on
+                last = [held.column(c)[-1] for c in ("photo_id", "tx", "ty")]
+                same = pc.and_(pc.and_(pc.equal(held.column("tx"), last[1]), pc.equal(held.column("ty"), last[2])), pc.equal(held.column("photo_id"), last[0]) if last[0].is_valid else pc.is_null(held.column("photo_id")))
+                whole = held.num_rows - int(pc.sum(pc.fill_null(same, False)).as_py())
+                if whole:
+                    yield given(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield given(held)
+
+    parts = rows.repartition("photo_id", "tx", "ty").sortWithinPartitions("photo_id", "tx", "ty").mapInArrow(told, schema)
+    sums = parts.groupBy("photo_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("m2") + F.when(F.col("n") > 0, F.col("s") * F.col("s") / F.col("n")).otherwise(0.0)).alias("q"))
+    score = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.col("n"))).otherwise(0.0)
+    return sums.select("photo_id", score.alias("score"), "n")
+
+
+def changed(values: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it, from the second on."""
+    a, b = values.slice(1), values.slice(0, len(values) - 1)
+    return pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False).astype(bool) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
 
 
 def similarity_fit(points: DataFrame, key: str) -> DataFrame:
@@ -67,7 +131,7 @@ def similarity_fit(points: DataFrame, key: str) -> DataFrame:
     return sums.select(key, p.alias("a"), (-q).alias("b"), (F.col("mu") - (p * F.col("mx") - q * F.col("my"))).alias("tx"), q.alias("c"), p.alias("d"), (F.col("mv") - (q * F.col("mx") + p * F.col("my"))).alias("ty"))
 
 
-def raster(image: pd.Series) -> np.ndarray:
+def raster(image: pd.Series | dict) -> np.ndarray:
     """An image row of Spark's reader as height x width x 3, red first."""
     data = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
     return np.repeat(data, 3, 2) if image["nChannels"] == 1 else data[:, :, 2::-1]
@@ -136,15 +200,33 @@ def focus_job(rows: DataFrame, points: DataFrame) -> DataFrame:
     return rows.join(points, "origin").mapInPandas(run, "origin string, status string, score double")
 
 
-def embed_job(rows: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int) -> DataFrame:
-    """(origin, embedding): a user's model over each image, loaded once a worker; vectors of length 1. make_model gives a function from a raster to size numbers."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+def scaled(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The raster at another size, each pixel the nearest one."""
+    y, x = (np.arange(height) * rgb.shape[0]) // height, (np.arange(width) * rgb.shape[1]) // width
+    return rgb[y][:, x]
+
+
+def embed_job(rows: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, shape: tuple[int, int] = (112, 112), batch_size: int = 64) -> DataFrame:
+    """(origin, embedding): a user's model over each image, loaded once a worker; vectors of length 1, of size numbers.
+
+    make_model gives a function from images x height x width x 3 numbers, batch_size images at most, to images x size numbers. Images are scaled to shape before.
+    """
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = [np.asarray(model(raster(row)), np.float32)[:size] for _, row in batch.iterrows()]
-            yield pd.DataFrame({"origin": batch["origin"], "embedding": [(v / max(np.linalg.norm(v), 1e-12)).tolist() for v in vectors]})
+            rasters = [scaled(raster(dict(zip(batch.columns, row))), *shape).ravel().astype(np.float32).tolist() for row in batch.itertuples(index=False)]
+            yield pd.DataFrame({"origin": batch["origin"], "raster": rasters})
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = make_model()
+
+        def predict(images: np.ndarray) -> np.ndarray:
+            v = np.asarray(model(images), np.float32).reshape(len(images), -1)[:, :size]
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+        return predict
 
-    return rows.mapInPandas(run, "origin string, embedding array<float>")
+    embed = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[*shape, 3]])
+    return rows.mapInPandas(decoded, "origin string, raster array<float>").select("origin", embed("raster").alias("embedding"))
 
 
 def photo_metadata_job(metadata: DataFrame, rows: DataFrame) -> DataFrame:

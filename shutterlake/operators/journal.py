@@ -72,7 +72,8 @@ def outbox(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
 
     kind: rate and tags replace their field of the open job and keep the other; trash deletes it,
     done too if its token is the job's own, else it is stale and has no effect; error counts an attempt of
-    the job that is open; rearm forgets attempts. After max_attempts a job is parked.
+    the job that is open; rearm forgets attempts. After max_attempts a job is parked. Where events have a column
+    error, the text of the last counted failure that has one is last_error.
     """
     own = W.partitionBy("photo_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     enqueued = F.when(F.col("kind").isin("rate", "tags"), F.col("seq"))
@@ -86,14 +87,16 @@ def outbox(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
         F.max_by(F.when(F.col("kind") == "rate", F.col("rating")), F.when(F.col("kind") == "rate", F.col("seq"))).alias("rating"),
         F.max_by(F.when(F.col("kind") == "tags", F.col("tags")), F.when(F.col("kind") == "tags", F.col("seq"))).alias("tags"),
         F.max("_job").alias("job_seq"), F.count_if(fails).alias("attempts"),
+        *([F.max_by(F.when(fails, F.col("error")), F.when(fails & F.col("error").isNotNull(), F.col("seq"))).alias("last_error")] if "error" in events.columns else []),
     )
     return jobs.withColumn("status", F.when(F.col("attempts") >= max_attempts, "error").otherwise("pending"))
 
 
 def queue_status(jobs: DataFrame) -> DataFrame:
-    """(pending, failed, last_job): counts, and the newest failed job if there is one."""
+    """(pending, failed, last_job): counts, and the newest failed job if there is one; where jobs have last_error also that of the newest failed job that has one."""
     failed = F.col("status") == "error"
-    return jobs.agg(F.count_if(~failed).alias("pending"), F.count_if(failed).alias("failed"), F.max(F.when(failed, F.col("job_seq"))).alias("last_job"))
+    text = [F.max_by("last_error", F.when(failed & F.col("last_error").isNotNull(), F.col("job_seq"))).alias("last_error")] if "last_error" in jobs.columns else []
+    return jobs.agg(F.count_if(~failed).alias("pending"), F.count_if(failed).alias("failed"), F.max(F.when(failed, F.col("job_seq"))).alias("last_job"), *text)
 
 
 def next_batch(jobs: DataFrame, n: int) -> DataFrame:

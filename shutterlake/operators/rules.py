@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from shutterlake.functions import scalars as S
 
@@ -37,11 +37,45 @@ def recipes_of_toml(text: str) -> list[tuple[str, dict[str, Any]]]:
     return [(r["name"], {k: v for k, v in r.items() if k != "name"}) for r in tomllib.loads(text).get("recipe", [])]
 
 
+def _width(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level)
+
+
+def _levels(low: Column, high: Column) -> Column:
+    """The power of two that is the least width of bins of which an interval meets two at most; WIDEST for one that no bin can hold."""
+    size = F.greatest(high - low, F.lit(2e-9))
+    level = F.ceil(F.log2(size)).cast("int")
+    return F.when(size < 1e300, level).otherwise(F.lit(WIDEST))
+
+
+def indexed(rules: DataFrame) -> DataFrame:
+    """rules with level, bin and folded, once for each key under which a value can meet them: a text by its folded form, a number or a range by the one or two bins of its own size that it lies in."""
+    text = F.col("op") == "text"
+    low, high = F.when(F.col("op") == "number", F.col("lo") - 1e-9).otherwise(F.col("lo")), F.when(F.col("op") == "number", F.col("hi") + 1e-9).otherwise(F.col("hi"))
+    rows = rules.filter("param is not null").withColumn("_low", low).withColumn("_high", high).withColumn("level", F.when(text, TEXT).otherwise(_levels(low, high)).cast("int"))
+    wide = F.col("level") == WIDEST
+    ends = F.array_distinct(F.array(F.floor(F.col("_low") / _width(F.col("level"))), F.floor(F.col("_high") / _width(F.col("level"))))).cast("array<double>")
+    bins = F.when(text | wide, F.array(F.lit(0.0))).otherwise(ends)
+    return rows.withColumn("folded", F.when(text, S.ascii_lower(S.trimmed(F.col("s")))).otherwise("")).withColumn("bin", F.explode(bins)).drop("_low", "_high")
+
+
+def met_keys(values: DataFrame, levels: list[int]) -> DataFrame:
+    """values (param, value, ...) with level, bin and folded, once for each of the levels that rules have: the keys under which rules may be."""
+    number = S.leading_number(F.col("value"))
+    keys = []
+    for level in levels:
+        folded = S.ascii_lower(S.trimmed(F.col("value"))) if level == TEXT else F.lit("")
+        bin_ = F.lit(0.0) if level in (TEXT, WIDEST) else F.floor(number / _width(F.lit(level))).cast("double")
+        keys.append(F.when(F.lit(level == TEXT) | number.isNotNull(), F.struct(F.lit(level).alias("level"), bin_.alias("bin"), folded.alias("folded"))))
+    return values.select("*", F.inline(F.array_compact(F.array(*keys)))) if keys else values.select("*", F.lit(0).alias("level"), F.lit(0.0).alias("bin"), F.lit("").alias("folded")).limit(0)
+
+
 def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     """(photo_id, first, every): for each document (photo_id, doc) the first recipe in order whose parameters all match, and all of them, comma-joined; nulls and '' without a match.
 
-    Documents become (param, value) rows, rules meet them on param. Rules are what a user typed: more than MOST_RULES
-    rows are refused, so that they can be broadcast. A recipe matches if as many of its parameters match as it pins; one that pins none matches all.
+    Documents become (param, value) rows, which meet the rules that they can match: by folded text, or by bins of
+    the size of the rule's range. Rules are what a user typed: more than MOST_RULES rows are refused, so that they can be
+    broadcast. A recipe matches if as many of its parameters match as it pins; one that pins none matches all.
     """
     if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rule rows")
@@ -51,7 +85,9 @@ def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     number = S.leading_number(F.col("value"))
     hit = F.when(F.col("op") == "text", S.same_text(F.col("value"), F.col("s"))).when(F.col("op") == "number", F.abs(number - F.col("lo")) < 1e-9).otherwise(number.between(F.col("lo"), F.col("hi")))
     pinned = rules.groupBy("ord", "name").agg(F.count_distinct("param").alias("pinned"))
-    met = values.join(F.broadcast(rules.filter("param is not null")), "param").filter(F.coalesce(hit, F.lit(False))).groupBy("photo_id", "ord").agg(F.count_distinct("param").alias("met"))
+    index = indexed(rules)
+    levels = sorted(r["level"] for r in index.select("level").distinct().collect())  # sizes of ranges, as powers of two
+    met = met_keys(values, levels).join(F.broadcast(index), ["param", "level", "bin", "folded"]).filter(F.coalesce(hit, F.lit(False))).groupBy("photo_id", "ord").agg(F.count_distinct("param").alias("met"))
     full = met.join(F.broadcast(pinned.filter("pinned > 0")), "ord").filter("met = pinned").select("photo_id", "ord", "name")
     # recipes without parameters, as an array that each photo explodes
     every = [(r["ord"], r["name"]) for r in pinned.filter("pinned = 0").collect()]
@@ -60,6 +96,8 @@ def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     return metadata.select("photo_id").join(labels, "photo_id", "left").select("photo_id", "first", F.coalesce(F.array_join(F.transform("all", lambda x: x["name"]), ","), F.lit("")).alias("every"))
 
 
+#: Levels of the rule index that are no bin's width: texts, and ranges without bounds.
+TEXT, WIDEST = 10_000, 10_001
 #: Rows of rules, one a parameter and alternative, that a broadcast may hold.
 MOST_RULES = 100_000
 

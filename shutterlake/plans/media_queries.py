@@ -86,3 +86,9 @@ def clipping_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT photo_id, round(var_pop(lap), 6) AS score, count(lap) AS n FROM l GROUP BY photo_id""", "pixels_v")
 def laplacian_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.sharpness(view(spark, sf_dir, "pixels_v")).withColumn("score", F.round("score", 6))
+
+
+@query("""@r AS (SELECT served_from AS key, latency_ms AS value, row_number() OVER (PARTITION BY served_from ORDER BY latency_ms) - 1 AS place, count(*) OVER (PARTITION BY served_from) AS n FROM perf_v)
+SELECT key, p, n, CAST(value AS DOUBLE) AS value FROM r, (SELECT CAST(unnest([0.0, 0.05, 0.5, 0.99, 1.0]) AS DOUBLE) AS p) WHERE place = CAST(floor(p * (n - 1) + 0.5) AS BIGINT)""", "perf_v")
+def rounded_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.rounded_ranks(view(spark, sf_dir, "perf_v").select(F.col("served_from").alias("key"), F.col("latency_ms").alias("value")), [0.0, 0.05, 0.5, 0.99, 1.0], few=50)

@@ -78,11 +78,11 @@ def resume_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""@e AS (SELECT photo_id, seq, CASE cmd WHEN 'undo' THEN 'error' WHEN 'redo' THEN 'error' ELSE cmd END AS kind FROM commands_v),
 d AS (SELECT photo_id, max(seq) AS ended FROM e WHERE kind = 'trash' GROUP BY photo_id), l AS (SELECT e.*, max(CASE WHEN kind IN ('rate', 'tags') THEN seq END) OVER (PARTITION BY photo_id) AS job FROM e LEFT JOIN d USING (photo_id) WHERE ended IS NULL OR seq > ended),
-j AS (SELECT photo_id, max(job) AS job_seq, count(*) FILTER (kind = 'error' AND seq > job) >= 5 AS failed FROM l WHERE job IS NOT NULL GROUP BY photo_id)
-SELECT CAST(count(*) FILTER (NOT failed) AS BIGINT) AS pending, CAST(count(*) FILTER (failed) AS BIGINT) AS failed, max(job_seq) FILTER (failed) AS last_job FROM j""", "commands_v")
+j AS (SELECT photo_id, max(job) AS job_seq, count(*) FILTER (kind = 'error' AND seq > job) >= 5 AS failed, arg_max('disk ' || seq, seq) FILTER (kind = 'error' AND seq > job AND seq % 3 > 0) AS last_error FROM l WHERE job IS NOT NULL GROUP BY photo_id)
+SELECT CAST(count(*) FILTER (NOT failed) AS BIGINT) AS pending, CAST(count(*) FILTER (failed) AS BIGINT) AS failed, max(job_seq) FILTER (failed) AS last_job, arg_max(last_error, job_seq) FILTER (failed AND last_error IS NOT NULL) AS last_error FROM j""", "commands_v")
 def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("cmd").isin("undo", "redo"), "error").otherwise(F.col("cmd"))
-    events = view(spark, sf_dir, "commands_v").select("photo_id", "seq", kind.alias("kind"), F.col("to_rating").alias("rating"), F.lit("").alias("tags"), F.lit(None).cast("long").alias("token"))
+    events = view(spark, sf_dir, "commands_v").select("photo_id", "seq", kind.alias("kind"), F.col("to_rating").alias("rating"), F.lit("").alias("tags"), F.lit(None).cast("long").alias("token"), F.when(F.col("seq") % 3 > 0, F.concat(F.lit("disk "), "seq")).alias("error"))
     return J.queue_status(J.outbox(events))
 
 

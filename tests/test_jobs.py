@@ -35,8 +35,17 @@ def test_image_jobs(spark, tmp_path):
     points = spark.createDataFrame([("a.png", "point", 0.5, 0.5, 8), ("b.png", "manual", None, None, None)], "origin string, status string, x double, y double, half int")
     focus = {r["origin"]: (r["status"], r["score"]) for r in I.focus_job(rows, points).collect()}
     assert focus["a.png"][0] == "ok" and abs(focus["a.png"][1] - I.laplacian_variance(a, 30, 20, 8)) < 1e-9 and focus["b.png"][0] == "manual"
-    vectors = I.embed_job(rows, lambda: lambda rgb: rgb.reshape(-1, 3).mean(0), 3).collect()
-    assert all(abs(math.hypot(*r["embedding"]) - 1) < 1e-5 for r in vectors)
+    def make():
+        def model(images):
+            assert images.ndim == 4 and images.shape[1:] == (6, 5, 3) and len(images) <= 2
+            return images.mean((1, 2))
+
+        return model
+
+    vectors = {r["origin"]: r["embedding"] for r in I.embed_job(rows, make, 3, (6, 5), 2).collect()}
+    for r in rows.collect():
+        want = I.scaled(I.raster(r.asDict()), 6, 5).astype(float).mean((0, 1))
+        assert np.allclose(vectors[r["origin"]], want / np.linalg.norm(want), atol=1e-5)
     docs = spark.createDataFrame([(1, '{"ExifIFD:DateTimeOriginal":"2024:01:01 00:00:00","IFD0:Orientation":6,"x":1}'), (2, "{}")], "photo_id long, doc string")
     facts = I.photo_metadata_job(docs, spark.createDataFrame([(1, 60, 40, 5), (2, 30, 30, 7)], "photo_id long, width int, height int, mtime long"))
     assert sorted(map(tuple, facts.collect())) == [(1, 1704067200000, 40, 60), (2, 7000, 30, 30)]
