@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import table
@@ -221,7 +222,8 @@ def fitted(labels: list[str], counts: list[np.ndarray], families: dict[str, str]
 
 def told_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     """(row, lang_pred, score): each row of docs as a struct, with its language from its whole text alone, whatever its doc_id."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    place = [c.lower() for c in docs.columns].index("text")  # the text travels once, within its row
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +231,7 @@ def told_rows(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             langs, scores = [], []
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(pc.struct_field(batch.column("row"), [place]).cast(pa.string())):
                 found, score = own.predict(*trigrams(data, offsets)) if own else ([UNKNOWN] * (b - a), np.zeros(b - a))
                 langs += [lang if ok else UNKNOWN for lang, ok in zip(found, letters[a:b])]
                 scores.append(np.where(letters[a:b], score, 0.0))
