@@ -96,8 +96,8 @@ def common_words(docs: DataFrame, n: int = N_COMMON, held: int = HELD) -> DataFr
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null")
     counts = rows.mapInArrow(told, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "hash"))
-    return counts.withColumn("place", rank - 1).filter(F.col("place") < n).select("lang", "hash", "place")
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "hash"))).filter(F.col("rank") <= n)
+    return ranked.select("lang", "hash", (F.col("rank") - 1).alias("place"))
 
 
 def of_language(hashes: np.ndarray, number: np.ndarray | int) -> np.ndarray:
