@@ -268,14 +268,47 @@ def blob_of(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: np.asarray(v, "<f4").tobytes() if v is not None else None)
 
 
+#: SQL functions: name and parameters, type, body; each says what the Column function named in TWINS says.
+SQL_FUNCTIONS = [
+    ("trimmed(text STRING)", "STRING", r"regexp_replace(text, r'(?U)^\s+|\s+$', '')"),
+    ("leading_number(text STRING)", "DOUBLE", r"try_cast(regexp_extract(trimmed(text), r'^[+-]?[0-9.]*', 0) AS DOUBLE)"),
+    ("ascii_folded(text STRING)", "STRING", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
+    ("same_text(a STRING, b STRING)", "BOOLEAN", "ascii_folded(trimmed(a)) = ascii_folded(trimmed(b))"),
+    ("same_number(a DOUBLE, b DOUBLE)", "BOOLEAN", "abs(a - b) < 1e-9"),
+    ("file_extension(name STRING)", "STRING", r"lower(regexp_extract(name, r'\.([^.]*)$', 1))"),
+    ("catalog_kind(name STRING)", "STRING", "CASE WHEN file_extension(name) IN ('jpg', 'jpeg') THEN 'jpeg' WHEN file_extension(name) = 'raf' THEN 'raf' END"),
+    ("catalog_stem(name STRING)", "STRING", r"regexp_replace(name, r'\.[^.]*$', '')"),
+    ("photo_id(path STRING)", "STRING", "lpad(lower(hex(xxhash64(path))), 16, '0')"),
+    ("catalog_name(name STRING)", "STRING", "nullif(lower(trimmed(name)), '')"),
+    ("xmp_number(text STRING)", "INT", r"""try_cast(coalesce(nullif(regexp_extract(text, r'xmp:Rating="(\d+)"', 1), ''), nullif(regexp_extract(text, r'<xmp:Rating>(\d+)</xmp:Rating>', 1), '')) AS INT)"""),
+    ("xmp_rating(text STRING)", "INT", "CASE WHEN xmp_number(text) BETWEEN 0 AND 5 THEN xmp_number(text) END"),
+    ("xml_escape(text STRING)", "STRING", "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
+    ("hex_colour(text STRING)", "ARRAY<INT>", "CASE WHEN text RLIKE '^#[0-9A-Fa-f]{6}$' THEN transform(array(2, 4, 6), i -> CAST(conv(substring(text, i, 2), 16, 10) AS INT)) END"),
+    ("is_artifact(name STRING)", "BOOLEAN", r"name RLIKE r'^[0-9a-f]{16}-f\d+(r\d+)?\.(jpg|tmp.*)$'"),
+    ("colour_listed(c ARRAY<INT>)", "STRING", "concat('[', array_join(transform(c, x -> lpad(hex(x), 2, '0')), ', '), ']')"),
+    ("clipping_fingerprint(h INT, s INT, hc ARRAY<INT>, sc ARRAY<INT>)", "STRING", "concat_ws('-', CAST(h AS STRING), CAST(s AS STRING), colour_listed(hc), colour_listed(sc))"),
+    ("shutter(text STRING)", "STRING", "CASE WHEN try_cast(text AS DOUBLE) < 1 THEN concat('1/', CAST(floor(1 / try_cast(text AS DOUBLE) + 0.5D) AS STRING), 's') ELSE concat(text, 's') END"),
+    ("dynamic_range(text STRING)", "STRING", r"CASE WHEN text RLIKE r'^\d+$' THEN concat('DR', text) WHEN endswith(text, '%') THEN concat('Auto (DR', substring(text, 1, length(text) - 1), ')') ELSE text END"),
+    ("megabytes(text STRING)", "STRING", "CASE WHEN try_cast(text AS DOUBLE) IS NULL THEN text ELSE format_string('%.2f MB', try_cast(text AS DOUBLE) / 1048576) END"),
+    ("days_from_civil(y INT, m INT, d INT)", "INT", "unix_date(make_date(y, m, d))"),
+    ("oriented(width INT, height INT, orientation INT)", "STRUCT<width: INT, height: INT>", "CASE WHEN orientation BETWEEN 5 AND 8 THEN named_struct('width', height, 'height', width) ELSE named_struct('width', width, 'height', height) END"),
+    ("oriented_point(x DOUBLE, y DOUBLE, o INT)", "STRUCT<x: DOUBLE, y: DOUBLE>", "named_struct('x', CASE WHEN o IN (2, 3) THEN 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN 1 - y ELSE x END, 'y', CASE WHEN o IN (3, 4) THEN 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN 1 - x ELSE y END)"),
+    ("patch_half(width INT, height INT, point_size INT)", "BIGINT", "CAST(least(greatest(floor(greatest(width, height) * 0.026D * (CASE WHEN point_size BETWEEN 1 AND 6 THEN point_size ELSE 3 END / 3)), 24), greatest(floor(greatest(width, height) * 0.05D), 24)) AS BIGINT)"),
+    ("luma(r DOUBLE, g DOUBLE, b DOUBLE)", "INT", "CAST(least(255, floor(0.2126D * r + 0.7152D * g + 0.0722D * b + 0.5D)) AS INT)"),
+    ("has_metadata(document MAP<STRING, STRING>)", "BOOLEAN", "size(document) > 1"),
+    ("tags_of(text STRING)", "ARRAY<STRING>", "coalesce(from_json(text, 'array<string>'), CAST(array() AS ARRAY<STRING>))"),
+    ("toggled(tags ARRAY<STRING>, tag STRING)", "ARRAY<STRING>", "CASE WHEN array_contains(coalesce(tags, CAST(array() AS ARRAY<STRING>)), tag) THEN array_remove(tags, tag) ELSE array_append(coalesce(tags, CAST(array() AS ARRAY<STRING>)), tag) END"),
+    ("guarded(value DOUBLE, low DOUBLE, high DOUBLE, fallback DOUBLE)", "DOUBLE", "CASE WHEN value BETWEEN low AND high THEN value ELSE fallback END"),
+    ("vector_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0.0D, (s, v) -> s + v)"),
+    ("vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)", "DOUBLE", "CASE WHEN sqrt(vector_dot(a, a)) * sqrt(vector_dot(b, b)) > 1e-12 THEN vector_dot(a, b) / (sqrt(vector_dot(a, a)) * sqrt(vector_dot(b, b))) ELSE 0.0D END"),
+    ("glass_time(draw_ms DOUBLE, glass_ms DOUBLE, hidden BOOLEAN)", "STRUCT<latency_ms: DOUBLE, occluded: BOOLEAN>", "named_struct('latency_ms', CASE WHEN NOT hidden AND glass_ms - draw_ms <= 1000 THEN glass_ms ELSE draw_ms END, 'occluded', NOT (NOT hidden AND glass_ms - draw_ms <= 1000))"),
+    ("rate_payload(kind STRING, text STRING)", "STRUCT<`from`: INT, `to`: INT>", "CASE WHEN kind = 'rate' THEN from_json(text, 'from int, to int') END"),
+]
+#: SQL functions whose Column function has another name; helpers of others have none.
+TWINS = {"file_extension": "extension", "catalog_kind": "kind_of", "catalog_stem": "stem_of", "catalog_name": "normalized_name", "xml_escape": "xml_escaped", "ascii_folded": "ascii_lower", "vector_dot": "dot", "vector_cosine": "cosine"}
+
+
 def register(spark: SparkSession) -> None:
     """The scalars that Spark SQL can call by name, as SQL functions of the session."""
-    for sql in (
-        "catalog_stem(name STRING) RETURNS STRING RETURN regexp_replace(name, '\\\\.[^.]*$', '')",
-        "catalog_kind(name STRING) RETURNS STRING RETURN CASE WHEN lower(name) RLIKE '\\\\.jpe?g$' THEN 'jpeg' WHEN lower(name) RLIKE '\\\\.raf$' THEN 'raf' END",
-        "catalog_name(name STRING) RETURNS STRING RETURN nullif(lower(trim(name)), '')",
-        "leading_number(text STRING) RETURNS DOUBLE RETURN try_cast(regexp_extract(trim(text), '^[+-]?[0-9.]*', 0) AS DOUBLE)",
-        "xml_escape(text STRING) RETURNS STRING RETURN replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')",
-        "luma(r DOUBLE, g DOUBLE, b DOUBLE) RETURNS INT RETURN CAST(least(255, floor(0.2126 * r + 0.7152 * g + 0.0722 * b + 0.5)) AS INT)",
-    ):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql}")
+    for head, kind, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
