@@ -2,6 +2,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
+import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.llm import mixing
@@ -99,3 +100,12 @@ def test_stages_on_odd_rows(spark, odd, none):
     for name, stage in P.STAGES:
         docs, empty = written(stage(spark, docs, ""), name), written(stage(spark, empty, ""), name)
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 1])
+def test_rows_stay_whatever_their_ids(spark, sf, doc_id):
+    """All rows without an id, or with one: the language stage keeps the rows that it keeps otherwise."""
+    docs = table(spark, sf, "documents")
+    want = P.by_language(spark, docs, sf).select("text")
+    got = P.by_language(spark, docs.withColumn("doc_id", F.lit(doc_id).cast("long")), sf).select("text")
+    assert want.count() > 100 and want.exceptAll(got).count() + got.exceptAll(want).count() <= 0.03 * want.count()
