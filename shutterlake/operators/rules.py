@@ -60,14 +60,16 @@ def indexed(rules: DataFrame) -> DataFrame:
 
 
 def met_keys(values: DataFrame, levels: list[int]) -> DataFrame:
-    """values (param, value, ...) with level, bin and folded, once for each of the levels that rules have: the keys under which rules may be."""
-    number = S.leading_number(F.col("value"))
+    """values (param, value, ...) with number, and level, bin and folded once for each of the levels that rules have: the keys under which rules may be."""
+    texts = TEXT in levels
+    rows = values.withColumn("number", S.leading_number(F.col("value"))).withColumn("_folded", S.ascii_lower(S.trimmed(F.col("value"))) if texts else F.lit(""))
     keys = []
     for level in levels:
-        folded = S.ascii_lower(S.trimmed(F.col("value"))) if level == TEXT else F.lit("")
-        bin_ = F.lit(0.0) if level in (TEXT, WIDEST) else F.floor(number / _width(F.lit(level))).cast("double")
-        keys.append(F.when(F.lit(level == TEXT) | number.isNotNull(), F.struct(F.lit(level).alias("level"), bin_.alias("bin"), folded.alias("folded"))))
-    return values.select("*", F.inline(F.array_compact(F.array(*keys)))) if keys else values.select("*", F.lit(0).alias("level"), F.lit(0.0).alias("bin"), F.lit("").alias("folded")).limit(0)
+        bin_ = F.lit(0.0) if level in (TEXT, WIDEST) else F.floor(F.col("number") / _width(F.lit(level))).cast("double")
+        key = F.struct(F.lit(level).alias("level"), bin_.alias("bin"), (F.col("_folded") if level == TEXT else F.lit("")).alias("folded"))
+        keys.append(key if level == TEXT else F.when(F.col("number").isNotNull(), key))
+    none = F.array().cast("array<struct<level:int,bin:double,folded:string>>")
+    return rows.select(*values.columns, "number", F.inline(F.array_compact(F.array(*keys)) if keys else none))
 
 
 def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
@@ -82,8 +84,8 @@ def matched(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     document = S.parsed(F.col("doc"))
     params = F.array(*[F.struct(F.lit(p).alias("param"), S.first_of(F.col("m"), *keys).alias("value")) for p, keys in S.PARAM_KEYS.items()])
     values = metadata.select("photo_id", document.alias("m")).select("photo_id", F.explode(params).alias("v")).select("photo_id", "v.*").filter("value is not null")
-    number = S.leading_number(F.col("value"))
-    hit = F.when(F.col("op") == "text", S.same_text(F.col("value"), F.col("s"))).when(F.col("op") == "number", F.abs(number - F.col("lo")) < 1e-9).otherwise(number.between(F.col("lo"), F.col("hi")))
+    number = F.col("number")
+    hit = F.when(F.col("op") == "text", F.lit(True)).when(F.col("op") == "number", F.abs(number - F.col("lo")) < 1e-9).otherwise(number.between(F.col("lo"), F.col("hi")))
     pinned = rules.groupBy("ord", "name").agg(F.count_distinct("param").alias("pinned"))
     index = indexed(rules)
     levels = sorted(r["level"] for r in index.select("level").distinct().collect())  # sizes of ranges, as powers of two
