@@ -4,9 +4,11 @@ Every common word (an anchor: a listed function word, or any very short word, as
 function words in most languages) with the chain of the next content words after it is a
 signature; a document's fingerprint is the set of its signatures. Function words are
 dense in running text and rare in menus and advertisements, so the set follows the
-prose. Sets are compared by Jaccard similarity. near_copies() cuts the lists of its join by set
-length and rules pairs out by their lengths before any signature is looked at; the query's two
-likenesses of given pairs are exact numbers, which nothing may prune.
+prose. Sets are compared by Jaccard similarity. copies_of() joins fingerprints: sets are numbered by
+length, listed under their rarest signatures, long lists are partitioned by set length, each part
+with its neighbour, and pairs are ruled out by length before any signature is compared. It sees
+fingerprints only, so the texts are not shuffled for it. The query's two likenesses of given pairs
+are exact numbers, which nothing may prune.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import dropped, scratch, table
 from .ngram_join import joined
 from .text_arrays import NOT_WORD, Words, mixed, slices
 
@@ -108,20 +110,43 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 class SpotSets:
-    """Signature sets for the join of near copies: 64 bits, sorted."""
+    """Fingerprints as sets for the join: 64 bits a signature, sorted."""
 
-    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for own in signature_sets(texts):
-            yield np.sort(mixed(own.astype(np.uint64) + np.uint64(1)))
+    def __call__(self, fingerprints: pa.Array) -> Iterator[np.ndarray]:
+        for own in fingerprints.to_pylist():
+            yield np.sort(mixed(decoded(own or "").astype(np.uint64) + np.uint64(1)))
 
 
-def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles: signatures, component_id) of docs whose signature sets have a Jaccard similarity of at least percent.
+def copies_of(fingerprints: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles: signatures, component_id) of fingerprints (doc_id, fingerprint) whose sets have a Jaccard similarity of at least percent.
 
-    The join numbers sets by length and compares a set only with those of lengths that can reach
-    the threshold, rarest signatures first; what is left is compared whole. Odd rows as in ngram_join.joined.
+    A set is compared only with those of lengths that can reach the threshold, rarest signatures
+    first; what is left is compared whole. Fingerprints without signatures, null ones too, link with nothing; other odd rows as in ngram_join.joined.
     """
-    return joined(docs, SpotSets(), percent)
+    return joined(fingerprints.select("doc_id", F.col("fingerprint").alias("text")), SpotSets(), percent)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint) of docs (doc_id, text), as a table in the shared folder."""
+    path = scratch(docs.sparkSession, "fingerprints")
+    found = fingerprinted(docs).select("doc_id", "fingerprint")
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """copies_of() the fingerprints of docs (doc_id, text)."""
+    return copies_of(stored(docs), percent)
+
+
+def components_of(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, component_id): one row for each doc_id of near_copies(), as a table in the shared folder. Rows that share a doc_id have the smallest component of them; null doc_ids have none."""
+    prints = stored(docs)
+    path = scratch(docs.sparkSession, "copies")
+    found = copies_of(prints, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found.write.parquet(path)
+    dropped(prints)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _larger(bounds: list[int], key: Column) -> Column:
@@ -133,9 +158,11 @@ def _larger(bounds: list[int], key: Column) -> Column:
     return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) > key, at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int | None = None, told: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text) so dealt that in each bucket the rows stand in descending order, each followed by its next document.
 
+    told (doc_id, component_id), one row a doc_id: its rows, which have a null text, travel to the same buckets, each before the documents of its doc_id.
+
     Buckets are ranges of doc_id of about BUCKET_MB. The last row of a bucket has its next document in the
     following one, so each bucket ends with a copy (ghost) of that one's first row; the very last with the
     first row of all. Null doc_ids come last; rows of one doc_id stand in descending order of their texts. One
@@ -152,10 +179,13 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max(key).alias("head")).collect()}
     order = sorted(heads)
     follows = spark.createDataFrame([(b, heads[b], order[i - 1]) for i, b in enumerate(order)], "at int, head long, before int")
-    # one row a bucket; the head's text goes to the bucket before
-    ghosts = rows.join(F.broadcast(follows), (F.col("bucket") == F.col("at")) & (key == F.col("head"))).groupBy("before", "doc_id").agg(F.max("text").alias("text"))
-    both = rows.withColumn("ghost", F.lit(False)).union(ghosts.select("doc_id", "text", F.col("before"), F.lit(True)))
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    # one row a bucket, which Spark broadcasts while it is small; the head's text goes to the bucket before
+    ghosts = rows.join(follows, (F.col("bucket") == F.col("at")) & (key == F.col("head"))).groupBy("before", "doc_id").agg(F.max("text").alias("text"))
+    no = F.lit(None).cast("long")
+    both = rows.select("doc_id", "text", "bucket", F.lit(False).alias("ghost"), no.alias("component_id")).union(ghosts.select("doc_id", "text", "before", F.lit(True), no))
+    if told is not None:
+        both = both.union(told.select("doc_id", F.lit(None).cast("string"), _larger(bounds, F.col("doc_id")), F.lit(False), "component_id"))
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_first())
 
 
 def edited(text: str, following: str) -> str:
@@ -164,30 +194,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    last = None
+    """The rows of with_next() as COMPARED: each document with its own next one, and the component that the row before its doc_id's documents tells, if there is one."""
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+    told, last = (None, None), []
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
-            now = pa.Table.from_batches([batch.slice(start, 1000)])
-            rows = pa.concat_tables([last, now]).combine_chunks() if last is not None else now
-            last = rows.slice(rows.num_rows - 1)
-            ids, buckets, ghosts = (rows.column(c).to_pylist() for c in ("doc_id", "bucket", "ghost"))
-            texts = rows.column("text").to_pylist()
-            sets = signature_sets(rows.column("text"))
-            own = [i for i in range(len(ids) - 1) if not ghosts[i]]
+            rows = last
+            for i, text, ghost, component in zip(*(batch.slice(start, 1000).column(c).to_pylist() for c in ("doc_id", "text", "ghost", "component_id"))):
+                if text is None:
+                    told = (i, component)
+                else:
+                    rows.append((i, text, ghost, told[1] if i is not None and told[0] == i else None))
+            last = rows[-1:]
+            sets = signature_sets(pa.array([r[1] for r in rows], pa.string()))
+            own = [k for k in range(len(rows) - 1) if not rows[k][2]]
             if not own:
                 continue
-            changed = [edited(texts[i], texts[i + 1]) for i in own]
+            changed = [edited(rows[k][1], rows[k + 1][1]) for k in own]
             theirs = signature_sets(pa.array(changed, pa.string()))
             yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in own], pa.int64()), pa.array([len(texts[i]) for i in own], pa.int64()),
+                pa.array([rows[k][0] for k in own], pa.int64()), pa.array([len(rows[k][1]) for k in own], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array([encoded(sets[i]) for i in own]), pa.array([encoded(s) for s in theirs]),
-                pa.array([likeness(sets[i], s) for i, s in zip(own, theirs)], pa.float64()), pa.array([likeness(sets[i], sets[i + 1]) for i in own], pa.float64()),
+                pa.array([encoded(sets[k]) for k in own]), pa.array([encoded(s) for s in theirs]),
+                pa.array([likeness(sets[k], s) for k, s in zip(own, theirs)], pa.float64()), pa.array([likeness(sets[k], sets[k + 1]) for k in own], pa.float64()),
+                pa.array([rows[k][3] for k in own], pa.int64()),
             ], names)
 
 
+def edited_and_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """COMPARED: each row of docs (doc_id, text) with its fingerprint, that of its edited text, their likeness, the likeness to the next document, and the group of near copies that its doc_id is in.
+
+    Null text: as an empty one, likened as such, in a group of its own. Null doc_ids come last and have no group. Rows that share a doc_id are
+    rows of their own with one group, the smallest of theirs. Very long texts count whole; other columns are left out, whatever their names; an empty table gives none.
+    """
+    return with_next(docs, buckets, components_of(docs)).mapInArrow(_compared, COMPARED)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return edited_and_next(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -213,6 +213,13 @@ def lines_want(rows, min_docs=10):
     return want
 
 
+def test_line_dedup_of_equal_rows(spark):
+    """Rows equal in doc_id and text are one document, however many there are: each loses the same places, named once."""
+    rows = [(1, "own\nshared\nshared")] * 3000 + [(2 + i, f"shared\n{i}") for i in range(9)]
+    got = line_dedup.common_lines_dropped(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "kept", "n_dropped").count().collect()
+    assert {tuple(r) for r in got} == {(1, "own", 2, 3000)} | {(2 + i, str(i), 1, 1) for i in range(9)}
+
+
 def test_line_dedup(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text").union(odd.select("doc_id", "text"))
     got = line_dedup.common_lines_dropped(docs)
@@ -320,7 +327,11 @@ def jaccard(a, b):
 def test_fingerprints(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text").union(odd.filter("doc_id is not null and doc_id <> 7").select(F.col("doc_id") + 10**6, "text"))
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
-    got = {r["doc_id"]: r for r in spot_signatures.with_next(docs, 5).mapInArrow(spot_signatures._compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()}
+    got = {r["doc_id"]: r for r in spot_signatures.edited_and_next(docs, 5).collect()}
+    sets = [(i, spots(t)) for i, t in rows]
+    links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and 100 * len(a & b) >= 80 * len(a | b)]
+    group = groups(links)
+    assert len({group[i] for i in group}) < len(group) and {i: r["component_id"] for i, r in got.items()} == {i: group.get(i, i) for i, _ in rows}
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -332,6 +343,18 @@ def test_fingerprints(spark, sf, odd, none):
         assert abs(r["near_edited"] - jaccard(own, theirs)) < 1e-9 and abs(r["near_next"] - jaccard(own, spots(after))) < 1e-9
     assert spot_signatures.with_next(none.select("doc_id", "text"), 3).count() == 0 and spot_signatures.with_next(none.select("doc_id", "text")).count() == 0
     assert spot_signatures.fingerprinted(odd).count() == odd.count()
+    assert spot_signatures.edited_and_next(none).count() == 0
+
+
+def test_groups_of_repeated_and_null_ids(spark):
+    """Rows of one doc_id have one group, the smallest of theirs; rows without a doc_id or a word have none and their own; clashing columns change nothing."""
+    prose = "the harbour opened early and the ferry crossed a quiet channel while the gulls followed a fishing boat of the village"
+    other = "an engine of the mill stopped before the evening shift and a smith was called from the valley"
+    rows = [(3, prose), (5, prose), (5, other), (9, other), (None, prose), (7, None), (8, ""), (8, "")] + [(100 + i, prose) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 0.5) for i, t in rows], "doc_id long, text string, component_id int, fingerprint string, bucket double")
+    got = sorted(((r["doc_id"], r["n_chars"], r["component_id"]) for r in spot_signatures.edited_and_next(docs, 6).collect()), key=str)
+    want = {3: 3, 5: 3, 9: 5, None: None, 7: 7, 8: 8}
+    assert got == sorted(((i, len(t or ""), want.get(i, 3)) for i, t in rows), key=str)
 
 
 def test_next_of_repeated_and_null_ids(spark):
