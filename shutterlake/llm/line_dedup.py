@@ -109,7 +109,7 @@ def cut_out(docs: DataFrame, postings: DataFrame, known: DataFrame | None) -> Da
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), r1.alias("r1"), r2.alias("r2"))
     if known is None:
         return rows.select("row", F.col("text").alias("kept"), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    lost = postings.join(known, KEY).groupBy("r1", "r2").agg(F.array_distinct(F.collect_list("at")).alias("lost"))
+    lost = postings.join(known, KEY).groupBy("r1", "r2").agg(F.collect_set("at").alias("lost"))
     rows = rows.join(lost, ["r1", "r2"], "left").select("row", "text", "lost", lines_of(F.col("text")).alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
     stay = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
