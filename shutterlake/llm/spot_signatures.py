@@ -29,6 +29,8 @@ CHAIN = 2
 #: Words of so many bytes at most are anchors in any language.
 SHORT = 3
 BUCKET_MB = 64
+#: Rows of about 20 bytes that are broadcast at most: heads of buckets. More are joined by a shuffle of the texts.
+MOST_HEADS = 1_000_000
 # fixed values: frequent function words of four languages
 COMMON = {
     "en": "the of and to in a is that for it with as was on be by are this have from".split(),
@@ -179,7 +181,8 @@ def with_next(docs: DataFrame, buckets: int | None = None, told: DataFrame | Non
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max(key).alias("head")).collect()}
     order = sorted(heads)
     follows = spark.createDataFrame([(b, heads[b], order[i - 1]) for i, b in enumerate(order)], "at int, head long, before int")
-    # one row a bucket, which Spark broadcasts while it is small; the head's text goes to the bucket before
+    follows = F.broadcast(follows) if len(order) <= MOST_HEADS else follows
+    # one row a bucket; the head's text goes to the bucket before
     ghosts = rows.join(follows, (F.col("bucket") == F.col("at")) & (key == F.col("head"))).groupBy("before", "doc_id").agg(F.max("text").alias("text"))
     no = F.lit(None).cast("long")
     both = rows.select("doc_id", "text", "bucket", F.lit(False).alias("ghost"), no.alias("component_id")).union(ghosts.select("doc_id", "text", "before", F.lit(True), no))
