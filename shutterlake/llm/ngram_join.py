@@ -7,8 +7,9 @@ PERCENT / 100; the result is each document's component under these links. Steps:
    it orders them, rare ones first. Any order is right, the counts only make lists short.
 2. A document is listed under the rarest shingles of its set, so many that two linked
    documents have one of these in common (the lists of the inverted index that are short).
-3. Each list has a head, its smallest document. The list's other documents are candidates
-   of the head if they have enough short lists in common with it. A T-occurrence search over
+3. Each list has a head, the document that has the fewest rarer elements than the list's: an
+   edited copy has its edits before what it shares, so the head is near the middle of a group of
+   near copies. The list's other documents are candidates of the head if they have enough short lists in common with it. A T-occurrence search over
    the candidates' whole sets finds the head's links.
 4. Lists whose documents are all in one component by then have nothing more to give. The
    others are searched in blocks of bounded size, by T-occurrence over the short lists
@@ -222,11 +223,11 @@ def by_block(rows: DataFrame, search: Callable[[int, list[tuple]], Iterator[tupl
 
 def verified(candidates: DataFrame, sets: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among candidates (head, number): each head asks an inverted index of its candidates' whole sets, which is split where it would be large."""
-    many = candidates.join(ranked.select("number", "n"), "number")
-    total = many.groupBy("head").agg(F.sum("n").alias("total"))
-    block = F.pmod(F.xxhash64("number"), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("long")
-    members = many.join(total, "head").select(F.col("head").alias("task"), block.alias("block"), "number", F.lit(False).alias("asks"))
-    heads = members.select("task", "block").distinct().select("task", "block", F.col("task").alias("number"), F.lit(True))
+    total = candidates.join(ranked.select("number", "n"), "number").groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).alias("blocks"))
+    block = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("long")
+    members = candidates.join(total, "head").select(F.col("head").alias("task"), block.alias("block"), "number", F.lit(False).alias("asks"))
+    # a head asks each of its blocks, empty ones too
+    heads = total.select(F.col("head").alias("task"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("head").alias("number"), F.lit(True))
     rows = members.union(heads).join(sets, "number").select("task", "block", "number", "asks", "elements")
 
     def search(_: int, block: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -345,22 +346,24 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     ranked = written(ranked.select("number", "n", "tokens", "heads").dropDuplicates(["number"]), "ranked")
 
     # counted first, with partial sums: a token that many documents share is one row a task, and the join back is one that Spark can split
-    postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", (F.col("at") < F.col("heads")).alias("head"))
-    lengths = postings.groupBy("token").agg(F.count("*").alias("length"), F.min(F.when(F.col("head"), F.col("number"))).alias("least")).filter("length > 1 and least is not null")
-    lists = written(postings.join(lengths, "token"), "lists")
+    postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", "at", (F.col("at") < F.col("heads")).alias("head"))
+    lengths = postings.groupBy("token").agg(F.count("*").alias("length"), F.max("head").alias("any"), F.min(F.struct("at", "number"))["number"].alias("central")).filter("length > 1 and any").drop("any")
+    lists = written(postings.drop("at").join(lengths, "token"), "lists")
 
     def searched(candidates: DataFrame) -> DataFrame:
         sets = sets_of(texts, candidates.select("number").union(candidates.select("head")).distinct(), classes, set_of)
         return written(verified(candidates, sets, ranked, percent), "links")
 
-    first = written(against_heads(lists.filter("number > least").select(F.col("least").alias("head"), "number").distinct(), ranked, percent), "candidates")
+    first = written(against_heads(lists.filter("number <> central").select(F.col("central").alias("head"), "number").distinct(), ranked, percent), "candidates")
     links = searched(first)
     parts = written(components(links).withColumnRenamed("id", "number"), "components")
     rest = written(several_parts(lists, parts), "rest")
-    second = written(in_blocks(rest, ranked, percent, block).join(first, ["head", "number"], "left_anti"), "candidates")
+    tried = first.select(F.least("head", "number").alias("head"), F.greatest("head", "number").alias("number"))
+    second = written(in_blocks(rest, ranked, percent, block).join(tried, ["head", "number"], "left_anti"), "candidates")
     more = searched(second)
-    dropped(lists, ranked, first, second, rest, parts)
-    found = components(links.union(more)).withColumnRenamed("id", "number")
+    dropped(lists, ranked, first, second, rest, links)
+    # the first links as the stars that they have become
+    found = components(parts.select("number", "component").union(more.select("a", "b")), "number", "component").withColumnRenamed("id", "number")
 
     found = classes.join(found, "number", "left").withColumn("component", F.coalesce("component", "number"))
     least = found.groupBy("component").agg(F.min("class").alias("component_id"))

@@ -1,8 +1,25 @@
 """How much the join of near copies does: candidates of a large group, and the jobs that the driver plans for its components."""
 
+import random
+
+from shutterlake.llm import ngram_join
 from shutterlake.llm.common import components
 
 
+def test_candidates_of_a_group_around_a_middle(spark, monkeypatch):
+    """Copies of one text with four words in forty replaced link with it at 80 %, and hardly with each other; the text itself comes last."""
+    pick, words, n = random.Random(5), [f"w{i}" for i in range(40)], 150
+    texts = []
+    for i in range(n):
+        gone = set(pick.sample(range(40), 4))
+        texts.append(" ".join(f"x{i}x{j}" if j in gone else w for j, w in enumerate(words)))
+    seen, real = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda candidates, *rest: seen.append(candidates.count()) or real(candidates, *rest))
+    got = ngram_join.joined(spark.createDataFrame(list(enumerate([*texts, " ".join(words)])), "doc_id long, text string"), ngram_join.ShingleSets(1), 80).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == n + 1
+    assert sum(seen) <= 10 * n
+
+
 def test_jobs_of_settled_components(spark):
     """Links that are stars already cost a look at them, not a round."""
     links = spark.createDataFrame([(10 * c, 10 * c + i) for c in range(1, 20) for i in range(1, 10)], "a long, b long")
