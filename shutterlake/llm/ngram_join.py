@@ -14,7 +14,9 @@ PERCENT / 100; the result is each document's component under these links. Steps:
 4. Lists whose documents are all in one component by then have nothing more to give. The
    others are searched in blocks of bounded size, by T-occurrence over the short lists
    and then over whole sets, leaving out pairs of one component and pairs whose sizes
-   alone rule a link out.
+   alone rule a link out. A bitmap of each whole set travels with its short list: the bits in
+   which two differ are elements that they do not share, so most pairs without a link end
+   in the block and are never written.
 
 So large groups of near copies cost one comparison a document rather than one a pair,
 and no link between different components is missed.
@@ -41,6 +43,8 @@ WORDS, PERCENT = 4, 85
 SKETCH_BITS = 18
 #: Documents of one list, and elements of one head's candidates, that one task searches at once.
 BLOCK, BLOCK_ELEMENTS = 512, 200_000
+#: Bits of a set's bitmap.
+BITMAP = 256
 #: Weight of a binary probe against a step of the heap merge, in DivideSkip's choice of long lists.
 PROBE_COST = 0.03
 
@@ -119,6 +123,11 @@ def marks(own: np.ndarray) -> tuple[int, int, int]:
     return len(own), int(own.sum(dtype=np.uint64).view(np.int64)), int(mixed(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """For each of BITMAP classes of elements whether the set holds an odd number of them. Two sets differ in as many elements at least as their bitmaps in bits."""
+    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1 == 1).tobytes()
+
+
 def profiled(texts: DataFrame, set_of: SetOf, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n, p, q) with the marks of each set, and one row with each task's part of the sketch."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,23 +162,24 @@ def sketch_of(profiles: DataFrame, parts: int = 16) -> np.ndarray:
 
 
 def listed(texts: DataFrame, set_of: SetOf, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, p, q, tokens, heads) of texts with a set: its rarest elements, enough of them that no link is missed; the first `heads` of them serve a partner that is at least as large."""
+    """(doc_id, n, p, q, tokens, heads, bits) of texts with a set: its rarest elements, enough of them that no link is missed; the first `heads` of them serve a partner that is at least as large; bits: its bitmap."""
     shared, bits = texts.sparkSession.sparkContext.broadcast(sketch), max(0, len(sketch).bit_length() - 1)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rank: the counter on a logarithmic scale, then the hash; an element's rank is its token
         scale = (np.log2(shared.value + 1.0) * 128).astype(np.uint64) << np.uint64(51)
         for batch in batches:
-            seen, tokens, heads = [], [], []
+            seen, tokens, heads, bitmaps = [], [], [], []
             for own in set_of(batch.column("text")):
                 size = len(own)
                 seen.append(marks(own))
+                bitmaps.append(bitmap(own))
                 heads.append(size - needed_equal(size, percent) + 1)
                 rank = (scale[(own >> np.uint64(64 - bits)).astype(np.int64)] if bits else np.uint64(0)) | (own & np.uint64((1 << 51) - 1))
                 tokens.append(np.sort(rank)[: size - needed(size, percent) + 1 if size else 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([m[i] for m in seen], pa.int64()) for i in range(3)], pa.array(tokens, pa.list_(pa.int64())), pa.array(heads, pa.int64())], ["doc_id", "n", "p", "q", "tokens", "heads"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([m[i] for m in seen], pa.int64()) for i in range(3)], pa.array(tokens, pa.list_(pa.int64())), pa.array(heads, pa.int64()), pa.array(bitmaps, pa.binary())], ["doc_id", "n", "p", "q", "tokens", "heads", "bits"])
 
-    return texts.mapInArrow(told, "doc_id long, n long, p long, q long, tokens array<long>, heads long").filter("n > 0")
+    return texts.mapInArrow(told, "doc_id long, n long, p long, q long, tokens array<long>, heads long, bits binary").filter("n > 0")
 
 
 def sets_of(texts: DataFrame, names: DataFrame, classes: DataFrame, set_of: SetOf) -> DataFrame:
@@ -290,12 +300,13 @@ def in_blocks(rest: DataFrame, ranked: DataFrame, percent: int, block: int) -> D
     names = ["token", "block", "number", "component"]
     both = index.select(*names, F.lit(True).alias("indexed"), F.lit(False).alias("asks")).union(asking.select(*names, F.lit(False), F.lit(True)))
     both = both.groupBy(F.col("token").alias("task"), "block", "number", "component").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
-    both = both.join(ranked.select("number", "n", "tokens"), "number").select("task", "block", "number", "component", "indexed", "asks", "n", "tokens")
+    both = both.join(ranked.select("number", "n", "bits", "tokens"), "number").select("task", "block", "number", "component", "indexed", "asks", "n", "bits", "tokens")
 
     def search(token: int, block: list[tuple]) -> Iterator[tuple[int, int]]:
         index = [r for r in block if r[2]]
         # smaller tokens than the list's own do not matter: a pair that has one is found there
-        kept = [r[5][np.searchsorted(r[5], token) :].tolist() for r in index]
+        kept = [r[6][np.searchsorted(r[6], token) :].tolist() for r in index]
+        bitmaps = [int.from_bytes(r[5]) for r in index]
         sizes = Counter(r[1] for r in index)
         main = max(sizes, key=sizes.get) if sizes else None
 
@@ -309,17 +320,18 @@ def in_blocks(rest: DataFrame, ranked: DataFrame, percent: int, block: int) -> D
 
         # most documents of a list are of one component; these only have to ask the others
         every, others = inverted_without(None) if len(sizes) > 1 or any(r[1] != main for r in block) else {}, inverted_without(main)
-        for number, component, _, asks, n, tokens in block:
+        for number, component, _, asks, n, bits, tokens in block:
             def enough(i: int) -> int:
-                m, also = index[i][4], len(index[i][5])
+                m, also = index[i][4], len(index[i][6])
                 return max(1, needed_pair(n, m, percent) - max(n - len(tokens), m - also))
 
             if asks:
                 start = int(np.searchsorted(tokens, token))
-                smaller = set(tokens[:start].tolist())
+                smaller, bits = set(tokens[:start].tolist()), int.from_bytes(bits)
                 skip = lambda i: index[i][1] == component or index[i][0] >= number or 100 * index[i][4] < percent * n
                 for at in divide_skip(tokens[start:].tolist(), others if component == main else every, 1, enough, skip):
-                    if smaller.isdisjoint(index[at][5][: len(index[at][5]) - len(kept[at])].tolist()):
+                    m, also = index[at][4], index[at][6]
+                    if n + m - (bits ^ bitmaps[at]).bit_count() >= 2 * needed_pair(n, m, percent) and smaller.isdisjoint(also[: len(also) - len(kept[at])].tolist()):
                         yield index[at][0], number
 
     return by_block(both, search).select(F.col("a").alias("head"), F.col("b").alias("number")).distinct()
@@ -343,7 +355,7 @@ def joined(docs: DataFrame, set_of: SetOf | None = None, percent: int = PERCENT,
     classes = written(classes.repartitionByRange("n", "class").sortWithinPartitions("n", "class").withColumn("number", F.monotonically_increasing_id()), "classes")
     # on the document that stands for a class, so that copies of one text do not meet in one task
     ranked = listed(texts, set_of, sketch_of(profiles), percent).join(classes.withColumnRenamed("class", "doc_id"), ["doc_id", "n", "p", "q"])
-    ranked = written(ranked.select("number", "n", "tokens", "heads").dropDuplicates(["number"]), "ranked")
+    ranked = written(ranked.select("number", "n", "tokens", "heads", "bits").dropDuplicates(["number"]), "ranked")
 
     # counted first, with partial sums: a token that many documents share is one row a task, and the join back is one that Spark can split
     postings = ranked.select("number", "heads", F.posexplode("tokens").alias("at", "token")).select("token", "number", "at", (F.col("at") < F.col("heads")).alias("head"))
