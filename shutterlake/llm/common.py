@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: White space as the contracts define it, as a Java regular expression's class and as characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\f\r"
+#: Deletes the shuffle files of a query as it ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +37,14 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and losing executors loses nothing."""
+    """df written to the shared folder and read again: lineage ends here, losing executors loses nothing, and the shuffles behind it go at once."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
+    path, before = scratch(spark, tag), spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

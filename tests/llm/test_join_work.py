@@ -1,6 +1,8 @@
 """How much the join of near copies does: candidates of a large group, and the jobs that the driver plans for its components."""
 
 import random
+import re
+import time
 
 import numpy as np
 
@@ -52,6 +54,27 @@ def test_bitmaps_never_differ_more_than_their_sets():
         assert (x ^ y).bit_count() <= len(np.setxor1d(a, b)) and x.bit_count() <= len(a)
 
 
+def test_shuffles_of_finished_steps_go_before_the_next(spark, monkeypatch):
+    """When the first candidates are verified, no shuffle that made lists and candidates is on disk, but the small one of the sketch."""
+    def there():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"/shuffle_(\d+)_", files))
+
+    seen, real = [], ngram_join.verified
+
+    def waiting(*rest):
+        end = time.time() + 5
+        while len(there() - before) > 1 and time.time() < end:
+            time.sleep(0.2)
+        seen.append(there() - before)
+        return real(*rest)
+
+    monkeypatch.setattr(ngram_join, "verified", waiting)
+    before = there()
+    ngram_join.joined(spark.createDataFrame(list(enumerate(varied(20))), "doc_id long, text string"), ngram_join.ShingleSets(1), 80).count()
+    assert len(seen[0]) <= 1
+
+
 def test_jobs_of_settled_components(spark):
     """Links that are stars already cost a look at them, not a round."""
     links = spark.createDataFrame([(10 * c, 10 * c + i) for c in range(1, 20) for i in range(1, 10)], "a long, b long")
