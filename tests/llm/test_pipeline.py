@@ -2,6 +2,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,25 @@ def test_rows_stay_whatever_their_ids(spark, sf, doc_id):
     want = P.by_language(spark, docs, sf).select("text")
     got = P.by_language(spark, docs.withColumn("doc_id", F.lit(doc_id).cast("long")), sf).select("text")
     assert want.count() > 100 and want.exceptAll(got).count() + got.exceptAll(want).count() <= 0.03 * want.count()
+
+
+def test_python_gets_small_batches(spark, none):
+    """12 MB of texts in one task: a batch held all of them, several times in the JVM and in Python."""
+    texts = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat sat on the mat "), F.repeat(F.lit("and so on "), 400), "id").alias("text"))
+
+    def sized(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([batch.nbytes] * batch.num_rows)], ["doc_id", "text", "batch_bytes"])
+
+    seen = texts.mapInArrow(sized, "doc_id long, text string, batch_bytes long")
+    docs = seen.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.length("text").cast("long").alias("n_chars"), "batch_bytes")
+    before = spark.conf.get(P.BATCH_BYTES)
+    try:
+        got = dict(P.STAGES)["language"](spark, docs, "").agg(F.count("*"), F.max("batch_bytes")).first()
+        assert got[0] == 3000 and got[1] < 6e6
+        for name, stage in P.STAGES:
+            spark.conf.unset(P.BATCH_BYTES)
+            stage(spark, none, "")
+            assert spark.conf.get(P.BATCH_BYTES) == P.BATCH, name
+    finally:
+        spark.conf.set(P.BATCH_BYTES, before)
