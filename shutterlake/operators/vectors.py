@@ -2,7 +2,7 @@
 
 Vectors meet in blocks of bounded size: a task multiplies two blocks with numpy and gives
 only what is above a threshold, or the best of each query. Where a key has several blocks, they are cells
-around pivots, and angles rule out pairs of blocks before any product. Independent sets and exemplars are rounds of joins.
+around pivots, packed in a row each, and angles rule out pairs of blocks before any product. Independent sets and exemplars are rounds of joins.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shutterlake.functions.scalars import dot
@@ -19,6 +20,10 @@ from shutterlake.sources.shared import written
 BLOCK = 2048
 #: Pivots of a key, at most; reference pivots to which each block knows its range of angles; parts in which a key's rows meet its pivots.
 PIVOTS, REFERENCES, PARTS = 1024, 8, 32
+#: Full blocks of a file of packed blocks, about.
+FILE = 16
+#: Rows of a result that a task holds before it gives them on.
+FOUND = 1 << 16
 #: Radians by which a bound on angles may be off by rounding.
 SLACK = 1e-6
 #: Bins of one counting pass over cosines.
@@ -27,6 +32,11 @@ EXEMPLARS, OUTLIER_FLOOR, OUTLIER_GROUP = 5, 0.35, 4
 CARRY_IOU, CARRY_COSINE, CARRY_MARGIN = 0.5, 0.5, 0.10
 
 
+def normed(m: np.ndarray) -> np.ndarray:
+    """The rows of m as rows of length 1; a row that has no length stays all zeros."""
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 def unit(vectors: list) -> np.ndarray:
     """Vectors as rows of length 1; a vector that is missing, or has no length, is all zeros."""
     size = max((len(v) for v in vectors if v is not None), default=1)
@@ -34,7 +44,39 @@ def unit(vectors: list) -> np.ndarray:
     for i, v in enumerate(vectors):
         if v is not None and len(v) == size:
             m[i] = v
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return normed(m)
+
+
+def lengths(vectors: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+
+
+def stacked(vectors: pa.Array, size: int | None = None) -> np.ndarray:
+    """Vectors as rows of doubles; one that is missing, or of another length than size or else the longest one, is all zeros."""
+    n = lengths(vectors)
+    size = size or max(1, int(n.max(initial=0)))
+    m, fit = np.zeros((len(n), size)), n == size
+    m[fit] = pc.list_flatten(vectors.filter(pa.array(fit))).to_numpy(zero_copy_only=False).reshape(-1, size)
+    return m
+
+
+def directed(m: np.ndarray) -> np.ndarray:
+    """Which rows have a direction."""
+    size = np.linalg.norm(m, axis=1)
+    return (size > 1e-12) & np.isfinite(size)
+
+
+def runs(batches: Iterator[pa.RecordBatch], *names: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose rows agree in the columns names, of most rows at most; a run that goes on in the next batch is several slices."""
+    for batch in batches:
+        columns = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        ends = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for i, j in zip([0, *ends], ends):
+            for k in range(i, j, most or max(1, j - i)):
+                yield batch.slice(k, min(j, k + (most or j)) - k)
 
 
 def _tasks(rows: DataFrame, schema: str, run: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -62,108 +104,198 @@ def _tasks(rows: DataFrame, schema: str, run: Callable[[list[tuple]], Iterator[t
 
 
 def pairs_above(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(key, a, b, cos): pairs a < b of rows (key, id long, vector) of one key whose cosine is at least least.
+    """(key, a, b, cos): pairs a < b of rows (key, id long, vector) of one key whose cosine is at least least. A row without an id is in none.
 
-    A key of one block is a task. Blocks of a larger key are cells of a metric index, see block_pairs(); task
-    number i holds the two blocks of the i-th pair that angles do not rule out. Exact for all vectors: pivots only decide what is skipped.
+    A key of one block is a task. Blocks of a larger key are cells of a metric index, each packed in one row of a table that is written once.
+    A nested loop reads that table's parts pair by pair, so no vector is copied to disk for the pairs of its block, and multiplies
+    the blocks that may_meet() does not rule out. Exact for all vectors: pivots only decide what is skipped.
     """
-    own = rows.select("key", "id", "vector")
+    own = rows.filter("id is not null").select("key", "id", "vector")
     sizes = own.groupBy("key").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") <= block).select("key")
-    dealt = own.join(small, "key", "left_semi").select("key", F.lit(0).cast("long").alias("task"), "id", F.lit(0).cast("long").alias("own"), "vector")
-    large = sizes.filter(F.col("n") > block)
-    if not large.isEmpty():
-        cells = written(celled(own, large, block), "cells")
-        pairs = written(block_pairs(cells, least).filter("kept"), "block-pairs")
-        task = F.xxhash64("a", "b").alias("task")
-        sides = pairs.select("key", F.col("a").alias("own"), task).union(pairs.filter("a <> b").select("key", F.col("b").alias("own"), task))
-        dealt = dealt.unionByName(cells.select("key", "id", "vector", "own").join(sides, ["key", "own"]).select("key", "task", "id", "own", "vector"))
+    few, many, cut = sizes.agg(F.min("n"), F.max("n"), F.sum(F.when(F.col("n") > block, F.col("n")))).first()
 
     def run(block: list[tuple]) -> Iterator[tuple]:
-        ids, own = np.array([r[2] for r in block]), np.array([r[3] for r in block])
-        m = unit([r[4] for r in block])
-        sides = sorted(set(own.tolist()))
-        left, right = np.flatnonzero(own == sides[0]), np.flatnonzero(own == sides[-1])
-        # in a task of two blocks, pairs within one block belong to another task
-        for i, j in zip(*np.nonzero(m[left] @ m[right].T >= least)):
-            a, b = left[i], right[j]
-            if ids[a] < ids[b] if len(sides) == 1 else True:
-                yield block[0][0], int(min(ids[a], ids[b])), int(max(ids[a], ids[b])), float(m[a] @ m[b])
+        ids, m = np.array([r[2] for r in block]), unit([r[3] for r in block])
+        for a, b in zip(*np.nonzero(m @ m.T >= least)):
+            if ids[a] < ids[b]:
+                yield block[0][0], int(ids[a]), int(ids[b]), float(m[a] @ m[b])
+
+    found = []
+    if few is None or few <= block:
+        small = own if many is None or many <= block else own.join(sizes.filter(F.col("n") <= block), "key", "left_semi")
+        found.append(_tasks(small.select("key", F.lit(0).cast("long").alias("task"), "id", "vector"), "key long, a long, b long, cos double", run))
+    if many is not None and many > block:
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-cut // (FILE * block)))
+        packed = written(packed_blocks(celled(own, sizes.filter(F.col("n") > block), block), parts), "blocks")
+        pairs = beside(packed, may_meet(least)).select("a_key", "a_own", "a_ids", "a_vectors", "a_single", "b_own", "b_ids", "b_vectors", "b_single")
+        found.append(pairs.mapInArrow(products(least), "key long, a long, b long, cos double"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def products(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, a, b, cos) of the rows of pairs of packed blocks (a_, b_), two blocks in memory at a time."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
 
-    return _tasks(dealt, "key long, a long, b long, cos double", run)
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "a", "b", "cos"])
+
+        def side(columns: dict, p: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.frombuffer(columns[f"{p}ids"][i].as_buffer(), np.int64)
+            flat = columns[f"{p}vectors"][i].as_buffer()
+            m = np.frombuffer(flat, np.float32 if columns[f"{p}single"][i].as_py() else np.float64).reshape(len(ids), -1)
+            return ids, normed(m.astype(np.float64))
+
+        at = None
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            keys, owns, others = (columns[c].to_pylist() for c in ("a_key", "a_own", "b_own"))
+            for i, (key, own, other) in enumerate(zip(keys, owns, others)):
+                if (key, own) != at:
+                    at, (ids, left) = (key, own), side(columns, "a_", i)
+                theirs, right = (ids, left) if own == other else side(columns, "b_", i)
+                # vectors of different lengths have cosine 0
+                cos = left @ right.T if left.shape[1] == right.shape[1] else np.zeros((len(left), len(right)))
+                x, y = np.divmod(np.flatnonzero(cos >= least), len(right))
+                a, b, cos = ids[x], theirs[y], cos[x, y]
+                if own == other:
+                    once = a < b
+                    a, b, cos = a[once], b[once], cos[once]
+                else:
+                    unlike = a != b
+                    a, b, cos = np.minimum(a, b)[unlike], np.maximum(a, b)[unlike], cos[unlike]
+                if len(a):
+                    out.append((np.full(len(a), key), a, b, cos))
+                    held += len(a)
+                if held >= FOUND:
+                    yield result()
+                    out, held = [], 0
+        if out:
+            yield result()
+
+    return told
 
 
 def celled(rows: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, id, vector, own, pivot, far, angles) of the rows (key, id, vector) of the keys in sizes (key, n): own is the block.
+    """(key, id, vector, own, far, loose, angles) of the rows (key, id, vector) of the keys in sizes (key, n): own is the block.
 
     A hash of the id picks about two pivots for each block that a key needs. A row goes to the cell of the pivot
-    that it is most like: pivot is that pivot's unit vector, far the angle to it, angles those to REFERENCES pivots. A cell of more than a
-    block's rows is cut by hash. Rows without a vector, or of another length than the pivots, have no cell's bounds: their far is null.
+    that it is most like: far is the angle to it, angles those to REFERENCES pivots. A cell of more than a block's rows is cut by hash.
+    Rows without a direction, or of another length than the pivots, have no cell's bounds: their far is null. Those that have a
+    direction, if only because a key has no pivots, are loose. Keys and cells are fewer than rows by the size of a block, so they are broadcast.
     """
     share = F.least(F.lit(1.0), F.least(F.ceil(F.col("n") / block) * 2, F.lit(PIVOTS)) / F.col("n"))
-    own = rows.join(sizes, "key")
+    own = rows.join(F.broadcast(sizes), "key")
     chosen = own.filter((F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 30)) < share * (1 << 30)) & F.col("vector").isNotNull())
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
     first = chosen.select("key", parts.alias("part"), F.lit(False).alias("row"), "id", "vector")
     both = first.union(own.select("key", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"), F.lit(True).alias("row"), "id", "vector"))
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("cell", pa.int64()), ("pivot", pa.list_(pa.float64())), ("far", pa.float64()), ("angles", pa.list_(pa.float64()))])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivots, ids, m, held = None, [], [], np.zeros((0, 0)), []
+        at, pivots, ids, m = None, [], np.zeros(0, np.int64), np.zeros((0, 1))
+        for batch in runs(batches, "key", "part", "row", most=1024):
+            if (here := (batch["key"][0].as_py(), batch["part"][0].as_py())) != at:
+                at, pivots, ids, m = here, [], np.zeros(0, np.int64), np.zeros((0, 1))
+            if not batch["row"][0].as_py():
+                pivots.append(batch)
+                continue
+            if pivots:  # all are there, in one order for all parts
+                given = pa.concat_arrays([p["vector"] for p in pivots])
+                m = stacked(given)
+                fit = directed(m)
+                ids, m, pivots = np.concatenate([p["id"].to_numpy() for p in pivots])[fit], normed(m[fit]), []
+            vectors, n = batch["vector"], batch.num_rows
+            v = stacked(vectors, m.shape[1])
+            good = directed(v) & (len(m) > 0)
+            cos = np.clip(normed(np.where(good[:, None], v, 0.0)) @ m.T, -1, 1) if len(m) else np.zeros((n, 1))
+            best, angles = np.argmax(cos, 1), np.arccos(cos)
+            near = np.ascontiguousarray(angles[:, :REFERENCES])
+            loose = ~good & (lengths(vectors) > 0) & ((lengths(vectors) != m.shape[1]) | (len(m) == 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], batch["id"], vectors, pa.array(ids[best] if len(m) else np.zeros(n, np.int64), mask=~good), pa.array(angles[np.arange(n), best], mask=~good), pa.array(loose)]
+                + [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()), mask=pa.array(~good))],
+                ["key", "id", "vector", "cell", "far", "loose", "angles"],
+            )
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    cells = both.repartition("key", "part").sortWithinPartitions("key", "part", "row", "id").mapInArrow(told, f"key long, id long, vector {kind}, cell long, far double, loose boolean, angles array<double>")
+    cells = written(cells, "celled")
+    cut = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), "cuts")
+    rows = cells.join(F.broadcast(cut), (F.col("key") == F.col("_key")) & F.col("cell").eqNullSafe(F.col("_cell")))
+    return rows.select("key", "id", "vector", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("own"), "far", "loose", "angles")
 
-        def result() -> Iterator[pa.RecordBatch]:
-            vectors = [r[4] for r in held]
-            good = np.array([v is not None and len(v) == m.shape[1] and np.linalg.norm(v) > 1e-12 for v in vectors], bool) & (len(m) > 0)
-            cos = np.clip(unit([v if ok else None for v, ok in zip(vectors, good)]) @ m.T, -1, 1) if good.any() else np.zeros((len(held), max(1, len(m))))
-            best = np.argmax(cos, 1)
-            angles = np.arccos(cos)
-            out = [(r[0], r[3], r[4], ids[k] if ok else None, m[k].tolist() if ok else None, float(a[k]) if ok else None, a[:REFERENCES].tolist() if ok else None) for r, k, a, ok in zip(held, best.tolist(), angles, good)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:2] != at or len(held) == 1024:
-                    if held:
-                        yield from result()
-                        held = []
-                    if row[:2] != at:
-                        at, pivots, m = row[:2], [], np.zeros((0, 0))
-                if row[2]:
-                    if pivots:  # all are there, in one order for all parts
-                        size = len(pivots[0][1])
-                        pivots = [p for p in pivots if len(p[1]) == size and np.linalg.norm(p[1]) > 1e-12]
-                        ids, m, pivots = [p[0] for p in pivots], unit([p[1] for p in pivots]), []
-                    held.append(row)
-                else:
-                    pivots.append(row[3:])
+def packed_blocks(cells: DataFrame, parts: int | None = None) -> DataFrame:
+    """A row for each block of celled(), in parts partitions: (key, own, ids and vectors as bytes, single, centre, far, loose, low, high).
+
+    single tells floats from doubles. centre is the direction of the block's mean, far its widest angle to a row, null where rows have no bounds;
+    low and high are the ranges of angles to the reference pivots; loose tells of a row that bounds say nothing about.
+    """
+    single = cells.schema["vector"].dataType.elementType.simpleString() == "float"
+
+    def one(block: pa.RecordBatch) -> pa.RecordBatch:
+        m = stacked(block["vector"])
+        bounded = block["far"].null_count == 0
+        centre, far, low, high = None, None, None, None
+        if bounded:
+            u = normed(m)
+            mean = u.sum(0)
+            centre = normed((mean if np.linalg.norm(mean) > 1e-6 else u[0])[None])[0]
+            far = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
+            angles = stacked(block["angles"])
+            low, high = angles.min(0).tolist(), angles.max(0).tolist()
+        kind = np.float32 if single else np.float64
+        row = (block["key"][0].as_py(), block["own"][0].as_py(), block["id"].to_numpy().tobytes(), m.astype(kind).tobytes(), single, None if centre is None else centre.tolist(), far, bool(np.any(block["loose"].to_numpy(zero_copy_only=False))), low, high)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, schema.types)], schema=schema)
+
+    doubles = pa.list_(pa.float64())
+    schema = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("single", pa.bool_()), ("centre", doubles), ("far", pa.float64()), ("loose", pa.bool_()), ("low", doubles), ("high", doubles)])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in runs(batches, "key", "own"):
+            if (here := (batch["key"][0].as_py(), batch["own"][0].as_py())) != at:
+                if held:
+                    yield one(pa.concat_batches(held))
+                at, held = here, []
+            held.append(batch)
         if held:
-            yield from result()
+            yield one(pa.concat_batches(held))
 
-    cells = both.repartition("key", "part").sortWithinPartitions("key", "part", "row", "id").mapInArrow(told, "key long, id long, vector array<double>, cell long, pivot array<double>, far double, angles array<double>")
-    cells = written(cells, "celled")
-    cut = cells.groupBy("key", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), "cuts")
-    rows = cells.join(cut, (F.col("key") == F.col("_key")) & F.col("cell").eqNullSafe(F.col("_cell")))
-    return rows.select("key", "id", "vector", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("own"), "pivot", "far", "angles")
+    kinds = "key long, own long, ids binary, vectors binary, single boolean, centre array<double>, far double, loose boolean, low array<double>, high array<double>"
+    dealt = cells.repartition(parts, "key", "own") if parts else cells.repartition("key", "own")
+    return dealt.sortWithinPartitions("key", "own").mapInArrow(told, kinds)
 
 
-def block_pairs(cells: DataFrame, least: float) -> DataFrame:
-    """(key, a, b, kept): all pairs a <= b of a key's blocks, and whether two of their rows may have a cosine of least.
+def may_meet(least: float) -> Column:
+    """Whether rows of two packed blocks of a key, a_ and b_, may have a cosine of least.
 
-    Angles obey the triangle inequality: rows of two blocks are no closer than their pivots are, less both
-    radii, and no closer than their ranges of angles to any one reference pivot are apart. Blocks are pairs here, not rows.
+    Angles obey the triangle inequality: rows of two blocks are no closer than their centres are, less both
+    radii, and no closer than their ranges of angles to any one reference pivot are apart.
     """
     within = float(np.arccos(np.clip(least, -1.0, 1.0))) + SLACK
-    span = [f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(REFERENCES) for n, f in (("low", F.min), ("high", F.max))]
-    stats = cells.groupBy("key", "own").agg(F.first("pivot").alias("pivot"), F.max("far").alias("far"), F.bool_or(F.col("far").isNull()).alias("loose"), *span)
-    side = lambda p: stats.select(*[F.col(c).alias(f"{p}{c}") for c in stats.columns])
-    both = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_own") <= F.col("b_own")))
-    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a_pivot"), F.col("b_pivot"))))) - F.col("a_far") - F.col("b_far") > within
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a_centre"), F.col("b_centre"))))) - F.col("a_far") - F.col("b_far") > within
     for i in range(REFERENCES):
-        apart = apart | F.coalesce((F.col(f"a_low{i}") - F.col(f"b_high{i}") > within) | (F.col(f"b_low{i}") - F.col(f"a_high{i}") > within), F.lit(False))
+        gap = lambda p, q, i=i: F.get(f"{p}low", F.lit(i)) - F.get(f"{q}high", F.lit(i)) > within
+        apart = apart | F.coalesce(gap("a_", "b_") | gap("b_", "a_"), F.lit(False))
     # rows without a direction have cosine 0 with all
-    loose = F.col("a_loose") | F.col("b_loose")
-    kept = (F.col("a_own") == F.col("b_own")) | F.when(loose, F.lit(least <= 0)).otherwise(~F.coalesce(apart, F.lit(False)))
-    return both.select(F.col("a_key").alias("key"), F.col("a_own").alias("a"), F.col("b_own").alias("b"), kept.alias("kept"))
+    unbounded = F.col("a_far").isNull() | F.col("b_far").isNull()
+    return (F.col("a_own") == F.col("b_own")) | F.col("a_loose") | F.col("b_loose") | F.when(unbounded, F.lit(least <= 0)).otherwise(~F.coalesce(apart, F.lit(False)))
+
+
+def beside(packed: DataFrame, also: Column | None = None) -> DataFrame:
+    """All pairs of a key's packed blocks, a_own <= b_own, for which also holds.
+
+    A nested loop over pairs of partitions: a join by key would give all pairs of a key to one task, or copy its blocks to many.
+    """
+    side = lambda p: packed.select(*[F.col(c).alias(f"{p}{c}") for c in packed.columns])
+    pairs = (F.col("a_key") == F.col("b_key")) & (F.col("a_own") <= F.col("b_own"))
+    return side("a_").hint("shuffle_replicate_nl").join(side("b_"), pairs if also is None else pairs & also)
+
+
+def block_pairs(cells: DataFrame, least: float) -> DataFrame:
+    """(key, a, b, kept): all pairs a <= b of a key's blocks of celled(), and whether two of their rows may have a cosine of least. Blocks are pairs here, not rows."""
+    return beside(packed_blocks(cells)).select(F.col("a_key").alias("key"), F.col("a_own").alias("a"), F.col("b_own").alias("b"), may_meet(least).alias("kept"))
 
 
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:

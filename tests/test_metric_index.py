@@ -44,3 +44,41 @@ def test_equal_vectors_and_few_pivots(spark):
     rows = [(1, i, [1.0, 0.0]) for i in range(100)] + [(1, 200 + i, [0.0, 1.0]) for i in range(3)]
     got = [tuple(r)[:3] for r in vectors.pairs_above(spark.createDataFrame(rows, SCHEMA), 0.99, 30).collect()]
     assert len(got) == len(set(got)) == 100 * 99 // 2 + 3
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_vectors_are_not_copied_for_pairs_of_blocks(spark):
+    """No pair of blocks is ruled out here; four times the rows are four times the bytes of shuffles, not sixteen."""
+    rng = np.random.default_rng(5)
+    rows = [(1, i, v) for i, v in enumerate(rng.normal(size=(4000, 64)).tolist())]
+    took = []
+    for n in (1000, 4000):
+        before = shuffled(spark)
+        found = vectors.pairs_above(spark.createDataFrame(rows[:n], SCHEMA), 0.5, 50)
+        got = {tuple(r)[:3] for r in found.collect()}
+        took.append(shuffled(spark) - before)
+        assert got == all_pairs(rows[:n], 0.5) and len(got) > 0
+    assert took[1] < 5 * took[0], took
+
+
+def test_key_without_pivots(spark):
+    """Where the hash of the ids picks no pivot at all, every block meets every other."""
+    ids = [r["id"] for r in spark.range(5000).filter(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 30)) >= (1 << 30) / 8).limit(60).collect()]
+    rows = [(1, i, r[2]) for i, r in zip(ids, clustered(spark, 60, groups=3))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert vectors.celled(df, df.groupBy("key").agg(F.count("*").alias("n")), 50).filter("far is not null").count() == 0
+    assert {tuple(r)[:3] for r in vectors.pairs_above(df, 0.8, 50).collect()} == all_pairs(rows, 0.8) != set()
+
+
+def test_ids_that_repeat_or_are_missing(spark):
+    rows = [(k, i % 40, v) for k, i, v in clustered(spark, 120, groups=3)]
+    df = spark.createDataFrame(rows + [(1, None, rows[0][2])], SCHEMA)
+    m = vectors.unit([r[2] for r in rows])
+    want = sorted((1, rows[i][1], rows[j][1]) for i, j in zip(*np.nonzero(m @ m.T >= 0.8)) if rows[i][1] < rows[j][1])
+    assert sorted(tuple(r)[:3] for r in vectors.pairs_above(df, 0.8, 50).collect()) == want != []
